@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import line_dedup, sharding, topk, url_filter
+from tarnwork.llm import decontaminate, line_dedup, packing, quality, sharding, topk, url_filter, warc
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op3_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
     "op6_topk": topk.query,
+    "op7_decontamination": decontaminate.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_quality": quality.query,
+    "op10_warc": warc.query,
 }
 
-ORACLE = {"op4_url_filter": url_filter.SQL, "op6_topk": topk.SQL, "op8_line_dedup": line_dedup.SQL}
+ORACLE = {"op4_url_filter": url_filter.SQL, "op6_topk": topk.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
