@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarnwork.llm.common import LOWER, U, chunks, mix, prefix_hash, span_hash
+from tarnwork.llm.common import LOWER, SLICE, U, chunks, mix, prefix_hash, slices, span_hash, sum_slices
 from tarnwork.storage import stored
 
 WORDS, PAIRS = 1 << 18, 1 << 17
@@ -38,7 +38,6 @@ LAGS = 4
 SIZE = WORDS + PAIRS
 PRIOR, DEAD = 6.0, 1.2
 MAX_LABELLED = 20_000
-SLICE = 1 << 15
 LOTS = SIZE // SLICE + 1  # the last slice holds the number of documents
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -73,19 +72,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bucket(word, WORDS), bucket(before * U(1 << 20) + state, PAIRS) + WORDS, bounds
 
 
-def _sum_slices(found: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of compressed slices; at most LOTS of each kind come to the driver."""
-
-    def total(table: pa.Table) -> pa.Table:
-        out = np.zeros(SLICE, np.int64)
-        for b in table["counts"]:
-            out += np.frombuffer(zlib.decompress(b.as_py()), np.int64)
-        return pa.table({"slice": table["slice"][:1].cast(pa.int32()), "counts": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
-
-    spread = found.groupBy("slice", "part").applyInArrow(total, "slice int, counts binary")
-    return {r[0]: np.frombuffer(zlib.decompress(r[1]), np.int64) for r in spread.groupBy("slice").applyInArrow(total, "slice int, counts binary").collect()}
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> np.ndarray | None:
     """Log ratio of every bucket (0 where it says nothing); None without good labels."""
     spark = docs.sparkSession
@@ -110,15 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 counts[1, :SIZE] += np.bincount(seen[target_rows] % SIZE, minlength=SIZE)
                 counts[0, SIZE] += j - i
                 counts[1, SIZE] += is_target[i:j].sum()
-        rows = [(m * LOTS + s, counts[m, s * SLICE : (s + 1) * SLICE]) for m in (0, 1) for s in range(LOTS)]
-        rows = [r for r in rows if r[1].any()]
-        salt = int(counts[0].sum()) % 16  # partial sums in up to 16 groups first
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([zlib.compress(r[1].tobytes(), 1) for r in rows], pa.binary())],
-            names=["slice", "part", "counts"],
-        )
-
-    sums = _sum_slices(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "slice int, part int, counts binary"))
+        yield slices(counts.ravel())
+
+    sums = sum_slices(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "slice int, part int, counts binary"))
     raw, seen = (np.concatenate([sums.get(m * LOTS + s, np.zeros(SLICE, np.int64)) for s in range(LOTS)]).astype(float) for m in (0, 1))
     if not seen[SIZE]:
         return None

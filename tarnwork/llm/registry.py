@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import decontaminate, line_dedup, packing, quality, sharding, topk, url_filter, warc
+from tarnwork.llm import decontaminate, line_dedup, ngram_join, packing, quality, sharding, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
     "op3_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
+    "op5_ngram_join": ngram_join.query,
     "op6_topk": topk.query,
     "op7_decontamination": decontaminate.query,
     "op8_line_dedup": line_dedup.query,
