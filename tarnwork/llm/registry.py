@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import decontaminate, line_dedup, ngram_join, packing, quality, sharding, topk, url_filter, warc
+from tarnwork.llm import decontaminate, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
     "op5_ngram_join": ngram_join.query,
