@@ -30,6 +30,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # else the shuffle files of steps that are over stay until the driver happens to collect
     return spark.read.schema(df.schema).parquet(path)
 
 
