@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tarnwork.llm import decontaminate, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_quality": quality.query,
     "op10_warc": warc.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {"op4_url_filter": url_filter.SQL, "op6_topk": topk.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
