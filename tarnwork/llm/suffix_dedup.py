@@ -12,7 +12,7 @@ same document, earlier start). Texts are UTF-8 bytes, matches stay within a docu
 * Suffix order: of the phrases left that share a trigger with another one, all suffixes of
   ``LENGTH`` bytes are brought into classes of equal suffixes, and all but the first of a
   class are repeats. Equality at depth 100 is all that is asked for, so suffixes are ordered
-  by 128-bit fingerprints, not by their bytes.
+  by 96-bit fingerprints (phrases: 128), not by their bytes.
 
 Work beyond the first pass follows the repeated part of the text. A text that is needed
 again is shuffled only if its document is marked in a bitmap of fixed size (a false mark
@@ -200,9 +200,10 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def suffixes(doc_id, data, at):
         s = np.concatenate([np.arange(a, b + 1) for a, b in zip(*at)]) if len(at[0]) else np.zeros(0, np.int64)
         w = [span_hash(prefix_hash(data, k), s, s + length, k) for k in (0, 1)]
-        return [*w, np.full(len(s), doc_id), s.astype(np.int32)]
+        return [w[0], (w[1] >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s.astype(np.int32)]
 
-    rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 long, doc_id long, s int", suffixes)
+    dropped(dictionary)
+    rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 int, doc_id long, s int", suffixes)
     later = _repeats(rows, ["w1", "w2"], ["doc_id", "s"], False)
     spans = stored(later.select("doc_id", F.col("s").alias("lo"), (F.col("s") + length).alias("hi")).unionByName(copied), "spans")
 
