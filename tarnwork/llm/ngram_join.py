@@ -212,7 +212,7 @@ def join_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: st
         rows = long.join(inside, "rid", "left_semi")
         parts = rows.groupBy("s").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (FAMILY // 2))).cast("int").alias("q"))
         dealt = rows.join(parts, "s").withColumn("h", F.pmod(F.xxhash64("rid"), F.col("q")).cast("long"))
-        spread = dealt.select("s", "rid", "h", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).cast("long").alias("o"))
+        spread = dealt.select("s", "rid", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q").cast("long") - 1)).alias("o"))
         by_list = spread.select(F.col("s").alias("k1"), F.least("h", "o").alias("k2"), (F.greatest("h", "o") + 1).alias("k3"), "rid")
         blocks = blocks.unionByName(by_pair).unionByName(by_list)
     blocks = stored(blocks, "blocks")
