@@ -174,6 +174,8 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = stored(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digests")
     whole = base.filter((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
+    if not base.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])  # a repeated row is no second place of its own strings
     # a text that stands whole in an earlier document goes whole, and nothing needs it
     firsts = stored(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first"), "firsts")
     copies = stored(whole.join(firsts, "sha").filter("doc_id <> first").select("doc_id").distinct(), "copies")
