@@ -23,7 +23,7 @@ def odd(spark):
     long = " ".join(f"w{i * 7919 % 3001}" for i in range(6000))
     lines = "\n".join(f"line {i}" for i in range(9))
     texts = [None, "", "a", "a a", long, long, long + " end", lines, lines + "\nmore", "x" * 400, "ab" * 300, "É" * 120, "same", "same", "\n\n\n\n\n"]
-    rows = [(i, t, i, "s", "t", i, "u") for i, t in enumerate(texts)] + [(4, long, 4, "s", "t", 4, "u"), (None, "no id at all", 0, "s", "t", 0, "u")]
+    rows = [(i, t, i, "s", "t", i, "u") for i, t in enumerate(texts)] + [(4, long, 4, "s", "t", 4, "u"), (None, "no id at all", 99, "s", "t", 0, "u")]
     return spark.createDataFrame(rows, DOC)
 
 
