@@ -17,7 +17,8 @@ same document, earlier start). Texts are UTF-8 bytes, matches stay within a docu
 Work beyond the first pass follows the repeated part of the text. A text that is needed
 again is shuffled only if its document is marked in a bitmap of fixed size (a false mark
 costs time only). Sorted streams are read row by row, so a trigger that a third of all
-documents share needs no memory.
+documents share needs no memory. Rows that their own task shows to be repeats are salted, so
+neither such a trigger nor such a suffix gathers in one task.
 
 Defined cases: NULL is an empty text; texts under 100 bytes lose nothing; doc_id is the key,
 and rows that repeat one with its text are judged alike; rows without doc_id take no part.
@@ -37,6 +38,7 @@ from tarnwork.storage import dropped, stored
 LENGTH, GRAM = 100, 32
 PLACE = 28  # bits of a place within a chunk; the rest of a word orders the grams
 NEED_BITS = 1 << 22
+TABLE, SALT_BITS = 1 << 16, 20
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -72,22 +74,43 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def triggers(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, doc_id, lo): every phrase's trigger hash and first start."""
+    """(h, doc_id, at): every phrase's trigger hash and first start, ``at`` as of :func:`_repeats`.
+
+    A trigger that a task has met before is surely repeated. Of such places one for each task
+    tells the other tasks so, and the rest are dealt anywhere.
+    """
 
     def work(batches):
+        met, told = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.uint64)  # hints only: a later hash takes the slot
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, _, data, offsets in chunks(batch.column(1)):
                 h, lo, _, doc = parse(data, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i + doc]), pa.array((lo - offsets[doc]).astype(np.int32))], names=["h", "doc_id", "lo"])
+                own, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                slot = (own & U(TABLE - 1)).astype(np.int64)
+                spoken = told[slot] == own
+                repeated = (count > 1) | (met[slot] == own) | spoken
+                known = repeated[inverse]
+                speaks = np.zeros(len(h), bool)
+                speaks[first[~spoken]] = True
+                met[slot], told[slot[repeated]] = own, own[repeated]
+                doc_id = ids[i + doc]
+                at = _dealt(lo - offsets[doc], known, speaks, doc_id)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc_id), pa.array(at)], names=["h", "doc_id", "at"])
+
+    return _texts(docs).mapInArrow(work, "h long, doc_id long, at long")
 
-    return _texts(docs).mapInArrow(work, "h long, doc_id long, lo int")
+
+def _dealt(place: np.ndarray, known: np.ndarray, speaks: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """``place`` with KNOWN where a row surely belongs to the result, and a salt where no other row needs it."""
+    salt = np.where(known & ~speaks, (mix(doc_id.view(np.uint64) + place.astype(np.uint64)) >> U(64 - SALT_BITS)).astype(np.int64) + 1, 0)
+    return place.astype(np.int64) | known.astype(np.int64) << 32 | salt << 33
 
 
 def _neighbours(batches, keys: int, emit_first: bool):
-    """Rows of a stream sorted by its first ``keys`` columns that equal a neighbour in them.
+    """Rows of a stream sorted by its first ``keys`` columns that equal a neighbour in them, or are KNOWN.
 
-    Without ``emit_first`` the first row of each class is left out.
+    Without ``emit_first`` the first row of each class is left out, unless it is KNOWN.
     """
     held = None  # the last row, and whether it has an equal before it
     for batch in batches:
@@ -99,6 +122,7 @@ def _neighbours(batches, keys: int, emit_first: bool):
         for c in cols:
             same &= c[1:] == c[:-1]
         before = np.concatenate([[held[1] if held else False], same])
+        before |= (table.column("at").to_numpy() >> 32 & 1).astype(bool)
         after = np.concatenate([same, [False]])
         keep = before | after if emit_first else before
         keep[-1] = False
@@ -108,14 +132,21 @@ def _neighbours(batches, keys: int, emit_first: bool):
         yield pa.Table.from_batches([held[0]])
 
 
-def _repeats(rows: DataFrame, keys: list[str], order: list[str], emit_first: bool) -> DataFrame:
+def _repeats(rows: DataFrame, keys: list[str], emit_first: bool) -> DataFrame:
+    """(doc_id, lo) of the rows that share ``keys``; without ``emit_first`` not the earliest of a class.
+
+    ``at`` holds the place, above it the KNOWN bit and the salt. Salted rows are KNOWN and
+    spread, so a class of any size leaves a few rows of each task to meet.
+    """
     n = len(keys)
+    place = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
 
     def work(batches):
         for table in _neighbours(batches, n, emit_first):
             yield from table.to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, rows.schema)
+    dealt = rows.repartition(*keys, F.shiftright("at", 33)).sortWithinPartitions(*keys, "doc_id", place)
+    return dealt.mapInArrow(work, rows.schema).select("doc_id", place.cast("int").alias("lo"))
 
 
 def _texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -135,15 +166,15 @@ def _texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(((bits[slots >> 5] >> (slots & 31)) & 1).astype(bool))).select(["doc_id", "text"])
 
     some = _texts(docs).withColumn("slot", slot).mapInArrow(work, "doc_id long, text string")
-    return some.join(marks, "doc_id")
+    return some.join(marks.hint("merge"), "doc_id")  # in order of doc_id, so that a task that runs again salts alike
 
 
 def _per_document(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("at"))
 
 
-def _with_text(joined: DataFrame, schema: str, each) -> DataFrame:
-    """Runs ``each(doc_id, bytes, structs as numpy columns)`` for every row; it returns columns."""
+def _with_text(joined: DataFrame, schema: str, each, all_of=None) -> DataFrame:
+    """Runs ``each(doc_id, bytes, structs as numpy columns)`` for every row, and ``all_of`` on the columns of many; both return columns."""
 
     def work(batches):
         for batch in batches:
@@ -164,23 +195,27 @@ def _with_text(joined: DataFrame, schema: str, each) -> DataFrame:
     def _emit(parts):
         if parts:
             cols = [np.concatenate(c) for c in zip(*parts)]
+            cols = all_of(*cols) if all_of else cols
             yield pa.RecordBatch.from_arrays([pa.array(c) if c.dtype != np.uint64 else pa.array(c.view(np.int64)) for c in cols], names=names)
 
     return joined.select("doc_id", "text", "at").mapInArrow(work, schema)
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+
+    ``documents`` should be a scan of a table: salting goes by the order in which a task reads.
+    """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = stored(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digests")
     whole = base.filter((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
     if not base.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])  # a repeated row is no second place of its own strings
+        docs = stored(docs.dropDuplicates(["doc_id"]), "rows")  # a repeated row is no second place of its own strings
     # a text that stands whole in an earlier document goes whole, and nothing needs it
     firsts = stored(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first"), "firsts")
     copies = stored(whole.join(firsts, "sha").filter("doc_id <> first").select("doc_id").distinct(), "copies")
 
-    twice = _repeats(triggers(docs, length, gram), ["h"], [], True).select("doc_id", "lo")
+    twice = _repeats(triggers(docs, length, gram), ["h"], True)
     kept = stored(twice.join(copies, "doc_id", "left_anti"), "triggers")
 
     def contexts(doc_id, data, at):
@@ -202,12 +237,19 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def suffixes(doc_id, data, at):
         s = np.concatenate([np.arange(a, b + 1) for a, b in zip(*at)]) if len(at[0]) else np.zeros(0, np.int64)
         w = [span_hash(prefix_hash(data, k), s, s + length, k) for k in (0, 1)]
-        return [w[0], (w[1] >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s.astype(np.int32)]
+        return [w[0], (w[1] >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s]
+
+    def later_here(w1, w2, doc_id, s):
+        """All but the earliest of a class among these rows are repeats, whatever other tasks hold."""
+        order = np.lexsort((s, doc_id, w2, w1))
+        known = np.zeros(len(s), bool)
+        known[order[1:]] = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+        return [w1, w2, doc_id, _dealt(s, known, ~known, doc_id)]
 
     dropped(dictionary)
-    rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 int, doc_id long, s int", suffixes)
-    later = _repeats(rows, ["w1", "w2"], ["doc_id", "s"], False)
-    spans = stored(later.select("doc_id", F.col("s").alias("lo"), (F.col("s") + length).alias("hi")).unionByName(copied), "spans")
+    rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 int, doc_id long, at long", suffixes, later_here)
+    later = _repeats(rows, ["w1", "w2"], False)
+    spans = stored(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")).unionByName(copied), "spans")
 
     def cut(doc_id, data, at):
         lo, hi = at
