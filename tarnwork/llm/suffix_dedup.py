@@ -39,6 +39,7 @@ LENGTH, GRAM = 100, 32
 PLACE = 28  # bits of a place within a chunk; the rest of a word orders the grams
 NEED_BITS = 1 << 22
 TABLE, SALT_BITS = 1 << 16, 20
+PASSES = 2  # over the suffixes, a power of two; more need less disk and more time
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -234,10 +235,16 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
     several = stored(dictionary.select("h", "first").join(stored(several, "several"), "h").select("first.doc_id", "first.lo", "first.hi"), "suffixes")
 
-    def suffixes(doc_id, data, at):
-        s = np.concatenate([np.arange(a, b + 1) for a, b in zip(*at)]) if len(at[0]) else np.zeros(0, np.int64)
-        w = [span_hash(prefix_hash(data, k), s, s + length, k) for k in (0, 1)]
-        return [w[0], (w[1] >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s]
+    def suffixes(part):
+        def each(doc_id, data, at):
+            s = np.concatenate([np.arange(a, b + 1) for a, b in zip(*at)]) if len(at[0]) else np.zeros(0, np.int64)
+            w1 = span_hash(prefix_hash(data), s, s + length)
+            own = (w1 & U(PASSES - 1)) == U(part)
+            s, w1 = s[own], w1[own]
+            w2 = span_hash(prefix_hash(data, 1), s, s + length, 1)
+            return [w1, (w2 >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s]
+
+        return each
 
     def later_here(w1, w2, doc_id, s):
         """All but the earliest of a class among these rows are repeats, whatever other tasks hold."""
@@ -247,9 +254,11 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [w1, w2, doc_id, _dealt(s, known, ~known, doc_id)]
 
     dropped(dictionary)
-    rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 int, doc_id long, at long", suffixes, later_here)
-    later = _repeats(rows, ["w1", "w2"], False)
-    spans = stored(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")).unionByName(copied), "spans")
+    spans = copied
+    for part in range(PASSES):  # by hash, so that the suffixes of one pass alone are on disk
+        rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 int, doc_id long, at long", suffixes(part), later_here)
+        later = stored(_repeats(rows, ["w1", "w2"], False), "later")
+        spans = spans.unionByName(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
 
     def cut(doc_id, data, at):
         lo, hi = at
