@@ -39,6 +39,7 @@ LENGTH, GRAM = 100, 32
 PLACE = 28  # bits of a place within a chunk; the rest of a word orders the grams
 NEED_BITS = 1 << 22
 TABLE, SALT_BITS = 1 << 16, 20
+KNOWN = 40  # bit of ``at``, above a place and the length of its phrase
 PASSES = 2  # over the suffixes, a power of two; more need less disk and more time
 
 
@@ -75,7 +76,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def triggers(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, doc_id, at): every phrase's trigger hash and first start, ``at`` as of :func:`_repeats`.
+    """(h, doc_id, at): every phrase's trigger hash, first start and number of further starts, ``at`` as of :func:`_repeats`.
 
     A trigger that a task has met before is surely repeated. Of such places one for each task
     tells the other tasks so, and the rest are dealt anywhere.
@@ -86,7 +87,7 @@ def triggers(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, _, data, offsets in chunks(batch.column(1)):
-                h, lo, _, doc = parse(data, offsets, length, gram)
+                h, lo, hi, doc = parse(data, offsets, length, gram)
                 own, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 slot = (own & U(TABLE - 1)).astype(np.int64)
                 spoken = told[slot] == own
@@ -96,7 +97,7 @@ def triggers(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 speaks[first[~spoken]] = True
                 met[slot], told[slot[repeated]] = own, own[repeated]
                 doc_id = ids[i + doc]
-                at = _dealt(lo - offsets[doc], known, speaks, doc_id)
+                at = _dealt((lo - offsets[doc]) | (hi - lo) << PLACE, known, speaks, doc_id)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc_id), pa.array(at)], names=["h", "doc_id", "at"])
 
     return _texts(docs).mapInArrow(work, "h long, doc_id long, at long")
@@ -105,7 +106,7 @@ def triggers(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _dealt(place: np.ndarray, known: np.ndarray, speaks: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     """``place`` with KNOWN where a row surely belongs to the result, and a salt where no other row needs it."""
     salt = np.where(known & ~speaks, (mix(doc_id.view(np.uint64) + place.astype(np.uint64)) >> U(64 - SALT_BITS)).astype(np.int64) + 1, 0)
-    return place.astype(np.int64) | known.astype(np.int64) << 32 | salt << 33
+    return place.astype(np.int64) | known.astype(np.int64) << KNOWN | salt << KNOWN + 1
 
 
 def _neighbours(batches, keys: int, emit_first: bool):
@@ -123,7 +124,7 @@ def _neighbours(batches, keys: int, emit_first: bool):
         for c in cols:
             same &= c[1:] == c[:-1]
         before = np.concatenate([[held[1] if held else False], same])
-        before |= (table.column("at").to_numpy() >> 32 & 1).astype(bool)
+        before |= (table.column("at").to_numpy() >> KNOWN & 1).astype(bool)
         after = np.concatenate([same, [False]])
         keep = before | after if emit_first else before
         keep[-1] = False
@@ -134,20 +135,20 @@ def _neighbours(batches, keys: int, emit_first: bool):
 
 
 def _repeats(rows: DataFrame, keys: list[str], emit_first: bool) -> DataFrame:
-    """(doc_id, lo) of the rows that share ``keys``; without ``emit_first`` not the earliest of a class.
+    """(keys, doc_id, place) of the rows that share ``keys``; without ``emit_first`` not the earliest of a class.
 
     ``at`` holds the place, above it the KNOWN bit and the salt. Salted rows are KNOWN and
     spread, so a class of any size leaves a few rows of each task to meet.
     """
     n = len(keys)
-    place = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    place = F.col("at").bitwiseAND(F.lit((1 << KNOWN) - 1))
 
     def work(batches):
         for table in _neighbours(batches, n, emit_first):
             yield from table.to_batches()
 
-    dealt = rows.repartition(*keys, F.shiftright("at", 33)).sortWithinPartitions(*keys, "doc_id", place)
-    return dealt.mapInArrow(work, rows.schema).select("doc_id", place.cast("int").alias("lo"))
+    dealt = rows.repartition(*keys, F.shiftright("at", KNOWN + 1)).sortWithinPartitions(*keys, "doc_id", place)
+    return dealt.mapInArrow(work, rows.schema).select(*keys, "doc_id", place.alias("place"))
 
 
 def _texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -220,13 +221,12 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = stored(twice.join(copies, "doc_id", "left_anti"), "triggers")
 
     def contexts(doc_id, data, at):
-        h, lo, hi, _ = parse(data, np.array([0, len(data)]), length, gram)
-        take = np.isin(lo, at[0])
-        h, lo, hi = h[take], lo[take], hi[take]
+        h, place = at
+        lo, hi = place & ((1 << PLACE) - 1), (place & ((1 << PLACE) - 1)) + (place >> PLACE)
         c = [span_hash(prefix_hash(data, k), lo, hi + length, k) for k in (0, 1)]
         return [h, *c, np.full(len(lo), doc_id), lo.astype(np.int32), hi.astype(np.int32)]
 
-    phrases = stored(_with_text(_texts_of(docs, _per_document(kept.distinct(), "lo")), "h long, c1 long, c2 long, doc_id long, lo int, hi int", contexts), "phrases")
+    phrases = stored(_with_text(_texts_of(docs, _per_document(kept.distinct(), "h", "place")), "h long, c1 long, c2 long, doc_id long, lo int, hi int", contexts), "phrases")
     dropped(kept)
     dictionary = stored(phrases.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n")), "dictionary")
     again = dictionary.filter("n > 1").select("c1", "c2", F.col("first.doc_id").alias("fd"), F.col("first.lo").alias("fl"))
@@ -257,7 +257,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = copied
     for part in range(PASSES):  # by hash, so that the suffixes of one pass alone are on disk
         rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 int, doc_id long, at long", suffixes(part), later_here)
-        later = stored(_repeats(rows, ["w1", "w2"], False), "later")
+        later = stored(_repeats(rows, ["w1", "w2"], False).select("doc_id", F.col("place").cast("int").alias("lo")), "later")
         spans = spans.unionByName(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
 
     def cut(doc_id, data, at):
