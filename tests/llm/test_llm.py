@@ -99,6 +99,16 @@ def test_suffix_dedup(spark, odd):
     assert suffix_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_suffix_dedup_hot_passage(spark, tmp_path):
+    """A passage that most documents share in different surroundings, over several tasks."""
+    passage = " ".join(f"p{i * 7919 % 997}" for i in range(60))
+    own = lambda i: " ".join(f"{hashlib.md5(f'{i}-{k}'.encode()).hexdigest()[: 3 + i % 5]}" for k in range(25))
+    rows = [(i, f"{own(i)} {passage[i % 40 :]} {own(-i - 1)}" + (f" {passage}" if i % 7 == 0 else "")) for i in range(160)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert {tuple(r) for r in suffix_dedup.dedup(docs).collect()} == _repeats(rows)
+
+
 def test_packing(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
