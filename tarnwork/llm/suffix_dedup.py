@@ -126,7 +126,7 @@ def _neighbours(batches, keys: int, emit_first: bool):
         before = np.concatenate([[held[1] if held else False], same])
         before |= (table.column("at").to_numpy() >> KNOWN & 1).astype(bool)
         after = np.concatenate([same, [False]])
-        keep = before | after if emit_first else before
+        keep = before | after if emit_first else before.copy()
         keep[-1] = False
         yield table.filter(pa.array(keep)).combine_chunks()
         held = (pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.slice(table.num_rows - 1).columns], schema=table.schema), bool(before[-1]))

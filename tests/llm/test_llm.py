@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,18 @@ def test_suffix_dedup(spark, odd):
     assert suffix_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_suffix_dedup_last_row_of_a_batch():
+    """A repeat that ends a batch, or the whole stream, is reported."""
+    table = pa.table({"w1": [1, 1, 1, 2], "w2": [5, 5, 5, 5], "doc_id": [1, 2, 3, 4], "at": [0, 0, 0, 0]})
+    for cuts in ((4,), (3,), (2, 3), (1, 2, 3, 4)):
+        edges = [0, *cuts, 4]
+        batches = [b for lo, hi in zip(edges, edges[1:]) for b in table.slice(lo, hi - lo).to_batches()]
+        for part in (batches, batches[: len(cuts)]):
+            rows = sum(b.num_rows for b in part)
+            got = [i for t in suffix_dedup._neighbours(part, 2, False) for i in t["doc_id"].to_pylist()]
+            assert got == [i for i in (2, 3) if i <= rows]
+
+
 def test_suffix_dedup_hot_passage(spark, tmp_path):
     """A passage that most documents share in different surroundings, over several tasks."""
     passage = " ".join(f"p{i * 7919 % 997}" for i in range(60))
