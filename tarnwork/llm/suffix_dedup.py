@@ -233,18 +233,14 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copied = stored(phrases.join(again, ["c1", "c2"]).filter((F.col("doc_id") != F.col("fd")) | (F.col("lo") != F.col("fl"))).select("doc_id", "lo", (F.col("hi") + length).alias("hi")), "copied")
     dropped(phrases)
     several = dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
-    several = stored(dictionary.select("h", "first").join(stored(several, "several"), "h").select("first.doc_id", "first.lo", "first.hi"), "suffixes")
+    several = stored(dictionary.select("h", "first").join(stored(several, "several"), "h").select("h", "first.doc_id", "first.lo", "first.hi"), "suffixes")
 
-    def suffixes(part):
-        def each(doc_id, data, at):
-            s = np.concatenate([np.arange(a, b + 1) for a, b in zip(*at)]) if len(at[0]) else np.zeros(0, np.int64)
-            w1 = span_hash(prefix_hash(data), s, s + length)
-            own = (w1 & U(PASSES - 1)) == U(part)
-            s, w1 = s[own], w1[own]
-            w2 = span_hash(prefix_hash(data, 1), s, s + length, 1)
-            return [w1, (w2 >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s]
-
-        return each
+    def suffixes(doc_id, data, at):
+        lo, n = at[0].astype(np.int64), at[1].astype(np.int64) - at[0] + 1
+        s = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        w1 = span_hash(prefix_hash(data), s, s + length)
+        w2 = span_hash(prefix_hash(data, 1), s, s + length, 1)
+        return [w1, (w2 >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s]
 
     def later_here(w1, w2, doc_id, s):
         """All but the earliest of a class among these rows are repeats, whatever other tasks hold."""
@@ -255,8 +251,9 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     dropped(dictionary)
     spans = copied
-    for part in range(PASSES):  # by hash, so that the suffixes of one pass alone are on disk
-        rows = _with_text(_texts_of(docs, _per_document(several, "lo", "hi")), "w1 long, w2 int, doc_id long, at long", suffixes(part), later_here)
+    for part in range(PASSES):  # by trigger, which equal suffixes share, so that the suffixes of one pass alone are on disk
+        own = several.filter(F.col("h").bitwiseAND(F.lit(PASSES - 1)) == part)
+        rows = _with_text(_texts_of(docs, _per_document(own, "lo", "hi")), "w1 long, w2 int, doc_id long, at long", suffixes, later_here)
         later = stored(_repeats(rows, ["w1", "w2"], False).select("doc_id", F.col("place").cast("int").alias("lo")), "later")
         spans = spans.unionByName(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
 
