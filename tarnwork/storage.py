@@ -29,6 +29,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    spark.sparkContext._jvm.System.gc()  # the step before may still have been held when it ended
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # else the shuffle files of steps that are over stay until the driver happens to collect
     return spark.read.schema(df.schema).parquet(path)
