@@ -1,21 +1,25 @@
 """Quality classifier by importance resampling.
 
-Two hashed n-gram models are counted: the raw one over all documents, the target one over
-labelled good documents. A document's importance weight is the ratio of its probability
-under both, drawn by Gumbel top-k: the k largest of ``log weight + Gumbel noise`` are a
-sample without replacement in proportion to the weights.
+Three hashed n-gram models are counted: the raw one over all documents, the target one over
+labelled good documents, the negative one over labelled bad or toxic documents. A document's
+importance weight is the ratio of its probability under target and raw, drawn by Gumbel
+top-k: the k largest of ``log weight + Gumbel noise`` are a sample without replacement in
+proportion to the weights.
 
 * Models: for each hashed feature the share of documents that have it, so that a word
   repeated within one document, or a list of them, is one observation.
 * Features: words and punctuation runs, and pairs of neighbours' forms (case, length, kind,
   and whether the token repeats one of the four before it).
-* Ratio of a feature: ``(c + a) / (e + a)`` with c its target count and e the count expected
-  from the raw model. It counts only below ``exp(-DEAD)``, so neither chance nor length of
-  an ordinary text moves its weight from 1.
+* Ratio of a feature: ``(c + a) / (e + a)`` with c its target count and e the larger of the
+  counts expected from the raw model and from the labels, good and bad in their proportion.
+* It counts only below ``exp(-DEAD)`` and where c is too low for chance: the log likelihood
+  ratio of the target's share of the feature, against all documents or against the bad
+  labels, is above CRITICAL. So neither chance nor length of an ordinary text moves its
+  weight from 1, at any number of labels.
 * k: the expected number of acceptances, the sum of all weights.
 
-The labelled sample is bounded (``max_labelled``, by hash of the id); the raw model, the
-weights and k cover all documents.
+The labelled samples are bounded (``max_labelled`` each, by hash of the id); the raw model,
+the weights and k cover all documents.
 
 Defined cases: NULL and empty texts have weight 1; rows of one id and text share key and
 fate; rows tied at the k-th key are all kept; without good labels all documents are kept; a
@@ -33,10 +37,10 @@ from pyspark.sql import DataFrame, functions as F
 from tarnwork.llm.common import LOWER, SLICE, U, chunks, mix, prefix_hash, slices, span_hash, sum_slices
 from tarnwork.storage import stored
 
-WORDS, PAIRS = 1 << 18, 1 << 17
+WORDS, PAIRS = 1 << 20, 1 << 17  # few words meet in a bucket: one that meets a rejected word is rejected with it
 LAGS = 4
 SIZE = WORDS + PAIRS
-PRIOR, DEAD = 6.0, 1.2
+PRIOR, DEAD, CRITICAL = 1.0, 1.6, 8.0
 MAX_LABELLED = 20_000
 LOTS = SIZE // SLICE + 1  # the last slice holds the number of documents
 _CLASS = np.full(256, 2, np.uint8)
@@ -72,38 +76,60 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bucket(word, WORDS), bucket(before * U(1 << 20) + state, PAIRS) + WORDS, bounds
 
 
+def _low(c: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Log likelihood ratio of c of n cases against the share p; 0 where c is not below it."""
+    p = min(max(p, 1e-12), 1 - 1e-12)
+    f = c / np.maximum(n, 1)
+    out = c * np.log(np.maximum(f, 1e-12) / p) + (n - c) * np.log(np.maximum(1 - f, 1e-12) / (1 - p))
+    return np.where((n > 0) & (f < p), out, 0.0)
+
+
+def log_ratio(raw: np.ndarray, good: np.ndarray, bad: np.ndarray, share: float) -> np.ndarray:
+    """Log ratio of every bucket (0 where it says nothing) from document counts, their numbers last; share: of good labels among all."""
+    n, g, b = raw[-1], good[-1], bad[-1]
+    raw, good, bad = raw[:-1], good[:-1], bad[:-1]
+    expected, sure = raw * (g / n), _low(good, raw, g / n)
+    if b:
+        expected = np.maximum(expected, share * good + (1 - share) * bad * (g / b))
+        sure = np.maximum(sure, _low(good, good + bad, g / (g + b)))
+    out = np.log((good + PRIOR) / (expected + PRIOR))
+    return np.where((out < -DEAD) & (sure > CRITICAL), out, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> np.ndarray | None:
     """Log ratio of every bucket (0 where it says nothing); None without good labels."""
     spark = docs.sparkSession
-    good = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i")).distinct()
-    ids = [r[0] for r in good.orderBy(F.xxhash64("i"), "i").limit(max_labelled).collect()]
-    if not ids:
+    is_good, is_bad = (F.col("quality") == 1) & (F.col("toxic") == 0), (F.col("quality") == 0) | (F.col("toxic") == 1)
+    found = []
+    for side in (is_good, is_bad):
+        rows = labels.filter(side & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i")).distinct()
+        ids = [r[0] for r in rows.orderBy(F.xxhash64("i"), "i").limit(max_labelled).collect()]
+        found.append((np.sort(np.array(ids, np.int64)), rows.count() if len(ids) == max_labelled else len(ids)))
+    (good_ids, n_good), (bad_ids, n_bad) = found
+    if not n_good:
         return None
-    target = spark.sparkContext.broadcast(np.sort(np.array(ids, np.int64)))
+    target = spark.sparkContext.broadcast((good_ids, bad_ids))
 
     def work(batches):
-        counts = np.zeros((2, LOTS * SLICE), np.int64)
-        wanted = target.value
+        counts = np.zeros((3, LOTS * SLICE), np.int64)
         for batch in batches:
             id_values = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            is_target = wanted[np.minimum(np.searchsorted(wanted, id_values), len(wanted) - 1)] == id_values
+            sides = [np.isin(id_values, wanted) for wanted in target.value]
             for i, j, data, offsets in chunks(batch.column(1)):
-                w, p, bounds = features(data, offsets)
+                *kinds, bounds = features(data, offsets)
                 owner = np.repeat(np.arange(j - i), np.diff(bounds)) * SIZE
-                seen = np.unique(np.concatenate([owner + w, owner + p]))
-                target_rows = is_target[i:j][seen // SIZE]
-                counts[0, :SIZE] += np.bincount(seen % SIZE, minlength=SIZE)
-                counts[1, :SIZE] += np.bincount(seen[target_rows] % SIZE, minlength=SIZE)
+                seen = np.concatenate([np.unique(owner + x) for x in kinds])
+                document, seen = seen // SIZE, seen % SIZE
+                counts[0, :SIZE] += np.bincount(seen, minlength=SIZE)
                 counts[0, SIZE] += j - i
-                counts[1, SIZE] += is_target[i:j].sum()
+                for m, side in enumerate(sides, 1):
+                    counts[m, :SIZE] += np.bincount(seen[side[i:j][document]], minlength=SIZE)
+                    counts[m, SIZE] += side[i:j].sum()
         yield slices(counts.ravel())
 
     sums = sum_slices(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "slice int, part int, counts binary"))
-    raw, seen = (np.concatenate([sums.get(m * LOTS + s, np.zeros(SLICE, np.int64)) for s in range(LOTS)]).astype(float) for m in (0, 1))
-    if not seen[SIZE]:
-        return None
-    out = np.log((seen[:SIZE] + PRIOR) / (raw[:SIZE] * (seen[SIZE] / raw[SIZE]) + PRIOR))
-    return np.where(out < -DEAD, out, 0.0)
+    raw, good, bad = (np.concatenate([sums.get(m * LOTS + s, np.zeros(SLICE, np.int64)) for s in range(LOTS)])[: SIZE + 1].astype(float) for m in range(3))
+    return log_ratio(raw, good, bad, n_good / (n_good + n_bad)) if good[SIZE] else None
 
 
 def _gumbel(ids: np.ndarray, h: np.ndarray, seed: int) -> np.ndarray:

@@ -238,6 +238,31 @@ def test_quality(spark, odd):
     assert quality.sample(odd, none).count() == odd.count() and quality.sample(odd.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("sf", "good", "bad", "most"),
+    [("sf0.01", 0.97, 0.05, {"en": 0.05}), ("sf0.1", 0.97, 0.01, {"en": 0.01, "de": 0.1, "fr": 0.1, "es": 0.35})],
+)
+def test_quality_toxic_by_language(spark, sf, good, bad, most):
+    """Toxic documents go in every language with enough of them in the labelled sample, at either size."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in quality.sample(docs, labels, columns=["doc_id"]).collect()}
+    rows = labels.join(docs.select("doc_id", "lang"), "doc_id").collect()
+    share = lambda f: np.mean([r.doc_id in kept for r in rows if f(r)])
+    assert share(lambda r: r.quality and not r.toxic) > good and share(lambda r: not r.quality) < bad
+    for lang, limit in most.items():
+        assert share(lambda r: r.toxic and r.lang == lang) < limit, lang
+
+
+def test_quality_log_ratio():
+    """Two features of 4 % of the documents, in no good one: chance with 20 good labels, not with 300; with the bad labels' evidence 100 are enough."""
+    docs = lambda n, k: np.array([k, n / 2, n], float)
+    for n, rejected in ((20, False), (300, True)):
+        ratio = quality.log_ratio(docs(4 * n, 0.16 * n), docs(n, 0), docs(0, 0), 1.0)
+        assert (ratio[0] < 0) == rejected and ratio[1] == 0
+    assert quality.log_ratio(docs(400, 16), docs(100, 0), docs(0, 0), 1.0)[0] == 0
+    assert quality.log_ratio(docs(400, 16), docs(100, 0), docs(40, 9), 100 / 140)[0] < 0
+
+
 def test_kth_largest(spark):
     values = [1.0, 5.0, 5.0, 2.0, -7.5, 3.25] * 3
     keys = spark.createDataFrame([(v,) for v in values], "sample_key double")
