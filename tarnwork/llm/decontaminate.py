@@ -52,13 +52,23 @@ def seeds(h: np.ndarray) -> list[np.ndarray]:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(equal tokens, first, last + 1 in the document) of the best run of the item laid at ``diagonal``."""
+    """(equal tokens, first, last + 1 in the document) of the best run of the item laid at ``diagonal``.
+
+    The best-scoring run; where that has too few equal tokens, the run with most of them that
+    has PENALTY matches to each substitution: it can hold substitutions near its ends.
+    """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     equal = doc[lo + diagonal : hi + diagonal] == item[lo:hi]
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.argmin(total[: end + 1]))
+    if equal[start:end].sum() < min(MIN_MATCH, len(item)):
+        first = np.searchsorted(-low, -total)  # for each end the longest run whose score is not below 0
+        seen = np.concatenate([[0], np.cumsum(equal)])
+        end = int(np.argmax(seen - seen[first]))
+        places = np.flatnonzero(equal[first[end] : end]) + first[end]
+        start, end = (int(places[0]), int(places[-1]) + 1) if len(places) else (0, 0)
     return int(equal[start:end].sum()), lo + diagonal + start, lo + diagonal + end
 
 

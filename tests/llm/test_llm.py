@@ -212,6 +212,34 @@ def test_decontamination(spark):
     assert decontaminate.find(docs.limit(0), bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_edge_substitutions(spark):
+    """A substitution near an end of a short item doesn't hide the rest of it."""
+    cases = [(15, (2,), (14, 1, 15)), (15, (12,), (14, 1, 15)), (20, (3, 16), (18, 1, 20)), (24, (3, 11, 20), (15, 5, 20)), (13, (), (13, 1, 13))]
+    items = [[f"i{n}x{k}" for k in range(size)] for n, (size, _, _) in enumerate(cases)]
+    texts = [" ".join(["before", *("zz" if k in gone else w for k, w in enumerate(item)), "after"]) for item, (_, gone, _) in zip(items, cases)]
+    bench = spark.createDataFrame([*enumerate(map(" ".join, items))], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.find(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), bench).collect()}
+    assert got == {(n, n, *found) for n, (_, _, found) in enumerate(cases)}
+
+
+def test_best_overlap_accepts_any_run():
+    """Against all runs of a diagonal: 13 equal tokens, or the whole item, with four matches to each substitution."""
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        n, before, cut = rng.integers(12, 36), rng.integers(0, 4), rng.integers(0, 3)
+        item = np.arange(n).astype(np.uint64)
+        laid = np.where(rng.random(n) < rng.choice([0.05, 0.1, 0.2, 0.3]), 999, item).astype(np.uint64)
+        doc = np.concatenate([np.full(before, 998, np.uint64), laid[cut:]])
+        equal = laid[cut:] == item[cut:]
+        runs = [equal[a:b] for a in range(len(equal)) for b in range(a + 1, len(equal) + 1)]
+        most = max((int(r.sum()) for r in runs if r.sum() >= decontaminate.PENALTY * (~r).sum()), default=0)
+        matched, first, last = decontaminate.best_overlap(doc, item, int(before) - int(cut))
+        need = min(decontaminate.MIN_MATCH, n)
+        assert (matched >= need) == (most >= need) and matched <= most
+        inside = equal[first - before : last - before]
+        assert matched == inside.sum() and matched >= decontaminate.PENALTY * (~inside).sum()
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r) for r in decontaminate.find(docs, bench).collect()}
