@@ -92,6 +92,26 @@ def _checkpoint_counts(spark, d):
     return rows.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.countDistinct("source1_id").cast("bigint").alias("n_sources"))
 
 
+def _batch_of(source1_id):
+    return F.floor(source1_id.cast("bigint") / 1000).cast("bigint")
+
+
+def _batched_full(spark, d):
+    """Candidates of all source1 batches."""
+    return flagship(spark, d).withColumn("batch_id", _batch_of(F.col("source1_id")))
+
+
+def n_batches(sources: DataFrame) -> int:
+    """Batches that the source1 entities make: up to that of the largest id."""
+    last = sources.agg(F.max(_batch_of(F.col("entity_id")))).first()[0]
+    return 0 if last is None else last + 1
+
+
+def _checkpoint_counts_full(spark, d):
+    rows = _batched_full(spark, d)
+    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.countDistinct("source1_id").cast("bigint").alias("n_sources"))
+
+
 def _docs_normalized(spark, d):
     return normalize_entities(X.entities_doc(spark, d))
 
@@ -124,6 +144,8 @@ QUERIES = {
     "train_and_score": train_and_score,
     "checkpoint_counts": _checkpoint_counts,
     "missing_batches": lambda s, d: L.missing_batches(_batched(s, d), 3),
+    "checkpoint_counts_full": _checkpoint_counts_full,
+    "missing_batches_full": lambda s, d: L.missing_batches(_batched_full(s, d), n_batches(_sides(s, d)[0])),
     "vote_tally": lambda s, d: L.tally(X.votes(s, d)),
     "availability_latest": lambda s, d: L.latest(X.availability(s, d), "user_id", "available", "ts", "event_id"),
     "availability_summary": lambda s, d: L.availability_summary(L.latest(X.availability(s, d), "user_id", "available", "ts", "event_id")),
@@ -263,6 +285,7 @@ def _errors(*rules: tuple[str, str]) -> str:
 
 
 _BATCHED = "(SELECT *, CAST(floor(CAST(source1_id AS BIGINT) / 1000) AS BIGINT) AS batch_id FROM final) WHERE batch_id % 3 <> 1"
+_BATCHED_FULL = "(SELECT *, CAST(floor(CAST(source1_id AS BIGINT) / 1000) AS BIGINT) AS batch_id FROM final)"
 
 ORACLE = {
     "normalize_parts": f"WITH {_entities(_PART)} SELECT * FROM entities",
@@ -290,6 +313,8 @@ ORACLE = {
     "matches_output": f"{_blocking()}, top AS ({_TOP.format(0.7, 20)}) SELECT s.entity_id AS source1_entity_id, coalesce(g.m, '[]') AS matched_entity_ids FROM s1 s LEFT JOIN (SELECT source1_id, array_to_string(list_sort(list(DISTINCT target_id)), ',') AS m FROM top GROUP BY 1) g ON g.source1_id = s.entity_id",
     "checkpoint_counts": f"{_blocking()} SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT source1_id) AS BIGINT) AS n_sources FROM {_BATCHED} GROUP BY 1",
     "missing_batches": f"{_blocking()} SELECT CAST(b AS BIGINT) AS batch_id FROM (SELECT unnest(range(3)) AS b) WHERE b NOT IN (SELECT batch_id FROM {_BATCHED})",
+    "checkpoint_counts_full": f"{_blocking()} SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT source1_id) AS BIGINT) AS n_sources FROM {_BATCHED_FULL} GROUP BY 1",
+    "missing_batches_full": f"{_blocking()} SELECT CAST(b AS BIGINT) AS batch_id FROM (SELECT unnest(range((SELECT CAST(floor(max(CAST(entity_id AS BIGINT)) / 1000) AS BIGINT) + 1 FROM s1))) AS b) WHERE b NOT IN (SELECT batch_id FROM {_BATCHED_FULL})",
     "vote_tally": "SELECT event_type AS item, CAST(count(*) AS BIGINT) AS votes FROM events GROUP BY 1",
     "availability_latest": _LATEST,
     "availability_summary": f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (available) AS BIGINT) AS n_available, CAST(count(*) FILTER (NOT available) AS BIGINT) AS n_away FROM ({_LATEST})",

@@ -1,5 +1,7 @@
 import pytest
+from tarnwork.operators import statelog
 from tarnwork.plans import ORACLE, QUERIES
+from tarnwork.plans.queries import n_batches
 
 from tests.conftest import SF
 from tests.oracle import compare
@@ -18,3 +20,16 @@ def test_runs(spark, name):
         good = [r.probability for r in rows if r.label == 1]
         bad = [r.probability for r in rows if r.label == 0]
         assert sum(good) / len(good) > sum(bad) / len(bad) + 0.3
+
+
+def test_missing_batches_beyond_the_third(spark):
+    """Batches are counted from the ids: gaps after batch 2 are reported too."""
+    sources = spark.range(0, 20_001, 4).selectExpr("CAST(id AS STRING) AS entity_id")
+    written = sources.selectExpr("CAST(floor(CAST(entity_id AS BIGINT) / 1000) AS BIGINT) AS batch_id").filter("batch_id % 3 <> 1")
+    assert n_batches(sources) == 21 and n_batches(sources.limit(0)) == 0
+    assert sorted(r[0] for r in statelog.missing_batches(written, n_batches(sources)).collect()) == [1, 4, 7, 10, 13, 16, 19]
+
+
+def test_checkpoint_counts_cover_all_candidates(spark):
+    rows = QUERIES["checkpoint_counts_full"](spark, SF).collect()
+    assert {r.batch_id for r in rows} >= {0, 1} and sum(r.n_rows for r in rows) == QUERIES["block_final"](spark, SF).count()
