@@ -65,8 +65,7 @@ def _truth_rows(spark, d) -> DataFrame:
     return grouped.select(F.col("source1_id").alias("source1_entity_id"), text.alias("matched_entity_ids"))
 
 
-def train_and_score(spark, d) -> DataFrame:
-    config = Config(trees=20, min_leaf=5)
+def train_and_score(spark, d, config: Config = Config(trees=20, min_leaf=5)) -> DataFrame:
     rows = P.features(P.label_pairs(_pairs(spark, d), X.truth_part(spark, d)), arrow=True)
     train = rows.filter(~P.in_validation(F.col("source1_id")))
     return R.score(R.train(train, config), rows).select(*B.PAIR, "label", "probability")
@@ -142,6 +141,11 @@ QUERIES = {
     "top_predictions": lambda s, d: R.top_predictions(_scored(s, d), SMALL, 0.3).select(*B.PAIR, "probability"),
     "matches_output": lambda s, d: R.match_output(_sides(s, d)[0], R.top_predictions(_scored(s, d))),
     "train_and_score": train_and_score,
+    "cheap_prefilter_full": lambda s, d: P.cheap_prefilter(_pairs(s, d)).select(*B.PAIR),
+    "training_sample_full": lambda s, d: P.training_sample(_labelled(s, d)).select(*B.PAIR, "label"),
+    "validation_sample_full": lambda s, d: P.validation_sample(_labelled(s, d)).select(*B.PAIR, "label"),
+    "top_predictions_full": lambda s, d: R.top_predictions(_scored(s, d), threshold=0.3).select(*B.PAIR, "probability"),
+    "train_and_score_full": lambda s, d: train_and_score(s, d, Config()),
     "checkpoint_counts": _checkpoint_counts,
     "missing_batches": lambda s, d: L.missing_batches(_batched(s, d), 3),
     "checkpoint_counts_full": _checkpoint_counts_full,
@@ -337,3 +341,10 @@ ORACLE = {
     "set_intersection": f"{_blocking()} SELECT source1_id, target_id FROM final INTERSECT SELECT source1_id, target_id FROM truth",
     "lcs_ratio": f"{_blocking()}, u AS (SELECT DISTINCT na, nb FROM pairs) SELECT na AS name_norm_a, nb AS name_norm_b, CAST({_lcs('na', 'nb')} AS BIGINT) AS lcs FROM u",
 }
+#: The same SQL with the production caps.
+ORACLE |= {
+    "cheap_prefilter_full": _prefilter_sql(Config()),
+    "training_sample_full": ORACLE["training_sample"].replace("LIMIT 50)", f"LIMIT {Config.max_positives})"),
+    "validation_sample_full": ORACLE["validation_sample"].replace("LIMIT 40)", f"LIMIT {Config.validation_max_positives})"),
+    "top_predictions_full": f"{_blocking()} {_TOP.format(0.3, Config.max_predictions)}",
+}

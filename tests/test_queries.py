@@ -33,3 +33,8 @@ def test_missing_batches_beyond_the_third(spark):
 def test_checkpoint_counts_cover_all_candidates(spark):
     rows = QUERIES["checkpoint_counts_full"](spark, SF).collect()
     assert {r.batch_id for r in rows} >= {0, 1} and sum(r.n_rows for r in rows) == QUERIES["block_final"](spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["cheap_prefilter", "top_predictions", "training_sample", "validation_sample"])
+def test_production_caps_keep_more(spark, name):
+    assert QUERIES[f"{name}_full"](spark, SF).count() > QUERIES[name](spark, SF).count()
