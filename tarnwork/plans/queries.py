@@ -164,6 +164,10 @@ QUERIES = {
     "validate_users": lambda s, d: read_table(s, d, "customer").select("c_custkey", F.array_join(C.user_errors(F.col("c_mktsegment"), F.col("c_name"), F.col("c_acctbal").cast("int").cast("string")), "; ").alias("errors")),
     "constraints": lambda s, d: C.constraint_violations(read_table(s, d, "events"), ["user_id", "event_type"], ["event_id", "user_id"]),
     "duplicate_keys": lambda s, d: L.duplicates(read_table(s, d, "documents").select(F.lower(F.trim(F.substring("text", 1, 20))).alias("title")), "title"),
+    "normalize_docs_full": lambda s, d: normalize_entities(X.entities_doc_full(s, d)),
+    "duplicate_keys_full": lambda s, d: L.duplicates(read_table(s, d, "documents").select(F.lower(F.trim("text")).alias("title")), "title"),
+    "validate_notes_full": lambda s, d: X.note_log_full(s, d).select("note_id", "version", F.array_join(C.note_errors(F.col("title"), F.col("content")), "; ").alias("errors")),
+    "notes_live_full": lambda s, d: L.live_notes(X.note_log_full(s, d)).select("note_id", "user_id", "title", "updated_version", "created_version"),
     "generated_keys": lambda s, d: L.with_keys(X.votes(s, d).select("ts", "event_id"), "id", "ts", "event_id").select("id", "event_id"),
     "quote_history": lambda s, d: L.listing(X.votes(s, d), F.desc("event_id")).select("event_id", F.concat(F.lit('"'), "item", F.lit('"')).alias("quote"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.date_format("ts", "dd MMM yyyy, hh:mm a").alias("shown_at")),
     "initials": lambda s, d: read_table(s, d, "customer").select("c_custkey", N.initials(F.concat_ws(" ", F.lower("c_mktsegment"), F.split("c_name", "#")[0])).alias("initials")),
@@ -348,3 +352,11 @@ ORACLE |= {
     "validation_sample_full": ORACLE["validation_sample"].replace("LIMIT 40)", f"LIMIT {Config.validation_max_positives})"),
     "top_predictions_full": f"{_blocking()} {_TOP.format(0.3, Config.max_predictions)}",
 }
+#: The same SQL over whole texts.
+_DOC_FULL = _DOC.replace("substr(text, 1, 60)", "text").replace("substr(text, 61, 200)", "text")
+ORACLE |= {
+    "normalize_docs_full": f"WITH {_entities(_DOC_FULL)} SELECT * FROM entities",
+    "duplicate_keys_full": ORACLE["duplicate_keys"].replace("substr(text, 1, 20)", "text"),
+    "validate_notes_full": ORACLE["validate_notes"].replace("substr(text, 1, 100)", "text"),
+    "notes_live_full": ORACLE["notes_live"].replace("substr(text, 1, 100)", "text"),
+}

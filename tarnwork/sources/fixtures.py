@@ -27,6 +27,15 @@ def entities_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entities_doc_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entities, the whole text both as name and as address."""
+    key = F.col("doc_id")
+    return read_table(spark, sf_dir, "documents").select(
+        key.cast("string").alias("entity_id"), _side(key).alias("source"), F.col("text").alias("business_name"),
+        F.col("text").alias("business_address"), F.col("lang").alias("country"),
+    )
+
+
 def truth_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source1_id, target_id) of parts equal in name, brand and type."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
@@ -56,3 +65,8 @@ def note_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("note_id"), F.col("turn").alias("version"), (F.col("conv_id") % 10).alias("user_id"), op.alias("op"),
         F.substring("text", 1, 100).alias("title"), F.col("text").alias("content"),
     )
+
+
+def note_log_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``note_log`` with titles that aren't cut."""
+    return note_log(spark, sf_dir).withColumn("title", F.col("content"))

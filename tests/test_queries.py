@@ -38,3 +38,12 @@ def test_checkpoint_counts_cover_all_candidates(spark):
 @pytest.mark.parametrize("name", ["cheap_prefilter", "top_predictions", "training_sample", "validation_sample"])
 def test_production_caps_keep_more(spark, name):
     assert QUERIES[f"{name}_full"](spark, SF).count() > QUERIES[name](spark, SF).count()
+
+
+def test_whole_texts(spark):
+    """What lies behind a prefix counts."""
+    read = lambda name: QUERIES[name](spark, SF).collect()
+    assert max(len(r.name_norm) for r in read("normalize_docs_full")) > 260 and max(len(r.address_norm) for r in read("normalize_docs_full")) > 260
+    assert max(len(r.title) for r in read("duplicate_keys_full")) > 20
+    assert any("title too long" in r.errors for r in read("validate_notes_full")) and not any("title too long" in r.errors for r in read("validate_notes"))
+    assert max(len(r.title) for r in read("notes_live_full")) > 100
