@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 CHUNK = 1 << 20
 SLICE = 1 << 15
+LANES = 8
+MARK_BITS = 1 << 22
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -51,7 +54,11 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """P with P[j] - P[i] = sum of BYTE[data[k]] * BASE**k over i <= k < j."""
+    """P with P[j] - P[i] = sum of BYTE[data[k]] * BASE**k over i <= k < j.
+
+    For short spans only (a rolling hash): a polynomial modulo 2**64 has colliding pairs of
+    a thousand bytes. Words have :func:`word_hash`.
+    """
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
     np.cumsum(BYTE[data] * powers(len(data), which)[0], out=out[1:])
@@ -102,10 +109,38 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, fold
     return low, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes [start, end) of each word.
+
+    Eight bytes at a time go through a bijective mix, so words of up to eight bytes can't
+    collide with others of their length and no family of strings does by construction, as
+    it would under a polynomial modulo a power of two. Words beyond LANES * 8 bytes are
+    hashed one by one.
+    """
+    n = ends - starts
+    out = mix(n.astype(np.uint64) * U(0xA24BAED4963EE407) + U(0x9FB21C651E98DF25))
+    if not len(n):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    rows = np.flatnonzero(n <= LANES * 8)
+    for k in range(LANES):
+        rows = rows[n[rows] > 8 * k]
+        if not len(rows):
+            break
+        left = np.minimum(n[rows] - 8 * k, 8).astype(np.uint64)
+        lane = lanes[starts[rows] + 8 * k] & (~U(0) >> (U(64) - U(8) * left))
+        out[rows] = mix(out[rows] ^ lane) + U(0x9E3779B97F4A7C15)
+    for i in np.flatnonzero(n > LANES * 8):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), 0x51ED)
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, **kind) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each document's words begin."""
     low, starts, ends, bounds = words(data, offsets, **kind)
-    return span_hash(prefix_hash(low), starts, ends), bounds
+    return word_hash(low, starts, ends), bounds
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -148,3 +183,28 @@ def sum_slices(found: DataFrame) -> dict[int, np.ndarray]:
 
     spread = found.groupBy("slice", "part").applyInArrow(total, "slice int, counts binary")
     return {r[0]: np.frombuffer(zlib.decompress(r[1]), np.int64) for r in spread.groupBy("slice").applyInArrow(total, "slice int, counts binary").collect()}
+
+
+def bitmap(keys: DataFrame, key: str, bits: int = MARK_BITS) -> np.ndarray:
+    """A bitmap of fixed size with the slot of every value of ``key`` set (``bits`` / 32 rows to the driver at most)."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))
+    table = np.zeros(bits // 32, np.int64)
+    for w, found in keys.groupBy((slot / 32).cast("int").alias("w")).agg(F.bit_or(one).alias("bits")).collect():
+        table[w] = found
+    return table
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys``; a false one costs time only, a join decides."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap(keys, key))
+    slot = F.pmod(F.xxhash64(key), F.lit(MARK_BITS)).alias("__slot")
+
+    def work(batches):
+        bits = shared.value
+        for batch in batches:
+            slots = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).filter(pa.array(((bits[slots >> 5] >> (slots & 31)) & 1).astype(bool)))
+
+    return rows.select(slot, *rows.columns).mapInArrow(work, rows.schema)

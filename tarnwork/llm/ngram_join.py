@@ -1,43 +1,51 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip).
 
-Two texts of n and m shingles that reach the similarity share at least T = ceil(sim * n)
-shingles, so a text's T - k longest inverted lists may be left aside: a partner occurs at
-least k times in the short lists that remain. The steps:
+Two texts of n and m shingles that reach the similarity share at least T = ceil(sim * max(n, m))
+shingles. The steps:
 
 1. Count shingles in a sketch (all documents); its counts order each text's shingles, rare
-   ones first. Any order gives right results, this one keeps the short lists short.
-2. Texts with equal shingle sets become one representative.
-3. The representatives' short lists are merged: pairs that meet at least k times in lists of
-   up to ``SHORT`` members, and lists that are longer, tie texts into families.
-4. Each family is searched in one task with its own inverted index: short lists are merged,
-   candidates are probed in the long ones by binary search (or counted on, where that is
-   cheaper), and pairs already connected are skipped. Only a spanning forest of verified
-   links comes out, so a family of thousands never becomes all its pairs.
-5. Families whose shingles exceed ``FAMILY`` are searched list by list and pair by pair, lists
-   in chunk pairs, so that memory stays bounded and no link is lost.
+   ones first. Any order gives right results, this one keeps the lists below short.
+2. Rows with equal shingle sets become one class.
+3. Who has to be searched together: a class's T - OCCUR most frequent shingles are left aside,
+   so a partner shares at least OCCUR (or T, if that is less) of those that remain. Pairs that
+   do so in lists of up to ``SHORT`` classes, and lists that are longer, tie classes into
+   families.
+4. A family is dealt to blocks of a bounded number of classes and shingles, and every pair of
+   its blocks is one group: an inverted index of the one block, and T-occurrence queries of the
+   other. Each query's lists are divided into the L longest and the short ones; the short ones
+   are merged with a heap and what occurs T - L times is probed in the long ones by binary
+   search. Pairs that are connected already are skipped, so only a spanning forest of verified
+   links comes out and a family of thousands never becomes all its pairs.
+
+A small family is one block, a large one many: the same search, and no group that grows with
+the family. A component is what links reach, so the operator returns components, not the
+number of links.
 
 Defined cases: NULL and empty texts have the empty set and are linked with nothing; a text
-shorter than a shingle is one shingle; repeated rows are equal texts; a NULL doc_id is its
-own component, NULL.
+shorter than a shingle is one shingle; repeated rows are equal texts; rows of one doc_id with
+different texts are documents of their own, each with its own component, whatever their order;
+a NULL doc_id is not searched and its component is NULL. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarnwork.llm.common import SLICE, U, chunks, doc_shingles, mix, slices, sum_slices, word_hashes
+from tarnwork.llm.common import SLICE, U, chunks, doc_shingles, marked, mix, slices, sum_slices, word_hashes
 from tarnwork.llm.graph import components
 from tarnwork.storage import dropped, stored
 
 SKETCH = 1 << 20
 SHORT = 16
 OCCUR = 3
-FAMILY = 1 << 22
-NEED_BITS = 1 << 22
+BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 17
+MU = 0.01  # cost of a probe against a merge step, as in the published choice of L
 
 
 def shingles_of(column, n: int):
@@ -71,7 +79,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def short_lists(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, d2, lists): set size, digest of the set, and the shingles of its short lists."""
+    """(doc_id, n, d1, d2, lists): set size, digest of the set, and the shingles that are not left aside."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def work(batches):
@@ -97,18 +105,56 @@ def short_lists(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> Dat
     return docs.mapInArrow(work, "doc_id long, n long, d1 long, d2 long, lists array<long>")
 
 
-def search_family(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest (member, smallest member) of the links among these texts."""
-    m = len(ids)
-    order = np.argsort(ids, kind="stable")
-    ids, sets = ids[order], [sets[i] for i in order]
+# --------------------------------------------------------------------------- search
+
+
+def divide(lengths: np.ndarray, need: int) -> int:
+    """L, the number of longest lists to probe: the published choice, at most T - 1."""
+    longest = max(2, int(lengths.max(initial=2)))
+    return min(need - 1, int(need / (MU * math.log2(longest) + 1)))
+
+
+def heap_merge(runs: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur in at least ``least`` of the ascending runs, and in how many."""
+    found = [(i, n) for i, n in ((i, sum(1 for _ in same)) for i, same in groupby(heapq.merge(*[r.tolist() for r in runs]))) if n >= least]
+    return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
+
+
+def occurrences(lists: list[np.ndarray], need: int, sizes: np.ndarray, open_: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, occurrences) of the ``open_`` ids that occur in at least ``least`` of the lists, none of which may be below ``need``.
+
+    ``lists`` ascend by id; ``open_`` and ``least`` are given for every id.
+    """
+    lengths = np.array([len(x) for x in lists], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    n_long = divide(lengths, need)
+    short, long = order[: len(order) - n_long], order[len(order) - n_long :]
+    ids, counts = heap_merge([lists[k] for k in short if lengths[k]], need - n_long)
+    keep = open_[ids]
+    ids, counts = ids[keep], counts[keep]
+    for done, k in enumerate(long):  # the shorter of the long ones first: fewer can be reached the later it gets
+        keep = counts + (n_long - done) >= least[ids]
+        ids, counts = ids[keep], counts[keep]
+        if not len(ids):
+            break
+        run = lists[k]
+        at = np.minimum(np.searchsorted(run, ids), len(run) - 1)
+        counts = counts + (run[at] == ids)
+    keep = counts >= least[ids]
+    return ids[keep], counts[keep]
+
+
+def search(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest (node, smallest node) of the links between the two sides, or within the one there is."""
+    order = np.lexsort((nodes, side))
+    nodes, sets, side = nodes[order], [sets[i] for i in order], side[order]
     sizes = np.array([len(s) for s in sets])
-    _, local, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), sizes)
+    m, first = len(nodes), int((side == side[0]).sum())
+    within = first == m
+    n_index = first  # the first side is indexed, the last one asks
+    tokens, local, df = np.unique(np.concatenate(sets[:n_index]), return_inverse=True, return_counts=True)
     starts = np.concatenate([[0], np.cumsum(df)])
-    lists = owner[np.argsort(local, kind="stable")]  # by token, documents ascending
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    tokens = [np.sort(local[cuts[i] : cuts[i + 1]]) for i in range(m)]
+    lists = np.repeat(np.arange(n_index), sizes[:n_index])[np.argsort(local, kind="stable")]  # by shingle, ids ascending
     parent = np.arange(m)
 
     def root(x: int) -> int:
@@ -117,65 +163,68 @@ def search_family(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list
             x = parent[x]
         return x
 
-    for i in range(1, m):
-        mine = tokens[i][np.argsort(df[tokens[i]], kind="stable")]
+    for i in range(1 if within else first, m):
+        s = sets[i]
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        mine = at[tokens[at] == s]
         need = int(least_overlap(sizes[i], percent))
-        n_short = len(mine) - need + 1
-        short = [lists[starts[t] : starts[t + 1]] for t in mine[:n_short] if df[t] > 1]
-        if not short:
+        if len(mine) < need:
             continue
-        if sum(map(len, short)) < 64:
-            found = np.array(sorted({int(d) for d in heapq.merge(*[s.tolist() for s in short])}), np.int64)
-        else:  # the same merge of ascending runs, vectorised
-            found = np.unique(np.concatenate(short))
-        found = found[found < i]
-        found = found[(100 * np.minimum(sizes[found], sizes[i]) >= percent * np.maximum(sizes[found], sizes[i]))]
-        mine_root = root(i)
-        found = np.array([j for j in found if root(int(j)) != mine_root], np.int64)
-        if not len(found):
+        most = i if within else n_index  # within one block a text asks those before it
+        own = root(i)
+        joined = np.array([root(j) for j in range(most)]) == own
+        close = 100 * np.minimum(sizes[:most], sizes[i]) >= percent * np.maximum(sizes[:most], sizes[i])
+        open_ = np.zeros(n_index, bool)
+        open_[:most] = close & ~joined
+        if not open_.any():
             continue
-        if len(found) * len(mine) > int(df[mine].sum()):  # counting on is cheaper than probing
-            hits = np.bincount(np.concatenate([lists[starts[t] : starts[t + 1]] for t in mine]), minlength=m)[found]
-        else:
-            hits = np.array([_probe(tokens[i], tokens[j]) for j in found])
-        for j in found[100 * hits >= percent * (sizes[found] + sizes[i] - hits)]:
+        least = -(-percent * (sizes[:n_index] + sizes[i]) // (100 + percent))  # overlap that the similarity asks of this pair
+        runs = [lists[starts[t] : starts[t + 1]] for t in mine]
+        runs += [np.zeros(0, np.int64)] * (len(s) - len(runs))
+        for j in occurrences(runs, need, sizes, open_, least)[0]:
             a, b = root(int(j)), root(i)
             parent[max(a, b)] = min(a, b)
-    return [(int(ids[i]), int(ids[root(i)])) for i in range(m) if root(i) != i]
+    roots = np.array([root(i) for i in range(m)])
+    smallest = {}
+    for i in np.argsort(nodes, kind="stable"):
+        smallest.setdefault(int(roots[i]), int(nodes[i]))
+    return [(int(nodes[i]), smallest[int(roots[i])]) for i in range(m) if smallest[int(roots[i])] != nodes[i]]
 
 
-def _probe(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int((b[at] == a).sum())
-
-
-def _needed_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
-    """(rid, s) of the documents in ``need``; a bitmap of fixed size spares the others' sets."""
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("rid"), F.lit(NEED_BITS))
-    words = need.groupBy((slot / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("bits"))
-    table = np.zeros(NEED_BITS // 32, np.int64)
-    for w, bits in words.collect():  # NEED_BITS / 32 rows at most
-        table[w] = bits
-    shared = spark.sparkContext.broadcast(table)
-    marked = docs.withColumn("slot", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(NEED_BITS)))
+def _full_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
+    """(node, s) of the classes in ``need`` (node, rid, d1): the whole set, from a text of the class."""
 
     def work(batches):
-        bits = shared.value
         for batch in batches:
-            slots = batch.column(2).to_numpy()
-            rows = np.flatnonzero((bits[slots >> 5] >> (slots & 31)) & 1)
-            part = batch.take(pa.array(rows))
-            for at in range(0, part.num_rows, 512):
-                some = part.slice(at, 512)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
                 sets = [s for _, s in shingles_of(some.column(1), n)]
                 ends = np.cumsum([0, *map(len, sets)])
+                digest = [mix(s).sum(dtype=np.uint64) for s in sets]
                 values = pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["rid", "s"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["rid", "d1", "s"])
+
+    found = marked(docs.select(F.col("doc_id").alias("rid"), "text"), need, "rid").mapInArrow(work, "rid long, d1 long, s array<long>")
+    return found.join(need, ["rid", "d1"]).select("node", "s").dropDuplicates(["node"])
 
-    found = marked.select("doc_id", "text", "slot").mapInArrow(work, "rid long, s array<long>")
-    return found.join(need, "rid", "left_semi").dropDuplicates(["rid"])
+
+def families(reps: DataFrame, percent: int) -> DataFrame:
+    """(node, f): the classes that have to be searched together; classes that share nothing are left out."""
+    postings = reps.select("node", "n", F.explode("lists").alias("s"))
+    met = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("first")).filter("c > 1")
+    shared = stored(postings.join(met, "s"), "postings")
+    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    need = lambda x: F.floor((x * percent + 99) / 100).cast("long")
+    lists = shared.filter(F.col("c") <= SHORT).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
+        F.filter(F.slice("l", i + 2, F.lit(SHORT)), lambda y: close(x["n"], y["n"])),
+        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(F.lit(OCCUR).cast("long"), need(x["n"]), need(y["n"])).alias("k")),
+    )))
+    often = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "p.k").agg(F.count(F.lit(1)).alias("m")).filter("m >= k").select("a", "b")
+    tied = shared.filter(F.col("c") > SHORT).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    joined = components(often.unionByName(tied))
+    dropped(shared)
+    return joined.select(F.col("a").alias("node"), F.col("b").alias("f")).unionByName(joined.select(F.col("b").alias("node"), F.col("b").alias("f")).distinct())
 
 
 def join_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,69 +232,49 @@ def join_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: st
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(short_lists(docs, sketch(docs, n), n, percent), "sets")
     same = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = stored(same.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rid"), F.first("lists").alias("lists")), "reps")
-
-    postings = reps.select("rid", "n", F.explode("lists").alias("s"))
-    met = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("first")).filter("c > 1")
-    shared = stored(postings.join(met, "s"), "postings")
+    # numbered when written, so a class has the same number wherever it is read
+    reps = stored(same.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rid"), F.first("lists").alias("lists")).withColumn("node", F.monotonically_increasing_id()), "reps")
+    member = stored(families(reps, percent).join(reps.select("node", "n", "rid", "d1"), "node"), "families")
 
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    lists = shared.filter(F.col("c") <= SHORT).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("rid", "n"))).alias("l"))
-    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
-        F.filter(F.slice("l", i + 2, F.lit(SHORT)), lambda y: close(x["n"], y["n"]) & (x["rid"] != y["rid"])),
-        lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b"), F.least(F.lit(OCCUR).cast("long"), _need_col(x["n"], percent), _need_col(y["n"], percent)).alias("k")),
-    )))
-    short_pairs = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "p.k").agg(F.count(F.lit(1)).alias("m")).filter("m >= k").select("a", "b")
-    long = shared.filter(F.col("c") > SHORT)
-    short_pairs = stored(short_pairs, "pairs")
-    family = stored(components(short_pairs.unionByName(long.select(F.col("rid").alias("a"), F.col("first").alias("b")))), "families")
-
-    member = family.select(F.col("a").alias("rid"), F.col("b").alias("f")).unionByName(family.select(F.col("b").alias("rid"), F.col("b").alias("f")).distinct())
-    sized = member.join(reps.select("rid", "n"), "rid")
-    large = stored(sized.groupBy("f").agg(F.sum("n").alias("total")).filter(F.col("total") > FAMILY).select("f"), "large")
-    zero = F.lit(0).cast("long")
-    blocks = member.join(large, "f", "left_anti").select(F.col("f").alias("k1"), zero.alias("k2"), zero.alias("k3"), "rid")
-    if not large.isEmpty():
-        inside = stored(member.join(large, "f", "left_semi").select("rid"), "inside")
-        both = short_pairs.join(inside, short_pairs.a == inside.rid, "left_semi")
-        by_pair = both.select(F.col("a").alias("k1"), F.col("b").alias("k2"), F.lit(-1).cast("long").alias("k3"), F.explode(F.array("a", "b")).alias("rid"))
-        rows = long.join(inside, "rid", "left_semi")
-        parts = rows.groupBy("s").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (FAMILY // 2))).cast("int").alias("q"))
-        dealt = rows.join(parts, "s").withColumn("h", F.pmod(F.xxhash64("rid"), F.col("q")).cast("long"))
-        spread = dealt.select("s", "rid", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q").cast("long") - 1)).alias("o"))
-        by_list = spread.select(F.col("s").alias("k1"), F.least("h", "o").alias("k2"), (F.greatest("h", "o") + 1).alias("k3"), "rid")
-        blocks = blocks.unionByName(by_pair).unionByName(by_list)
-    blocks = stored(blocks, "blocks")
+    blocks = member.groupBy("f").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("q"))
+    dealt = member.join(blocks, "f").withColumn("h", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    # a block meets every other block of its family, the lower number first; alone only in a family of one block
+    meets = F.when(F.col("q") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
+    spread = dealt.select("node", "f", "h", F.explode(meets).alias("o")).select("node", "f", F.least("h", "o").alias("k1"), F.greatest("h", "o").alias("k2"), "h")
 
     def work(table: pa.Table) -> pa.Table:
         s = table["s"].combine_chunks()
         ends, values = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
-        links = search_family(table["rid"].to_numpy(), [values[a:b] for a, b in zip(ends[:-1], ends[1:])], percent) if table.num_rows > 1 else []
+        side = table["h"].to_numpy()
+        alone = table["k1"][0] != table["k2"][0] and side.min() == side.max()  # two blocks, one of them empty
+        links = search(table["node"].to_numpy(), [values[a:b] for a, b in zip(ends[:-1], ends[1:])], side, percent) if len(side) > 1 and not alone else []
         cols = list(zip(*links)) or [(), ()]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
-    full = blocks.join(_needed_sets(docs, blocks.select("rid").distinct(), n), "rid")
-    links = full.select("k1", "k2", "k3", "rid", "s").groupBy("k1", "k2", "k3").applyInArrow(work, "a long, b long")
+    whole = _full_sets(docs, member.select("node", "rid", "d1"), n)
+    links = spread.join(whole, "node").select("f", "k1", "k2", "h", "node", "s").groupBy("f", "k1", "k2").applyInArrow(work, "a long, b long")
     linked = components(links)
-    dropped(shared, short_pairs)
 
+    to = reps.select("d1", "d2", F.col("n").alias("rn"), "rid", "node").join(linked, F.col("node") == F.col("a"), "left").withColumn("c", F.coalesce("b", "node"))
+    to = stored(to.select("d1", "d2", "rn", "rid", "c"), "roots")
+    least = to.groupBy("c").agg(F.min("rid").alias("component_id"))
     # both sides come from written tables, so AQE may split a class of very many copies
-    classes = stored(reps.select("d1", "d2", F.col("n").alias("rn"), "rid").join(linked, F.col("rid") == F.col("a"), "left").select("d1", "d2", "rn", F.coalesce("b", "rid").alias("component_id")), "classes")
+    classes = stored(to.join(least, "c").select("d1", "d2", "rn", "component_id"), "classes")
     known = F.col("n") > 0
     out = sets.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").filter(~known | F.col("rn").isNull() | (F.col("n") == F.col("rn")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _need_col(n, percent: int):
-    return F.floor((n * percent + 99) / 100).cast("long")
-
-
 def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with one row of each class, that of the smallest id; rows without shingles stay."""
-    classes = join_classes(documents, n, percent, id_col, text_col)
-    extra = classes.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = documents.join(extra, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates([id_col, text_col])
+    """``documents`` with one row of each class, that of the smallest id; rows without shingles stay.
+
+    Of rows that repeat an id with its text one stays. An id with several texts is one
+    document here: it goes if all its texts have a smaller representative.
+    """
+    classes = join_classes(documents, n, percent, id_col, text_col).filter("doc_id IS NOT NULL")
+    gone = classes.groupBy("doc_id").agg(F.bool_and((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).alias("__all")).filter("__all").select(F.col("doc_id").alias("__gone"))
+    kept = documents.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return kept.withColumns({"__d1": F.xxhash64(text_col), "__d2": F.xxhash64(F.lit(1), text_col)}).dropDuplicates([id_col, "__d1", "__d2"]).drop("__d1", "__d2")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -62,14 +62,60 @@ def _classes(rows, n, percent):
     return {(i, len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("family", [ngram_join.FAMILY, 2000])
-def test_ngram_join(spark, monkeypatch, family):
-    monkeypatch.setattr(ngram_join, "FAMILY", family)  # small: families are searched list by list
+def test_ngram_join(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = _classes([(r.doc_id, r.text) for r in docs.collect()], 3, 90)
     assert {tuple(r) for r in ngram_join.join_classes(docs, 3, 90).collect()} == want
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_ngram_join_large_family(spark, n, percent):
+    """Several hundred near copies at all distances: many blocks of one family, chains of links, texts just below the limit."""
+    rng = np.random.default_rng(7)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(420):
+        w = list(base if i % 3 else rows[-1][1].split() if rows else base)
+        for k in rng.choice(len(w), rng.integers(0, 6), replace=False):
+            w[k] = f"x{rng.integers(0, 40)}"
+        rows.append((int(rng.integers(0, 10**6)) * 1000 + i, " ".join(w)))
+    rows += [(i, f"lone text {i} " + " ".join(f"u{i}_{k}" for k in range(9))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in ngram_join.join_classes(docs, n, percent).collect()} == _classes(rows, n, percent)
+
+
+def test_ngram_join_ids_and_hashes(spark):
+    """One id with two texts, in either order; long words that a polynomial hash takes for equal."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    rows = [(1, x), (1, y), (2, x), (3, y), (10, f"{a} same end"), (11, f"{b} same end")]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id) for r in ngram_join.join_classes(spark.createDataFrame(order, "doc_id long, text string"), 3, 90).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (10, 10), (11, 11)]
+    for order in ([(5, x), (5, y), (2, x), (7, y)], [(5, y), (7, y), (2, x), (5, x)]):  # the two texts stay apart
+        got = sorted((r.doc_id, r.component_id) for r in ngram_join.join_classes(spark.createDataFrame(order, "doc_id long, text string"), 3, 90).collect())
+        assert got == [(2, 2), (5, 2), (5, 5), (7, 5)]
+    kept = ngram_join.one_of_each(spark.createDataFrame([(1, x), (1, x), (2, x), (None, x), (4, ""), (4, ""), (5, y)], "doc_id long, text string"), 3, 90)
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4, 5]
+
+
+def test_divide_skip_against_counting():
+    """T-occurrence with long lists probed, against plain counting."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        m = int(rng.integers(2, 60))
+        lists = [np.flatnonzero(rng.random(m) < rng.choice([0.05, 0.5, 0.95])) for _ in range(int(rng.integers(4, 40)))]
+        need = int(rng.integers(1, len(lists)))
+        least = np.full(m, need) + rng.integers(0, 2, m)
+        open_ = rng.random(m) < 0.8
+        lists = sorted(lists, key=len)[::-1] if sum(len(x) > 0 for x in lists) >= need else [np.arange(m)] * len(lists)
+        counts = np.bincount(np.concatenate(lists), minlength=m)
+        ids, hits = ngram_join.occurrences(lists, need, np.ones(m), open_, least)
+        want = np.flatnonzero((counts >= least) & open_)
+        assert ids.tolist() == want.tolist() and hits.tolist() == counts[want].tolist()
+
+
 def test_ngram_join_odd(spark, odd):
     got = {tuple(r) for r in ngram_join.join_classes(odd, 3, 90).collect()}
     want = _classes([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None], 3, 90)
