@@ -44,7 +44,7 @@ from tarnwork.storage import dropped, stored
 SKETCH = 1 << 20
 SHORT = 16
 OCCUR = 3
-BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 17
+BLOCK_SETS, BLOCK_SHINGLES = 64, 1 << 17
 MU = 0.01  # cost of a probe against a merge step, as in the published choice of L
 
 
