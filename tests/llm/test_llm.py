@@ -1,6 +1,7 @@
 """Each operator against SQL or brute force, and its edge cases."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -286,11 +287,47 @@ def test_best_overlap_accepts_any_run():
         assert matched == inside.sum() and matched >= decontaminate.PENALTY * (~inside).sum()
 
 
-def test_decontamination_in_slices(spark, monkeypatch):
-    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = {tuple(r) for r in decontaminate.find(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "SLICE", 1000)
-    assert {tuple(r) for r in decontaminate.find(docs, bench).collect()} == whole and whole
+def _overlaps(docs, items):
+    """All (document, item) pairs that a seed of some mask hits and whose overlap meets the rule, by trying every place."""
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())  # noqa: E731  (bytes.lower folds A-Z alone)
+    out = set()
+    for i, t in docs:
+        d = words(t)
+        for k, x in items:
+            it = words(x)
+            if len(it) < decontaminate.SHORTEST:
+                continue
+            places = []
+            for shift in range(-len(it) + 1, len(d)):
+                eq = [0 <= p + shift < len(d) and d[p + shift] == it[p] for p in range(len(it))]
+                if len(it) < decontaminate.SPAN:
+                    ok = all(eq)
+                else:
+                    runs = range(max(0, -shift), min(len(it), len(d) - shift) - decontaminate.SPAN + 1)
+                    ok = any(all(eq[p + o] for o, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for p in runs)
+                if ok:
+                    whole = [eq[p] for p in range(max(0, -shift), min(len(it), len(d) - shift))]
+                    most = max((sum(whole[a:b]) for a in range(len(whole)) for b in range(a + 1, len(whole) + 1) if sum(whole[a:b]) >= decontaminate.PENALTY * (b - a - sum(whole[a:b]))), default=0)
+                    places.append(most)
+            if places and max(places) >= min(decontaminate.MIN_MATCH, len(it)):
+                out.add((i, k))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    bench = [(k, " ".join(f"v{rng.integers(0, 60)}" for _ in range(int(n)))) for k, n in enumerate([4, 5, 8, 11, 12, 13, 15, 20, 28, 11])]
+    docs = []
+    for i in range(60):
+        w = [f"v{rng.integers(0, 60)}" for _ in range(int(rng.integers(0, 40)))]
+        copy = bench[i % len(bench)][1].split()
+        copy = [f"z{i}" if rng.random() < (0, 0.05, 0.15)[i % 3] else x for x in copy]
+        at = int(rng.integers(0, len(w) + 1))
+        docs.append((i, " ".join(w[:at] + (copy[: -2] if i % 7 == 0 else copy) + w[at:])))
+    docs += [(100, None), (101, ""), (102, "A " * 30_000 + bench[7][1].upper().replace(" ", " -- "))]
+    table = spark.createDataFrame([(i, t, 1, 2, "c") for i, t in docs], "doc_id long, text string, item int, s int, tokens string").repartition(5)
+    got = decontaminate.find(table, spark.createDataFrame([*bench, bench[3], (50, None)], "item_id long, text string")).collect()
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got}) and {(r.doc_id, r.item_id) for r in got} == _overlaps(docs, bench) != set()
 
 
 def test_line_dedup(spark, odd):
