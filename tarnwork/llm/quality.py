@@ -6,20 +6,24 @@ importance weight is the ratio of its probability under target and raw, drawn by
 top-k: the k largest of ``log weight + Gumbel noise`` are a sample without replacement in
 proportion to the weights.
 
-* Models: for each hashed feature the share of documents that have it, so that a word
-  repeated within one document, or a list of them, is one observation.
-* Features: words and punctuation runs, and pairs of neighbours' forms (case, length, kind,
-  and whether the token repeats one of the four before it).
-* Ratio of a feature: ``(c + a) / (e + a)`` with c its target count and e the larger of the
-  counts expected from the raw model and from the labels, good and bad in their proportion.
-* It counts only below ``exp(-DEAD)`` and where c is too low for chance: the log likelihood
-  ratio of the target's share of the feature, against all documents or against the bad
-  labels, is above CRITICAL. So neither chance nor length of an ordinary text moves its
-  weight from 1, at any number of labels.
-* k: the expected number of acceptances, the sum of all weights.
+* Models: each hashed feature is drawn for a document or not, so that a word repeated within
+  one document, or a list of them, is one observation.
+* Features: words and punctuation runs, word bigrams, and pairs of neighbours' forms (case,
+  length, kind, and whether the token repeats one of the four before it). A bigram has two
+  buckets of independent hashes and takes the ratio nearer to 1 of the two, since nearly all
+  bigrams are rare and would else take over what they meet in a bucket.
+* Ratio of a feature: ``(c + a) / (e + a)`` with c its target count and e the count expected
+  from the raw model; below 1 also that expected from the labels, good and bad in their
+  proportion, if it is larger.
+* The log ratio is signed and speaks for the target as well as against it. It counts beyond
+  ``DEAD`` on either side, and where chance does not explain it: the log likelihood ratio of
+  the target's share of the feature is above CRITICAL. So neither chance nor length of an
+  ordinary text moves its weight from 1, at any number of labels.
+* k: a parameter; by default the expected number of acceptances if each document were
+  accepted with its weight, 1 at most.
 
 The labelled samples are bounded (``max_labelled`` each, by hash of the id); the raw model,
-the weights and k cover all documents.
+the weights and k cover all documents. At most that many ids reach the driver.
 
 Defined cases: NULL and empty texts have weight 1; rows of one id and text share key and
 fate; rows tied at the k-th key are all kept; without good labels all documents are kept; a
@@ -34,12 +38,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarnwork.llm.common import LOWER, SLICE, U, chunks, mix, prefix_hash, slices, span_hash, sum_slices
+from tarnwork.llm.common import LOWER, SLICE, U, chunks, mix, slices, sum_slices, word_hash
 from tarnwork.storage import stored
 
-WORDS, PAIRS = 1 << 20, 1 << 17  # few words meet in a bucket: one that meets a rejected word is rejected with it
+WORDS, PAIRS, BIGRAMS = 1 << 20, 1 << 17, 1 << 19  # few words meet in a bucket: one that meets a rejected word is rejected with it
 LAGS = 4
-SIZE = WORDS + PAIRS
+SIZE = WORDS + PAIRS + 2 * BIGRAMS
 PRIOR, DEAD, CRITICAL = 1.0, 1.6, 8.0
 MAX_LABELLED = 20_000
 LOTS = SIZE // SLICE + 1  # the last slice holds the number of documents
@@ -49,8 +53,8 @@ _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _AGAIN = U(0x51ED270B7A1FF7A3)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of every word, bucket of its form and its predecessor's, first token of each document)."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Buckets of every token: its word, its form and its predecessor's, the bigram's two; and the first token of each document."""
     kind = _CLASS[data]
     change = np.ones(len(kind) + 1, bool)
     change[1:-1] = kind[1:] != kind[:-1]
@@ -59,7 +63,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep = kind[cuts[:-1]] != 0 if len(kind) else np.zeros(0, bool)
     starts, ends = cuts[:-1][keep], cuts[1:][keep]
     bounds = np.searchsorted(starts, offsets)
-    h = span_hash(prefix_hash(LOWER[data]), starts, ends)
+    h = word_hash(LOWER[data], starts, ends)
     caps = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     n, up = ends - starts, caps[ends] - caps[starts]
     shape = np.where(up == 0, 0, np.where((up == n) & (n > 1), 2, 1)) + 3 * (kind[starts] == 2) + 6 * np.minimum(n, 7 + (n > 15) + (n > 40))
@@ -73,27 +77,38 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     state = (shape * (LAGS + 1) + lag + 1).astype(np.uint64)
     before = np.where(at > 0, np.concatenate([[U(0)], state[:-1]])[: len(h)], U(0))
     bucket = lambda x, m: (mix(x) >> U(40)).astype(np.int64) & (m - 1)
-    return bucket(word, WORDS), bucket(before * U(1 << 20) + state, PAIRS) + WORDS, bounds
+    last = np.where(at > 0, np.concatenate([[U(0)], h[:-1]])[: len(h)], U(0))
+    both = mix(last + U(0x9E3779B97F4A7C15)) ^ h
+    first = WORDS + PAIRS
+    return bucket(word, WORDS), bucket(before * U(1 << 20) + state, PAIRS) + WORDS, bucket(both, BIGRAMS) + first, bucket(both ^ _AGAIN, BIGRAMS) + first + BIGRAMS, bounds
 
 
-def _low(c: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """Log likelihood ratio of c of n cases against the share p; 0 where c is not below it."""
+def log_weights(log: np.ndarray, word: np.ndarray, pair: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """What every token adds to its document's log weight."""
+    a, b = log[one], log[two]
+    return log[word] + log[pair] + np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0.0)
+
+
+def _surprise(c: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Log likelihood ratio of c of n cases against the share p; below 0 where c is below it."""
     p = min(max(p, 1e-12), 1 - 1e-12)
     f = c / np.maximum(n, 1)
     out = c * np.log(np.maximum(f, 1e-12) / p) + (n - c) * np.log(np.maximum(1 - f, 1e-12) / (1 - p))
-    return np.where((n > 0) & (f < p), out, 0.0)
+    return np.where(n > 0, np.where(f < p, -out, out), 0.0)
 
 
 def log_ratio(raw: np.ndarray, good: np.ndarray, bad: np.ndarray, share: float) -> np.ndarray:
     """Log ratio of every bucket (0 where it says nothing) from document counts, their numbers last; share: of good labels among all."""
     n, g, b = raw[-1], good[-1], bad[-1]
     raw, good, bad = raw[:-1], good[:-1], bad[:-1]
-    expected, sure = raw * (g / n), _low(good, raw, g / n)
+    expected, sure = raw * (g / n), _surprise(good, raw, g / n)
+    up = np.log((good + PRIOR) / (expected + PRIOR))
+    low = sure
     if b:
         expected = np.maximum(expected, share * good + (1 - share) * bad * (g / b))
-        sure = np.maximum(sure, _low(good, good + bad, g / (g + b)))
-    out = np.log((good + PRIOR) / (expected + PRIOR))
-    return np.where((out < -DEAD) & (sure > CRITICAL), out, 0.0)
+        low = np.minimum(sure, _surprise(good, good + bad, g / (g + b)))
+    down = np.log((good + PRIOR) / (expected + PRIOR))
+    return np.where((down < -DEAD) & (low < -CRITICAL), down, np.where((up > DEAD) & (sure > CRITICAL), up, 0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> np.ndarray | None:
@@ -148,10 +163,10 @@ def weigh(docs: DataFrame, ratio: np.ndarray | None, id_col: str = "doc_id", tex
             ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             weights, keys = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for i, j, data, offsets in chunks(batch.column(1)):
-                w, p, bounds = features(data, offsets)
-                sums = np.concatenate([[0.0], np.cumsum(log[w] + log[p])])
+                *kinds, bounds = features(data, offsets)
+                sums = np.concatenate([[0.0], np.cumsum(log_weights(log, *kinds))])
                 weights[i:j] = np.round(sums[bounds[1:]] - sums[bounds[:-1]], 9)
-                text = span_hash(prefix_hash(data), offsets[:-1], offsets[1:])
+                text = word_hash(data, offsets[:-1], offsets[1:])
                 keys[i:j] = weights[i:j] + _gumbel(ids[i:j], text, seed)
             out = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(weights), pa.array(keys)], schema=pa.schema([*list(batch.schema)[2:], ("log_weight", pa.float64()), ("sample_key", pa.float64())]))
             yield out if least is None else out.filter(pa.array(keys >= least))
@@ -179,12 +194,13 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 1024) -> float:
             k -= r["n"]
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, columns: list[str] | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The drawn documents: ``columns`` (default: all) with log_weight and sample_key."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, columns: list[str] | None = None, max_labelled: int = MAX_LABELLED, k: int | None = None) -> DataFrame:
+    """The drawn documents: ``columns`` (default: all) with log_weight and sample_key, which replace columns of those names."""
     ratio = fit(docs, labels, id_col, text_col, max_labelled)
     keys = stored(weigh(docs, ratio, id_col, text_col, seed, columns=[id_col]), "weights")
-    n, total = keys.agg(F.count(F.lit(1)), F.sum(F.exp("log_weight"))).first()
-    least = kth_largest(keys, max(1, min(n, round(total)))) if n else 0.0
+    n, total = keys.agg(F.count(F.lit(1)), F.sum(F.exp(F.least("log_weight", F.lit(0.0))))).first()
+    k = round(total or 0) if k is None else k
+    least = kth_largest(keys, max(1, min(n, k))) if n else 0.0
     if columns == [id_col]:
         return keys.filter(F.col("sample_key") >= least)
     return weigh(docs, ratio, id_col, text_col, seed, least, columns)

@@ -374,6 +374,59 @@ def test_quality_log_ratio():
     assert quality.log_ratio(docs(400, 16), docs(100, 0), docs(40, 9), 100 / 140)[0] < 0
 
 
+def test_quality_against_plain_counts(spark):
+    """Models, weights and the draw of a small table, counted document by document; rows with clashing columns, ties, NULLs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000").limit(300).select("doc_id", "text")
+    rows = [(r.doc_id, r.text, 1.0, "k") for r in docs.collect()]
+    rows += [rows[0], rows[0], (-1, None, 1.0, "k"), (-2, "", 1.0, "k"), (None, "free text", 1.0, "k"), (-3, "buy now " * 20, 1.0, "k")]
+    rows += [(-10 - i, f"{t} spamword", 1.0, "k") for i, (_, t, _, _) in enumerate(rows[:60])]
+    good, bad = {r[0] for r in rows[:200]}, {-10 - i for i in range(50)}
+    labels = [(i, 1, 0) for i in sorted(good)] + [(i, 0, 0) for i in sorted(bad)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, log_weight double, sample_key string").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    counts = np.zeros((3, quality.SIZE + 1))
+    buckets = {}
+    for n, (i, t, _, _) in enumerate(rows):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        buckets[n] = quality.features(data, np.array([0, len(data)]))[:-1]
+        own = [*set(np.concatenate(buckets[n]).tolist()), quality.SIZE]
+        for m in [0] + [1] * (i in good) + [2] * (i in bad):
+            counts[m][own] += 1
+    ratio = quality.log_ratio(*counts, len(good) / (len(good) + len(bad)))
+    weight = {n: round(float(quality.log_weights(ratio, *b).sum()), 9) for n, b in buckets.items()}
+
+    fitted = quality.fit(table, marks)
+    assert np.array_equal(fitted, ratio) and (ratio < 0).any()
+    got = quality.weigh(table, fitted).collect()
+    assert sorted((str(r.doc_id), r.text or "", round(r.log_weight, 6)) for r in got) == sorted((str(rows[n][0]), rows[n][1] or "", round(w, 6)) for n, w in weight.items())
+    for k in (None, 40):
+        want = round(sum(min(1.0, np.exp(w)) for w in weight.values())) if k is None else k
+        least = sorted((r.sample_key for r in got), reverse=True)[want - 1]
+        drawn = quality.sample(table, marks, k=k)
+        assert drawn.columns == ["doc_id", "text", "log_weight", "sample_key"]
+        assert sorted(r.sample_key for r in drawn.collect()) == sorted(r.sample_key for r in got if r.sample_key >= least)
+
+
+def test_quality_speaks_for_a_rare_target():
+    """A feature that most of a rare target has, and little else, raises a weight."""
+    raw, good = np.array([300.0, 5000, 10_000]), np.array([90.0, 50, 100])
+    up, same = quality.log_ratio(raw, good, np.zeros(3), 1.0)
+    assert up > quality.DEAD and same == 0
+
+
+def test_quality_held_out(spark):
+    """Fitted on one half of the labels, judged on the other; something is rejected at the small size too."""
+    half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))
+    for sf, most in (("sf0.01", 0.1), ("sf0.1", 0.02)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        kept = {r.doc_id for r in quality.sample(docs, labels.filter(half == 0), columns=["doc_id"]).collect()}
+        rows = labels.filter(half == 1).join(docs.select("doc_id", "lang"), "doc_id").collect()
+        share = lambda f: np.mean([r.doc_id in kept for r in rows if f(r)])
+        assert share(lambda r: r.quality and not r.toxic) > 0.95 and share(lambda r: not r.quality) < most
+        assert share(lambda r: r.toxic and r.lang == "en") < 0.1
+
+
 def test_kth_largest(spark):
     values = [1.0, 5.0, 5.0, 2.0, -7.5, 3.25] * 3
     keys = spark.createDataFrame([(v,) for v in values], "sample_key double")
