@@ -9,25 +9,33 @@
 Records of equal payloads of at least ``MIN_REVISIT`` bytes: the one with the largest page_id
 is the response, the others revisit it.
 
+Records are WARC/1.0: a response holds an HTTP message with the payload as its body, a revisit
+the head of that message, its profile and the record it refers to. Record ids are derived
+from page_id, digest and, for rows that repeat both, their number, so they are unique and a
+revisit knows the id that it refers to. All records of a run carry one date.
+
 Files lie in the shared folder and are reached through pyarrow's file systems, so it may be
 a local path or an object store. They get their final name only when complete; a task that
 runs again writes the same rows anew under another name, and only names that a finished
 task has reported are read.
 
-Defined cases: a NULL payload is empty, a NULL url is written as an empty one; rows of one
-page_id are records of their own (of equal long payloads under the largest page_id, all are
-responses); a NULL page_id is carried and is smaller than any other.
+Defined cases: a NULL payload is empty, a NULL url is written as an empty one; CR and LF in a
+url are written as %0D and %0A; rows of one page_id are records of their own (of equal long
+payloads under the largest page_id, all are responses); a NULL page_id is carried and is
+smaller than any other. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
+import datetime
 import hashlib
 import uuid
 import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnwork.storage import new_path, stored
 
@@ -40,14 +48,25 @@ def _fs(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
-    if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
-    body = payload if refers_to is None else b""
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "tarnwork:warc")
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+
+
+def record_id(page_id, digest: str, number: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}/{number}')}>"
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to: int | None, number: int = 1, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    first = refers_to is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http + payload if first else http
+    sha1 = base64.b32encode(bytes.fromhex(digest)).decode()
+    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    head = ["WARC/1.0", f"WARC-Type: {'response' if first else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, number)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{sha1}"]
+    if not first:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+    head += ["" if page_id is None else f"X-Page-ID: {page_id}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(x for x in head if x).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def split_records(blocks):
@@ -78,29 +97,35 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def decisions(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``pages`` with its payload's digest and, for revisits, the page referred to."""
+def decisions(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url", min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to, number): refers_to for revisits; number counts rows of one page_id and digest.
+
+    Which page stands for a payload is settled on narrow rows; the payloads themselves are
+    dealt by page_id and digest, so a payload that very many pages share is no hot spot.
+    """
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url"), body.alias("payload"), F.sha1(body).alias("digest"))
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
     long = base.filter(F.octet_length("payload") >= min_revisit).select("page_id", F.col("digest").alias("d"))
     # combined before the shuffle, so a page with very many copies costs one row a task
     groups = long.groupBy("d").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "last")
-    joined = base.join(stored(groups, "payloads"), F.col("digest") == F.col("d"), "left")
-    older = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(older, F.col("last")).alias("refers_to"))
+    older = long.join(stored(groups, "payloads"), "d").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("p"), "d", "last").distinct()
+    joined = base.join(older, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    return joined.select("page_id", "url", "payload", "digest", F.col("last").alias("refers_to"), number.alias("number"))
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
     """One monolithic .warc.gz a task; returns (file, records)."""
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def work(batches):
         fs, root = _fs(folder)
         fs.create_dir(root, recursive=True)
         name, n, out, gz = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, None, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         for batch in batches:
-            for page_id, url, payload, digest, refers in zip(*[c.to_pylist() for c in batch.columns]):
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
                 out = out or fs.open_output_stream(name, compression=None)
-                out.write(gz.compress(record(page_id, url, payload, digest, refers)))
+                out.write(gz.compress(record(*row, date)))
                 n += 1
         if out:
             out.write(gz.flush())
@@ -144,18 +169,18 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
 
 
 def parse_id(raw: bytes) -> str:
-    return raw.split(b"WARC-Record-ID: <urn:page:", 1)[1].split(b">", 1)[0].decode()
+    return raw.split(b"WARC-Record-ID: <", 1)[1].split(b">", 1)[0].decode()
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
-    """One row a record, through the sidecar index. ValueError if a payload lacks its digest."""
+    """One row a record, through the sidecar index. ValueError if a payload lacks its digest or length."""
 
     def work(batches):
         fs, _ = _fs(folder)
-        page = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
+        page = lambda x: None if x is None else int(x)
         for batch in batches:
             for name, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_stream(index, compression=None) as s:
@@ -164,10 +189,12 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_file(name) as f:
                     for offset, length in entries:
                         fields, body = parse(zlib.decompress(f.read_at(length, offset), 31))
-                        digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-                        if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
+                        digest, kind = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), fields["WARC-Type"]
+                        http, _, payload = body.partition(b"\r\n\r\n")
+                        size = int(http.rsplit(b"Content-Length: ", 1)[1])
+                        if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                             raise ValueError(f"{name} at {offset}: payload does not have its digest")
-                        rows.append((page(fields["WARC-Record-ID"]), len(body) if kind == "response" else int(fields["X-Payload-Length"]), digest, kind, page(fields.get("WARC-Refers-To"))))
+                        rows.append((page(fields.get("X-Page-ID")), size, digest, kind, page(fields.get("X-Refers-To-Page"))))
                         if len(rows) == 4096:
                             yield _rows(rows)
                             rows = []
@@ -188,16 +215,23 @@ def _spread(files: DataFrame) -> DataFrame:
 
 
 def delete_files(files: DataFrame, folder: str) -> None:
-    """Removes the files listed (a list of archive names, one a task)."""
-    fs, _ = _fs(folder)
-    for r in files.select("file").toLocalIterator():
-        fs.delete_file(r[0])
+    """Removes the files listed; the tasks do it, and one that runs again finds them gone."""
+
+    def work(batches):
+        fs, _ = _fs(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if fs.get_file_info(name).type != pafs.FileType.NotFound:
+                    fs.delete_file(name)
+            yield batch
+
+    files.select("file").mapInArrow(work, "file string").write.format("noop").mode("overwrite").save()
 
 
-def archive(pages: DataFrame, id_col: str = "page_id", body_col: str = "html") -> tuple[DataFrame, str]:
+def archive(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url") -> tuple[DataFrame, str]:
     """Writes and normalises; returns the (file, index, records) table and the folder."""
     folder = new_path(pages.sparkSession, "warc")
-    whole = stored(write(decisions(pages, id_col, body_col), folder), "written")
+    whole = stored(write(decisions(pages, id_col, body_col, url_col), folder), "written")
     done = stored(normalise(_spread(whole), folder), "normalised")
     delete_files(whole, folder)
     return done, folder
