@@ -6,15 +6,17 @@
    repeat counts against the histogram (multiplicative NNLS updates), round down, and pack
    what is left greedily, longest first into the tightest open window. Steps on the
    histogram cost the same for a thousand documents and for a billion.
-4. Rank the pieces of each length (in hash buckets, so that a common length is no hot spot)
-   and look up sequence and offset in the plan.
+4. Rank the pieces of each length, in as many buckets as the length has pieces for, so that a
+   common length is no hot spot, and look up sequence and offset in the plan.
 
 Defined cases: a NULL text is an empty one, which is the single end token; repeated rows are
 packed as often as they come; an empty table gives no row; a NULL doc_id is carried along.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -26,13 +28,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tarnwork.storage import stored
 
 WINDOW, END = 2048, 1
-BUCKETS = 64
+PER_BUCKET = 512
 CACHE_WORDS = 300_000
 
 # --------------------------------------------------------------------------- tokens
 
-#: Texts of these characters are cut into words here exactly as the tokenizer would: its
-#: normalizer only lower-cases them and folds white space. All other texts go to it whole.
+#: Fixed values of a tokenizer file: how it normalizes and cuts words.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+#: Texts of these characters are cut into words here exactly as such a tokenizer would: its
+#: normalizer only lower-cases them and folds white space. All other texts go to it whole,
+#: and so do all texts under a tokenizer whose file says anything else.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ÿ]*\Z")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _loaded: dict[str, tuple] = {}
@@ -45,7 +54,11 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        file = json.loads(text)
+        simple = file["normalizer"] == _NORMALIZER and file["pre_tokenizer"] == _CUTTER and all("<|" in t["content"] for t in file.get("added_tokens", []))
+        _loaded[path] = (Tokenizer.from_str(text), {}, simple)
     return _loaded[path]
 
 
@@ -59,10 +72,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     Equal words have equal ids, so words are looked up; a word seen for the first time is
     tokenized alone. The memory of words is bounded and starts anew when full.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, simple = _tokenizer(path)
     if len(known) > CACHE_WORDS:
         known.clear()
-    split: list[list[str] | None] = [_PIECE.findall(t.lower()) if "<|" not in t and _PLAIN.match(t) else None for t in texts]
+    split: list[list[str] | None] = [_PIECE.findall(t.lower()) if simple and "<|" not in t and _PLAIN.match(t) else None for t in texts]
     new = set()
     for s in split:
         if s:
@@ -238,16 +251,16 @@ def lookup(sequences: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np
 
 
 def pack(cut_pieces: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """The pieces with sequence_id and offset. ``cut_pieces`` is read several times: store it."""
+    """The pieces with sequence_id and offset. ``cut_pieces`` is read several times: a stored table, with a column ``number`` that differs from piece to piece."""
     spark = cut_pieces.sparkSession
-    bucket = F.pmod(F.xxhash64(id_col, "start", "doc_tokens"), F.lit(BUCKETS)).cast("int")
-    dealt = cut_pieces.withColumn("__b", bucket)
-    per = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    histogram = {int(r[0]): int(r[1]) for r in per.groupBy("length").agg(F.sum("__n")).collect()}  # at most ``window`` rows
+    histogram = {int(r[0]): int(r[1]) for r in cut_pieces.groupBy("length").count().collect()}  # at most ``window`` rows
     table = spark.sparkContext.broadcast(lookup(plan(histogram, window)))
+    parts = spark.createDataFrame([(n, -(-k // PER_BUCKET)) for n, k in sorted(histogram.items())] or [(1, 1)], "length long, __q long")
+    dealt = cut_pieces.join(F.broadcast(parts), "length").withColumn("__b", F.pmod(F.xxhash64("number"), F.col("__q")))
+    per = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
-    rank = Window.partitionBy("length", "__b").orderBy(id_col, "start", "ids_crc32")
+    rank = Window.partitionBy("length", "__b").orderBy(id_col, "start", "ids_crc32", "number")
     ranked = dealt.withColumn("__r", F.row_number().over(rank) - 1).join(starts, ["length", "__b"])
     rows = ranked.select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("__s") + F.col("__r")).cast("long").alias("__r"))
 
@@ -264,12 +277,13 @@ def pack(cut_pieces: DataFrame, id_col: str = "doc_id", window: int = WINDOW) ->
     return rows.mapInArrow(work, f"`{id_col}` {kind}, {PIECES}, sequence_id long, offset long")
 
 
-def run(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
+def run(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(stored(pieces(docs, tokenizer_path, window=window), "pieces"), window=window)
+    cut_pieces = pieces(docs, tokenizer_path, id_col, text_col, window).withColumn("number", F.monotonically_increasing_id())
+    return pack(stored(cut_pieces, "pieces"), id_col, window)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
