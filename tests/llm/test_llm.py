@@ -175,7 +175,7 @@ def test_packing(spark, odd):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     special = spark.createDataFrame([(100, "It's <|endoftext|> 10²x ½ İstanbul ﬁ don't'S!?"), (101, "tab\tnew\r\nline\x0b\x1c\x85 x")], "doc_id long, text string")
-    docs = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(special)
+    docs = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumns({"length": F.lit(1), "number": F.lit("n"), "offset": F.lit(0)}).unionByName(special, allowMissingColumns=True)
     rows = packing.run(docs).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -196,6 +196,33 @@ def test_packing(spark, odd):
             at += r.length
         assert at <= 2048
     assert packing.run(odd.limit(0)).count() == 0
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.start, r.length, r.ids_crc32)
+    twice = packing.run(odd.unionByName(odd)).collect()  # repeated rows and NULL ids: every piece twice, each at a place of its own
+    assert Counter(map(key, twice)) == Counter({k: 2 * n for k, n in Counter(map(key, packing.run(odd).collect())).items()})
+    assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
+
+
+def test_packing_other_tokenizers(spark):
+    """A file that cuts words otherwise gives its own ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["It's  two   blanks", "Upper lower 123", "", "a\nb"]
+    assert packing.encode(texts, path) == [np.asarray(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_packing_hot_length(spark, monkeypatch):
+    """A length with many pieces is ranked in many buckets; the plan is used up exactly."""
+    monkeypatch.setattr(packing, "PER_BUCKET", 7)
+    rows = [(i, 0, 30 if i % 3 else 64, i, 64, i) for i in range(500)]
+    cut = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long")
+    by = defaultdict(list)
+    for r in packing.pack(cut, window=64).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, by.values())) == 500 and sorted(by) == list(range(len(by)))
+    for s in by.values():
+        assert [o for o, _ in sorted(s)] == np.cumsum([0, *[n for _, n in sorted(s)]])[:-1].tolist() and sum(n for _, n in s) <= 64
 
 
 def test_packing_is_tight():
@@ -235,16 +262,38 @@ def test_url_filter_collisions_and_edges():
     assert url_filter.match(["x://zzz.dev/fr/"], forged, lengths) == [("zzz.dev", "/fr/", None, None)]
 
 
-def test_topk_prunes_and_is_exact(spark):
+def _best(rows, k=10):
+    """Brute force in Python's integers; rows of (id, vector)."""
+    fine = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = lambda v: [int(np.floor(x * 1024) if abs(x) < 1e300 else np.copysign(np.finfo(float).max, x) if abs(x) > 1e305 else np.floor(x * 1024)) for x in v]
+    out = set()
+    for q in {i for i, _ in fine if i % 100 == 0}:
+        mine = whole(min(v for i, v in fine if i == q))
+        scores = [(-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(mine, whole(v))))), i) for i, v in fine if i != q]
+        out |= {(q, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)}
+    return out
+
+
+def test_topk_prunes_through_the_query(spark, monkeypatch):
+    """Clustered vectors: whole groups and most blocks are never scored, and the rows are exact."""
+    monkeypatch.setattr(topk, "GROUP", 150)
     rng = np.random.default_rng(3)
-    x = np.floor(1024 * np.concatenate([rng.normal(c, 0.05, (600, 8)) for c in (-3, 0, 3)]))
-    ids = np.arange(len(x))
-    found, scored = topk.search(ids, x, ids[::100], x[::100], 10, block=64)
-    want = [(int(q), int(i), int(x[q] @ x[i])) for q in ids[::100] for i in sorted((i for i in ids if i != q), key=lambda i: (-(x[q] @ x[i]), i))[:10]]
-    assert found == want and scored < 18 * 29 * 0.7
-    rows = [(0, [1.0, 2.0]), (100, None), (200, [1.0, None]), (300, [float("nan"), 1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).orderBy("rank").collect()
-    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3)]
+    centres = rng.normal(0, 4, (24, 8))
+    x = (centres[rng.integers(0, 24, 3000)] + rng.normal(0, 0.05, (3000, 8))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    counts = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, counts=counts)
+    assert {tuple(r) for r in got.collect()} == _best(rows)
+    assert 0 < counts[0].value < 0.5 * 30 * counts[1].value
+
+
+def test_topk_odd(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, None), (200, [1.0, None]), (300, [float("nan"), 1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0])]
+    rows += [(400, [1e30, -2.0]), (500, [1e308, 1.0]), (5, [-1e30, 3.0]), (6, [1e300]), (7, []), (600, [3.0, 1.0]), (600, [-3.0, 1.0]), (None, [1.0, 1.0]), (8, [0.25, 0.5, 0.125]), (700, [float("inf")])]
+    table = spark.createDataFrame([(i, v, 1, 2, "g") for i, v in rows], "vec_id long, embedding array<double>, id int, q int, g string").repartition(3)
+    for k in (3, 10):
+        assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 100 == 0, k=k).collect()} == _best(rows, k)
+    assert topk.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
 def test_decontamination(spark):
@@ -436,12 +485,26 @@ def test_kth_largest(spark):
 
 def test_warc(spark):
     body = "é" * 600
-    pages = spark.createDataFrame([(1, "u", body), (5, None, body), (3, "u\r\nX: y", body), (4, "u", None), (6, "u", "\r\n\r\nWARC/1.0"), (None, "u", "x")], "page_id long, url string, html string")
+    rows = [(1, "u", body), (5, None, body), (5, "again", body), (1, "u", body), (3, "u\r\nX: y", body), (4, "u", None), (6, "u", "\r\n\r\nWARC/1.0"), (None, "u", body), (7, "http://x/" + "y" * 9000, "z" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, 0, "f") for r in rows], "page_id long, url string, html string, number int, digest string").repartition(3)
     done, folder = warc.archive(pages)
-    rows = {r.page_id: r for r in warc.read(done, folder).collect()}
-    assert rows[5].record_type == "response" and rows[1].refers_to == rows[3].refers_to == 5 and rows[1].payload_bytes == 1200
-    assert rows[4].payload_bytes == 0 and rows[None].record_type == "response" and len(rows) == 6
-    assert rows[6].payload_digest == hashlib.sha1(b"\r\n\r\nWARC/1.0").hexdigest()
+    found = warc.read(done, folder).collect()
+    by = {r.page_id: r for r in found}
+    assert by[5].record_type == "response" and by[1].refers_to == by[3].refers_to == by[None].refers_to == 5 and by[1].payload_bytes == 1200
+    assert Counter(r.page_id for r in found) == Counter(r[0] for r in rows) and sum(r.record_type == "response" for r in found) == 5
+    assert by[4].payload_bytes == 0 and by[6].record_type == "response" and by[7].payload_bytes == 3_000_000
+    assert by[6].payload_digest == hashlib.sha1(b"\r\n\r\nWARC/1.0").hexdigest()
+    ids, referred = [], set()
+    for r in done.collect():  # each member on its own, by the sidecar, as any reader of the format would
+        data, index = open(r["file"], "rb").read(), open(r["index"]).read().splitlines()
+        for offset, length, name in (x.split("\t") for x in index):
+            fields, block = warc.parse(zlib.decompress(data[int(offset) : int(offset) + int(length)], 31))
+            assert fields["WARC-Record-ID"] == f"<{name}>" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            assert fields["Content-Type"] == "application/http; msgtype=response" and block.startswith(b"HTTP/1.1 200 OK\r\n") and "\n" not in fields["WARC-Target-URI"]
+            assert (fields["WARC-Type"] == "revisit") == ("WARC-Profile" in fields) == ("WARC-Refers-To" in fields)
+            ids.append(fields["WARC-Record-ID"])
+            referred |= {fields.get("WARC-Refers-To")} - {None}
+    assert len(set(ids)) == len(ids) == len(rows) and referred and referred <= set(ids)
     done, folder = warc.archive(pages.limit(0))
     assert warc.read(done, folder).count() == 0
 
