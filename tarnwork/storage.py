@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (a local test), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; in local mode, where it is unset, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tarnwork-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,13 +30,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def shuffle_cleanup(spark: SparkSession):
+    """Shuffle files of the queries that start in here go as soon as each of them ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    spark.sparkContext._jvm.System.gc()  # the step before may still have been held when it ended
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # else the shuffle files of steps that are over stay until the driver happens to collect
+    with shuffle_cleanup(spark):  # the table is whole, so nothing will ask for them again
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
