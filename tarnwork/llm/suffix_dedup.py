@@ -20,8 +20,14 @@ costs time only). Sorted streams are read row by row, so a trigger that a third
 documents share needs no memory. Rows that their own task shows to be repeats are salted, so
 neither such a trigger nor such a suffix gathers in one task.
 
+Texts of any length are worked through in segments that overlap by a string, so no array is
+larger than a segment.
+
 Defined cases: NULL is an empty text; texts under 100 bytes lose nothing; doc_id is the key,
-and rows that repeat one with its text are judged alike; rows without doc_id take no part.
+and rows that repeat one with its text are judged alike. Of several texts under one id that
+with the smallest SHA-256 is the document; the others lose nothing and cost no other text
+anything, as do rows without doc_id. An id that is no integer is an error (under ANSI mode,
+which is Spark's default). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarnwork.llm.common import U, chunks, mix, powers, prefix_hash, span_hash
+from tarnwork.llm.common import U, chunks, marked, mix, powers, prefix_hash, span_hash
 from tarnwork.storage import dropped, stored
 
 LENGTH, GRAM = 100, 32
-PLACE = 28  # bits of a place within a chunk; the rest of a word orders the grams
-NEED_BITS = 1 << 22
+SEGMENT = 1 << 22  # bytes of a text that are worked through at a time
+INDEX = 28  # bits of a place within a segment or chunk; the rest of a word orders the grams
+PLACE = 31  # bits of a place within a text
 TABLE, SALT_BITS = 1 << 16, 20
 KNOWN = 40  # bit of ``at``, above a place and the length of its phrase
 PASSES = 2  # over the suffixes, a power of two; more need less disk and more time
@@ -49,12 +56,10 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     if n < length:
         return none
-    if n >> PLACE:
-        raise ValueError(f"a text of more than {1 << PLACE} bytes")
     prefix = prefix_hash(data)
     inverse = powers(n + 1)[1]
     h = mix((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
-    least = (h >> U(PLACE) << U(PLACE)) | np.arange(len(h), dtype=np.uint64)
+    least = (h >> U(INDEX) << U(INDEX)) | np.arange(len(h), dtype=np.uint64)
     width, have = length - gram + 1, 1
     while have < width:
         step = min(have, width - have)
@@ -65,12 +70,34 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     start = start[start + length <= offsets[doc + 1]]
     if not len(start):
         return none
-    at = (least[start] & U((1 << PLACE) - 1)).astype(np.int64)
+    at = (least[start] & U((1 << INDEX) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
     last = np.concatenate([first[1:], [len(start)]]) - 1
     return h[at[first]], start[first], start[last], doc[start[first]]
 
 
+def parse_all(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    """:func:`parse` of texts, or of one text of any length, with starts relative to their text."""
+    if len(data) <= 2 * SEGMENT or len(offsets) > 2:
+        h, lo, hi, doc = parse(data, offsets, length, gram)
+        yield h, lo - offsets[doc], hi - offsets[doc], doc
+        return
+    for base in range(0, len(data), SEGMENT):  # strings that start in this segment; the next one has the others
+        part = data[base : base + SEGMENT + length - 1]
+        h, lo, hi, doc = parse(part, np.array([0, len(part)]), length, gram)
+        yield h, lo + base, hi + base, doc
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of short spans of one text, segment by segment."""
+    out, segment = np.empty(len(start), np.uint64), start // SEGMENT
+    for k in np.unique(segment):
+        rows, base = segment == k, int(k) * SEGMENT
+        prefix = prefix_hash(data[base : end[rows].max()], which)
+        out[rows] = span_hash(prefix, start[rows] - base, end[rows] - base, which)
+    return out
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
 
@@ -86,8 +113,7 @@ def triggers(docs: DataFrame, length: int, gram: int) -> DataFrame:
         met, told = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.uint64)  # hints only: a later hash takes the slot
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i, _, data, offsets in chunks(batch.column(1)):
-                h, lo, hi, doc = parse(data, offsets, length, gram)
+            for i, h, lo, hi, doc in ((i, *found) for i, _, data, offsets in chunks(batch.column(1)) for found in parse_all(data, offsets, length, gram)):
                 own, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 slot = (own & U(TABLE - 1)).astype(np.int64)
                 spoken = told[slot] == own
@@ -97,7 +123,7 @@ def triggers(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 speaks[first[~spoken]] = True
                 met[slot], told[slot[repeated]] = own, own[repeated]
                 doc_id = ids[i + doc]
-                at = _dealt((lo - offsets[doc]) | (hi - lo) << PLACE, known, speaks, doc_id)
+                at = _dealt(lo | (hi - lo) << PLACE, known, speaks, doc_id)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc_id), pa.array(at)], names=["h", "doc_id", "at"])
 
     return _texts(docs).mapInArrow(work, "h long, doc_id long, at long")
@@ -153,21 +179,7 @@ def _repeats(rows: DataFrame, keys: list[str], emit_first: bool) -> DataFrame:
 
 def _texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """``marks`` (one row a document) with the documents' texts."""
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))
-    table = np.zeros(NEED_BITS // 32, np.int64)
-    for w, bits in marks.groupBy((slot / 32).cast("int").alias("w")).agg(F.bit_or(one).alias("bits")).collect():  # NEED_BITS / 32 rows at most
-        table[w] = bits
-    shared = spark.sparkContext.broadcast(table)
-
-    def work(batches):
-        bits = shared.value
-        for batch in batches:
-            slots = batch.column(2).to_numpy()
-            yield batch.filter(pa.array(((bits[slots >> 5] >> (slots & 31)) & 1).astype(bool))).select(["doc_id", "text"])
-
-    some = _texts(docs).withColumn("slot", slot).mapInArrow(work, "doc_id long, text string")
+    some = marked(_texts(docs), marks, "doc_id")
     return some.join(marks.hint("merge"), "doc_id")  # in order of doc_id, so that a task that runs again salts alike
 
 
@@ -210,9 +222,14 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = stored(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digests")
-    whole = base.filter((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
-    if not base.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = stored(docs.dropDuplicates(["doc_id"]), "rows")  # a repeated row is no second place of its own strings
+    own = F.col("doc_id").isNotNull()
+    if not base.filter(own).groupBy("doc_id").count().filter("count > 1").isEmpty():  # a repeated row is no second place of its own strings
+        one = stored(base.filter(own).groupBy("doc_id").agg(F.min("sha").alias("own")), "ids")
+        docs = stored(docs.join(one, "doc_id").filter(F.sha2("text", 256) == F.col("own")).select("doc_id", "text").dropDuplicates(["doc_id"]), "rows")
+        base = stored(base.join(one, "doc_id", "left").withColumn("part", F.col("own").isNotNull() & (F.col("sha") == F.col("own"))).drop("own"), "digests")
+    else:
+        base = base.withColumn("part", own)
+    whole = base.filter((F.col("n_bytes") >= length) & F.col("part"))
     # a text that stands whole in an earlier document goes whole, and nothing needs it
     firsts = stored(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first"), "firsts")
     copies = stored(whole.join(firsts, "sha").filter("doc_id <> first").select("doc_id").distinct(), "copies")
@@ -223,7 +240,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def contexts(doc_id, data, at):
         h, place = at
         lo, hi = place & ((1 << PLACE) - 1), (place & ((1 << PLACE) - 1)) + (place >> PLACE)
-        c = [span_hash(prefix_hash(data, k), lo, hi + length, k) for k in (0, 1)]
+        c = [span_hashes(data, lo, hi + length, k) for k in (0, 1)]
         return [h, *c, np.full(len(lo), doc_id), lo.astype(np.int32), hi.astype(np.int32)]
 
     phrases = stored(_with_text(_texts_of(docs, _per_document(kept.distinct(), "h", "place")), "h long, c1 long, c2 long, doc_id long, lo int, hi int", contexts), "phrases")
@@ -238,8 +255,8 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def suffixes(doc_id, data, at):
         lo, n = at[0].astype(np.int64), at[1].astype(np.int64) - at[0] + 1
         s = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-        w1 = span_hash(prefix_hash(data), s, s + length)
-        w2 = span_hash(prefix_hash(data, 1), s, s + length, 1)
+        w1 = span_hashes(data, s, s + length)
+        w2 = span_hashes(data, s, s + length, 1)
         return [w1, (w2 >> U(32)).astype(np.uint32).view(np.int32), np.full(len(s), doc_id), s]
 
     def later_here(w1, w2, doc_id, s):
@@ -275,11 +292,11 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = copies.withColumn("copy", F.lit(True))
     empty = hashlib.sha256(b"").hexdigest()
     out = base.join(removed, "doc_id", "left").join(gone, "doc_id", "left")
-    copy = F.col("copy").isNotNull()
+    copy, part = F.col("copy").isNotNull() & F.col("part"), F.col("part")
     return out.select(
-        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
-        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.when(part, F.coalesce("n_removed", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copy, F.lit(1).cast("long")).otherwise(F.when(part, F.coalesce("n_spans", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).alias("n_spans"),
+        F.when(copy, F.lit(empty)).otherwise(F.when(part, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha"))).alias("kept_sha256"),
     )
 
 

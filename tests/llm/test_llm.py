@@ -147,6 +147,27 @@ def test_suffix_dedup(spark, odd):
     assert suffix_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_suffix_dedup_ids_and_long_texts(spark):
+    """Several texts under one id, and a text of several segments with a repeat across their border."""
+    passage = " ".join(f"p{i * 7919 % 997}" for i in range(60))
+    other = " ".join(f"q{i * 7919 % 997}" for i in range(60))
+    rows = [(1, passage, 0), (1, passage, 1), (2, other, 2), (2, passage, 3), (None, passage, 4), (3, f"{other} {passage}", 5)]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame([(i, t, n, "x") for i, t, n in order], "doc_id long, text string, n_removed int, sha string")
+        got = {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup(table).collect()}
+        first, second = sorted([passage, other], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+        kept = {(1, passage), (2, first), (3, f"{other} {passage}")}
+        want = {(i, b, r, k) for i, b, r, _, k in _repeats(kept)} | {(2, len(second), 0, hashlib.sha256(second.encode()).hexdigest()), (None, len(passage), 0, hashlib.sha256(passage.encode()).hexdigest())}
+        assert got == want
+    alone = lambda n, salt: "".join(hashlib.sha256(f"{salt}/{i}".encode()).hexdigest() for i in range(n // 64))
+    at = suffix_dedup.SEGMENT - 250
+    big = alone(3 * suffix_dedup.SEGMENT, "big")
+    long = big[:at] + passage + big[at:] + passage
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame([(5, passage), (9, long)], "doc_id long, text string")).collect()}
+    assert got[5].n_removed == 0 and got[9].n_removed == 2 * len(passage) and got[9].n_spans == 2
+    assert got[9].kept_sha256 == hashlib.sha256(big.encode()).hexdigest()
+
+
 def test_suffix_dedup_last_row_of_a_batch():
     """A repeat that ends a batch, or the whole stream, is reported."""
     table = pa.table({"w1": [1, 1, 1, 2], "w2": [5, 5, 5, 5], "doc_id": [1, 2, 3, 4], "at": [0, 0, 0, 0]})
