@@ -6,8 +6,9 @@ can't take on to the next distinct shard clockwise, so loads are bounded and a k
 its home only if its home is full of keys that live there.
 
 Only the ring is planned on the driver: at most ``2**ring_bits`` counts, whatever the number
-of rows. Rows are ranked within their cell (one shuffle of narrow rows, thousands of cells)
-and find shard and slot in the plan.
+of rows. Rows are ranked within a part of their cell (one shuffle of narrow rows; a cell has
+``PARTS`` parts, by the columns in ``order``, so that a key which very many rows share is
+ranked by many tasks) and find shard and slot in the plan.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ import hashlib
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tarnwork.storage import stored
+
 LAW = "rows"
+PARTS = 16
 
 
 def ring_walks(n_shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, ...]]:
@@ -71,14 +75,19 @@ def assign(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), n_sh
     """
     spark = df.sparkSession
     cell = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << ring_bits)).cast("int")
-    counts = {r[0]: r[1] for r in df.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
+    part = F.pmod(F.xxhash64(F.lit(7), F.col(key), *order), F.lit(PARTS)).cast("int")
+    per = stored(df.groupBy(cell.alias("__c"), part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")), "cells")  # at most PARTS rows a cell
+    counts = {r[0]: r[1] for r in per.groupBy("__c").agg(F.sum("__n")).collect()}  # one row a cell
     pieces = plan(counts, ring_walks(n_shards, vnodes, ring_bits), capacities(sum(counts.values()), n_shards, slack))
     table = spark.createDataFrame(pieces or [(0, 0, 0, 0, 0)], "__c int, __lo long, __hi long, shard int, __base long")
-    rank = Window.partitionBy("__c").orderBy(F.xxhash64(F.col(key)), F.col(key), *order)
-    ranked = df.drop("shard", "slot").withColumn("__c", cell).withColumn("__r", (F.row_number().over(rank) - 1).cast("long"))
-    # the plan has at most n_shards pieces a cell: a bound that the data can't move
+    before = Window.partitionBy("__c").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("__c", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    rank = Window.partitionBy("__c", "__p").orderBy(F.xxhash64(F.col(key)), F.col(key), *order)
+    ranked = df.drop("shard", "slot").withColumns({"__c": cell, "__p": part}).withColumn("__i", F.row_number().over(rank) - 1).join(F.broadcast(starts), ["__c", "__p"])
+    ranked = ranked.withColumn("__r", (F.col("__s") + F.col("__i")).cast("long"))
+    # counts and plan have at most PARTS and n_shards rows a cell: bounds that the data can't move
     placed = ranked.join(F.broadcast(table), "__c").filter((F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi")))
-    return placed.withColumn("slot", F.col("__base") + F.col("__r") - F.col("__lo")).drop("__c", "__r", "__lo", "__hi", "__base")
+    return placed.withColumn("slot", F.col("__base") + F.col("__r") - F.col("__lo")).drop("__c", "__p", "__s", "__i", "__r", "__lo", "__hi", "__base")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
