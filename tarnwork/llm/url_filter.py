@@ -6,7 +6,12 @@ vectorised binary search over all (host suffix, path prefix) keys; a hit counts
 stored string equals the probed one, so a hash collision can't change a verdict.
 
 The list is a parameter of the operator, not of the data: it is built on the driver and
-copied to every executor. ``MAX_RULES`` is its documented bound.
+copied to every executor. A list of more than ``PER_INDEX`` rules makes several such indexes,
+which are probed one after the other; the longest rule of all wins.
+
+Defined cases: a NULL url and one without ``://`` have an empty host and path and get the
+default verdict; repeated rows are judged alike; urls may have any length. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_RULES = 20_000_000
+PER_INDEX = 20_000_000
 #: Fixed values of the query's rules: (verdict, host, path prefix).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 DEFAULT = "allow"
@@ -44,22 +49,26 @@ def split_url(url: str | None) -> tuple[str, str]:
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
+def latest(rules) -> list[tuple[str, str, str]]:
+    """The rules with folded hosts; of equal (host, path) the last one counts."""
+    return [(v, h, p) for (h, p), v in {(h.translate(_FOLD), p): v for v, h, p in rules}.items()]
+
+
 def build_index(rules) -> tuple[np.ndarray, np.ndarray, bytes, list[int]]:
-    """Sorted keys, string offsets in that order, the strings, and the path lengths in use.
-
-    A string is host, tab, path, tab, verdict; of equal (host, path) the last rule counts.
-    """
-    latest = {(h.translate(_FOLD), p): v for v, h, p in rules}
-    if len(latest) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    rows = sorted((xxhash.xxh64_intdigest(f"{h}\t{p}"), f"{h}\t{p}\t{v}".encode()) for (h, p), v in latest.items())
+    """Sorted keys, string offsets in that order, the strings (host, tab, path, tab, verdict), and the path lengths in use."""
+    rows = sorted((xxhash.xxh64_intdigest(f"{h}\t{p}"), f"{h}\t{p}\t{v}".encode()) for v, h, p in rules)
     keys = np.array([k for k, _ in rows], np.uint64)
     offsets = np.cumsum([0, *[len(s) for _, s in rows]]).astype(np.int64)
-    return keys, offsets, b"".join(s for _, s in rows), sorted({len(p) for _, p in latest})
+    return keys, offsets, b"".join(s for _, s in rows), sorted({len(p) for _, _, p in rules})
+
+
+def publish(spark: SparkSession, rules) -> list[tuple[str, list[int]]]:
+    """Writes the indexes and sends them to the executors; returns their names and path lengths."""
+    rules = latest(rules)
+    return [_publish(spark, rules[at : at + PER_INDEX]) for at in range(0, max(1, len(rules)), PER_INDEX)]
 
 
-def publish(spark: SparkSession, rules) -> tuple[str, list[int]]:
-    """Writes the index and sends it to the executors; returns its name and the path lengths."""
+def _publish(spark: SparkSession, rules) -> tuple[str, list[int]]:
     keys, offsets, strings, lengths = build_index(rules)
     name = f"urls-{uuid.uuid4().hex}"
     folder = tempfile.mkdtemp(prefix="tarnwork-urls-")  # the driver serves the files as long as it runs
@@ -77,18 +86,24 @@ def _index(name: str) -> tuple:
         at = lambda part, kind: np.memmap(SparkFiles.get(f"{name}.{part}"), kind, "r")
         offsets = at("offsets", np.int64)
         keys = at("keys", np.uint64)[: len(offsets) - 1]
-        _open.clear()
         _open[name] = (keys, offsets, at("strings", np.uint8))
     return _open[name]
 
 
-def match(urls, index: tuple, lengths: list[int]) -> list[tuple[str, str, str | None, str | None]]:
+def match(urls, indexes: list[tuple]) -> list[tuple[str, str, str | None, str | None]]:
     """(host, path, rule, verdict of the rule) of each url; the longest rule wins, the longer host among equals."""
-    keys, offsets, strings = index
-    parts, probes, texts, owner, rank = [], [], [], [], []
-    for n, url in enumerate(urls):
-        host, path = split_url(url)
-        parts.append((host, path))
+    parts = [split_url(url) for url in urls]
+    best: dict[int, tuple] = {}
+    for index in indexes:
+        for n, found in _probe(parts, *index).items():
+            best[n] = max(best.get(n, found), found)
+    return [(*hp, *(best[n][1:] if n in best else (None, None))) for n, hp in enumerate(parts)]
+
+
+def _probe(parts: list[tuple[str, str]], keys: np.ndarray, offsets: np.ndarray, strings: np.ndarray, lengths: list[int]) -> dict[int, tuple]:
+    """url -> (rank, rule, verdict) of the longest rule of one index."""
+    probes, texts, owner, rank = [], [], [], []
+    for n, (host, path) in enumerate(parts):
         at = 0
         while host:
             suffix = host[at:]
@@ -113,17 +128,19 @@ def match(urls, index: tuple, lengths: list[int]) -> list[tuple[str, str, str |
                 if found == texts[i]:
                     best[owner[i]] = max(best.get(owner[i], ((0, 0), "", "")), (rank[i], found.replace("\t", ""), verdict))
                 p += 1
-    return [(*hp, *(best[n][1:] if n in best else (None, None))) for n, hp in enumerate(parts)]
+    return best
 
 
 def judge(pages: DataFrame, rules, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """(id, host, path, rule, verdict) of every row; repeated rows are judged alike."""
-    name, lengths = publish(pages.sparkSession, rules)
+    names = publish(pages.sparkSession, rules)
 
     def work(batches):
-        index = _index(name)
+        for old in set(_open) - {name for name, _ in names}:
+            del _open[old]
+        indexes = [(*_index(name), lengths) for name, lengths in names]
         for batch in batches:
-            found = match(batch.column(1).to_pylist(), index, lengths)
+            found = match(batch.column(1).to_pylist(), indexes)
             cols = list(zip(*found)) or [()] * 4
             text = [pa.array(c, pa.string()) for c in (cols[0], cols[1], cols[2], [v or default for v in cols[3]])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *text], names=[id_col, "host", "path", "rule", "verdict"])

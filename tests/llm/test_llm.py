@@ -271,16 +271,54 @@ def test_sharding(spark, odd):
     assert home / (7 << 14) > 0.9  # few keys leave their home
 
 
-def test_url_filter_collisions_and_edges():
+def test_sharding_against_a_walk(spark):
+    """The same ring walked key by key in plain Python; a key that a third of the rows share, and repeated rows."""
+    rows = [(None if i % 3 == 0 else i // 2, i % 200 if i % 2 else 7, "s") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, n int, shard string").repartition(6)
+    got = sharding.assign(table, order=("n",), n_shards=5, vnodes=8, ring_bits=6).collect()
+    cells = {r.doc_id: r.c for r in table.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("c")).distinct().collect()}
+    points = sorted((int.from_bytes(d[:8], "big") % 64, d, s) for s in range(5) for v in range(8) for d in [hashlib.md5(f"{s}/{v}".encode()).digest()])
+    waiting = Counter(cells[i] for i, _, _ in rows)
+    home = {c: list(dict.fromkeys(s for _, _, s in [p for p in points if p[0] >= c] + points)) for c in waiting}
+    free, want = [180] * 5, Counter()
+    for step in range(5):
+        for c in sorted(waiting):
+            s = home[c][step]
+            moved = min(waiting[c], free[s])
+            waiting[c] -= moved
+            free[s] -= moved
+            want[c, s] += moved
+    assert Counter((cells[r.doc_id], r.shard) for r in got) == +want
+    assert Counter((r.doc_id, r.n) for r in got) == Counter((i, n) for i, n, _ in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(180)) for v in by.values()) and len(by) == 5
+
+
+def test_url_filter_collisions_and_edges(spark):
     keys, offsets, strings, lengths = url_filter.build_index(url_filter.RULES)
     index = (keys, offsets, np.frombuffer(strings, np.uint8), lengths)
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7x?q", "x://com/en/", "x://notcom/en/", "x://example.com:80/en/", "http://example.net/de/8#f", "http://b.net/de/8"]
-    found = url_filter.match(urls, index[:3], lengths)
+    found = url_filter.match(urls, [index])
     assert found[:3] == [("", "", None, None)] * 3
     assert found[3] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and found[4][2:] == ("com/en/", "block")
     assert found[5][2] is None and found[6][2] is None and found[7][3] == "allow" and found[8][2:] == ("net/de/", "block")
-    forged = (np.full_like(keys, keys[0]), *index[1:3])  # every digest collides: only strings decide
-    assert url_filter.match(["x://zzz.dev/fr/"], forged, lengths) == [("zzz.dev", "/fr/", None, None)]
+    forged = (np.full_like(keys, keys[0]), *index[1:])  # every digest collides: only strings decide
+    assert url_filter.match(["x://zzz.dev/fr/"], [forged]) == [("zzz.dev", "/fr/", None, None)]
+    table = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate([*urls, *urls, "http://" + "a." * 20_000 + "com/en/" + "p" * 500_000])], "page_id long, url string, host string, rule string")
+    rows = {r.page_id: tuple(r)[1:] for r in url_filter.judge(table, url_filter.RULES).collect()}
+    assert [rows[i] for i in range(9)] == [rows[i] for i in range(9, 18)] == [(h, p, r, v or "allow") for h, p, r, v in found]
+    assert rows[18][2:] == ("com/en/", "block") and url_filter.judge(table.limit(0), url_filter.RULES).count() == 0
+
+
+def test_url_filter_several_indexes(spark, monkeypatch):
+    """Rules beyond one index lie in further ones; the last of equal rules counts, the longest wins."""
+    monkeypatch.setattr(url_filter, "PER_INDEX", 2)
+    rules = [("block", "com", "/"), ("allow", "a.com", "/x"), ("block", "b.a.com", "/x/y"), ("allow", "COM", "/"), ("block", "org", "/q")]
+    table = spark.createDataFrame(list(enumerate(["s://a.com/x", "s://b.a.com/x/yz", "s://c.com/", "s://z.org/qq", "s://z.org/"])), "page_id long, url string")
+    rows = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(table, rules, default="block").collect()}
+    assert rows == {0: ("a.com/x", "allow"), 1: ("b.a.com/x/y", "block"), 2: ("com/", "allow"), 3: ("org/q", "block"), 4: (None, "block")}
 
 
 def _best(rows, k=10):
