@@ -444,6 +444,8 @@ def test_line_dedup(spark, odd):
     assert rows[0].text is None and rows[1].text == "" and rows[14].n_removed == 0 and rows[14].n_lines == 6
     assert line_dedup.dedup(odd.limit(0)).count() == 0
     inside = spark.createDataFrame([(1, "a\nb\nc\nd\na\nb\nc\nd")], "doc_id long, text string")
+    long = "\n".join(f"line {i % 9000}" for i in range(20_000))
+    assert line_dedup.dedup(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().text == "\n".join(f"line {i}" for i in range(9000))
     assert line_dedup.dedup(inside).first().text == "a\nb\nc\nd"
 
 
@@ -574,15 +576,66 @@ def test_components(spark):
     assert got == {(i, 0) for i in range(1, 41)} | {(95, 90), (100, 90)}
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        before = {r.doc_id: r.text for r in docs.collect()}
-        docs = stage(spark, docs, SF)
-        after = {r.doc_id: r.text for r in docs.collect()}
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and set(after) <= set(before)
-        if name == "near":
-            assert set(after) == {i for i, n, c in _classes(before.items(), 5, 80) if not n or i == c}
-        sizes.append(len(after))
-    assert sizes == sorted(sizes, reverse=True)
+def _plain_lines(rows):
+    """Lines left of each (id, text) in order, by a set of the windows seen."""
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        ls = (t or "").split("\n")
+        gone = set()
+        for p in range(len(ls) - 2):
+            w = tuple(ls[p : p + 3])
+            if any(x.strip(" ") for x in w):
+                gone |= set(range(p, p + 3)) if w in seen else set()
+                seen.add(w)
+        out[i] = t if not gone else "\n".join(x for k, x in enumerate(ls) if k not in gone)
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage against a plain version, and run() against the stages; odd rows, clashing columns."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000").orderBy("doc_id").limit(200)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(5)
+    item = items.first().text
+    extra = [(-1, None, "en"), (-2, "", "en"), (-3, "word", None), (-4, f"some lead {item} and a tail", "en")]
+    docs = real.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    docs = docs.unionByName(docs.limit(20)).withColumns({"n_removed": F.lit(5), "log_weight": F.col("doc_id") * 2, "__id": F.lit("i"), "s": F.lit("x"), "number": F.lit(1.5)})
+    folder = str(tmp_path / "sf")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    labels, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("labels", "benchmark"))
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = Counter((r.doc_id, r.text) for r in now.collect())
+        now = corpus_pipeline.stored(stage(spark, now, folder), name)
+        rows = now.collect()
+        after = Counter((r.doc_id, r.text) for r in rows)
+        assert now.columns == columns and all((r.n_removed, r.log_weight, r["__id"], r.s, r.number) == (5, 2 * r.doc_id, "i", "x", 1.5) for r in rows)
+        if name == "quality":
+            want = Counter((r.doc_id, r.text) for r in quality.sample(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), labels).collect())
+            assert after == want and set(after) <= set(before)
+        elif name == "lines":
+            left = _plain_lines(set(before))
+            assert after == Counter({(i, left[i]): n for (i, t), n in before.items() if left[i] == t or left[i].strip(" ")})
+        elif name == "near":
+            keep = {i for i, n, c in _classes(dict(before).keys(), 5, 80) if not n or i == c}
+            assert after == Counter(k for k in before if k[0] in keep)
+        else:
+            hit = {i for i, _ in _overlaps(before, [(r.item_id, r.text) for r in bench.collect()])}
+            assert -4 in hit and set(after) == {k for k in before if k[0] not in hit}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter({i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in after})
+    got = Counter()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got[r.doc_id] += r.length
+    assert got == want and len(want) > 60
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
