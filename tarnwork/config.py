@@ -13,6 +13,8 @@ class Config:
     so that every cap binds on small inputs.
     """
 
+    # Defaults that results have to agree on (all but batch_rows and tree_depth).
+    batch_rows: int = 10_000
     max_candidates: int = 50
     fallback_below: int = 20
     max_predictions: int = 20

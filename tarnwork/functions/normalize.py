@@ -1,7 +1,7 @@
 """Text normalization as native column expressions.
 
-Only Unicode compatibility folding needs Python; it runs as an Arrow UDF that
-receives NULL for every pure-ASCII value, so such values cost nothing there.
+Only Unicode compatibility folding needs Python; it runs as an Arrow UDF. Callers keep
+rows of pure ASCII away from it (``nfkc=False``), as :func:`normalize_entities` does.
 """
 
 from __future__ import annotations

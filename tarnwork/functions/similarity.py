@@ -1,9 +1,9 @@
 """String similarity on [0, 1].
 
 ``indel_ratio`` and ``token_set_ratio`` are native expressions (an LCS row is
-carried through nested ``aggregate`` calls), so they run in the JVM and can be
-compared with SQL. ``indel_ratio_arrow``/``weighted_ratio`` are the Arrow UDFs for
-volume, on a bit-parallel LCS.
+carried through nested ``aggregate`` calls): for short texts, and to be compared with
+SQL. ``indel_ratio_arrow``, ``token_set_ratio_arrow`` and ``weighted_ratio`` are the
+Arrow UDFs for volume, on a bit-parallel LCS; they give the same values.
 """
 
 from __future__ import annotations
@@ -72,8 +72,16 @@ def ratio(a: str | None, b: str | None) -> float:
     return 1.0 if a == b else 2 * _lcs(a, b) / (len(a) + len(b))
 
 
-def _token_set(a: str, b: str) -> float:
+def _sorted(words) -> str:
+    return " ".join(sorted(words))
+
+
+def token_set(a: str | None, b: str | None) -> float:
+    if not a or not b:
+        return 0.0
     wa, wb = set(a.split()), set(b.split())
+    if not wa or not wb:
+        return 0.0
     both, only_a, only_b = sorted(wa & wb), sorted(wa - wb), sorted(wb - wa)
     if both and (not only_a or not only_b):
         return 1.0
@@ -81,27 +89,41 @@ def _token_set(a: str, b: str) -> float:
     return max(ratio(left, right), ratio(base, left), ratio(base, right))
 
 
-def _token_sort(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+def token_sort(a: str, b: str) -> float:
+    return ratio(_sorted(a.split()), _sorted(b.split()))
 
 
-def _partial(a: str, b: str) -> float:
-    short, long = sorted((a, b), key=len)
-    width = len(short)
-    return max((ratio(short, long[i : i + width]) for i in range(len(long) - width + 1)), default=0.0)
+def partial(a: str, b: str) -> float:
+    """The best ratio of the shorter text and a window of the longer one, windows over its ends included."""
+    if not a or not b:
+        return 0.0
+    best = 0.0
+    for short, long in ([(a, b), (b, a)] if len(a) == len(b) else [tuple(sorted((a, b), key=len))]):
+        width = len(short)
+        for i in range(1 - width, len(long)):
+            best = max(best, ratio(short, long[max(0, i) : i + width]))
+            if best == 1.0:
+                return best
+    return best
+
+
+def partial_token(a: str, b: str) -> float:
+    """1 where a word is shared; else the best partial ratio of the sorted words, repeated or not."""
+    wa, wb = a.split(), b.split()
+    if set(wa) & set(wb):
+        return 1.0
+    return max(partial(_sorted(wa), _sorted(wb)), partial(_sorted(set(wa)), _sorted(set(wb))))
 
 
 def weighted(a: str | None, b: str | None) -> float:
-    """A weighted blend of whole, token and partial ratios (an approximation of the usual WRatio)."""
+    """The usual weighted blend of whole, token and partial ratios (WRatio), on [0, 1]."""
     if not a or not b:
         return 0.0
     spread = max(len(a), len(b)) / min(len(a), len(b))
-    whole = ratio(a, b)
     if spread < 1.5:
-        return max(whole, 0.95 * max(_token_sort(a, b), _token_set(a, b)))
+        return max(ratio(a, b), 0.95 * max(token_sort(a, b), token_set(a, b)))
     scale = 0.9 if spread <= 8 else 0.6
-    sa, sb = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-    return max(whole, scale * _partial(a, b), 0.95 * scale * max(_partial(sa, sb), float(bool(set(a.split()) & set(b.split())))))
+    return max(ratio(a, b), scale * partial(a, b), 0.95 * scale * partial_token(a, b))
 
 
 @F.pandas_udf(DoubleType())
@@ -112,3 +134,8 @@ def indel_ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def token_set_ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_set(x, y) for x, y in zip(a, b)], dtype="float64")

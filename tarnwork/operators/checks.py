@@ -35,12 +35,26 @@ def profile_errors(name: Column, bio: Column, image_url: Column) -> Column:
     )
 
 
-def constraint_violations(df: DataFrame, not_null=(), unique=()) -> DataFrame:
-    """(rule, n): rows that break NOT NULL and keys that break UNIQUE."""
+def taken(requested: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """``requested`` with ``errors`` for each column whose value another row, known or requested before, has already."""
+    out, errors = requested, []
+    for c in columns:
+        used = known.select(F.col(c).alias(f"__{c}")).distinct()
+        out = out.join(used, F.col(c) == F.col(f"__{c}"), "left")
+        errors.append(F.when(F.col(f"__{c}").isNotNull(), F.lit(f"{c} taken")))
+    return out.withColumn("errors", F.filter(F.array(*errors), lambda m: m.isNotNull())).drop(*[f"__{c}" for c in columns])
+
+
+def constraint_violations(df: DataFrame, not_null=(), unique=(), references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(rule, n): rows that break NOT NULL, keys that break UNIQUE, rows that refer to nothing (column -> table of one key column)."""
     found = [df.filter(F.col(c).isNull()).agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(f"not null {c}").alias("rule"), "n") for c in not_null]
     for c in unique:
         twice = df.groupBy(c).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
         found.append(twice.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(f"unique {c}").alias("rule"), "n"))
+    for c, parents in (references or {}).items():
+        keys = parents.select(F.col(parents.columns[0]).alias(c)).distinct()
+        orphans = df.filter(F.col(c).isNotNull()).join(keys, c, "left_anti")
+        found.append(orphans.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(f"foreign key {c}").alias("rule"), "n"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

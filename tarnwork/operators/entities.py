@@ -13,12 +13,20 @@ def normalize_entities(df: DataFrame, source: str | None = None, config: Config
     """Normalized entities; ``source`` labels all rows, or the column ``source`` is kept.
 
     Prefix and first token come from the name before names that are too short are blanked.
+    Rows whose texts are all ASCII never leave the JVM; the others are folded in Python.
     """
     require_columns(df, ENTITY_COLUMNS)
     label = F.lit(source) if source else F.col("source")
-    base = df.select(
-        F.trim(F.coalesce(F.col("entity_id").cast("string"), F.lit(""))).alias("entity_id"), label.alias("source"),
-        N.normalize_name(F.col("business_name"), nfkc).alias("full_name"), N.normalize_address(F.col("business_address"), nfkc).alias("address_norm"),
+    raw = df.select(F.trim(F.coalesce(F.col("entity_id").cast("string"), F.lit(""))).alias("entity_id"), label.alias("source"), *ENTITY_COLUMNS[1:])
+    if not nfkc:
+        return _derived(raw, config, False)
+    folds = F.coalesce(F.concat_ws(" ", *ENTITY_COLUMNS[1:]).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return _derived(raw.filter(~folds), config, False).unionByName(_derived(raw.filter(folds), config, True))
+
+
+def _derived(raw: DataFrame, config: Config, nfkc: bool) -> DataFrame:
+    base = raw.select(
+        "entity_id", "source", N.normalize_name(F.col("business_name"), nfkc).alias("full_name"), N.normalize_address(F.col("business_address"), nfkc).alias("address_norm"),
         N.normalize_country(F.col("country"), nfkc).alias("country_norm"),
     )
     name = F.col("full_name")

@@ -8,6 +8,7 @@ from tarnwork.config import Config
 from tarnwork.functions import similarity as S
 from tarnwork.operators.blocking import PAIR
 
+# Names and order of the feature columns.
 FEATURES = [
     "country_exact", "country_missing", "country_mismatch", "name_ratio", "name_token_ratio", "name_wratio", "name_exact",
     "address_ratio", "address_token_ratio", "address_wratio", "address_exact", "name_length_diff", "address_length_diff",
@@ -34,13 +35,13 @@ def _flag(condition: Column) -> Column:
 
 def features(pairs: DataFrame, arrow: bool = False, weighted: bool = True) -> DataFrame:
     """Feature columns beside the pair's own; ``arrow`` computes the ratios in Arrow UDFs."""
-    ratio = S.indel_ratio_arrow if arrow else S.indel_ratio
+    ratio, token_set = (S.indel_ratio_arrow, S.token_set_ratio_arrow) if arrow else (S.indel_ratio, S.token_set_ratio)
     ca, cb = F.col("country_norm_a"), F.col("country_norm_b")
     both = (ca != "") & (cb != "")
     out = {"country_exact": _flag(both & (ca == cb)), "country_missing": _flag(~both), "country_mismatch": _flag(both & (ca != cb))}
     for field in ("name", "address"):
         a, b = F.col(f"{field}_norm_a"), F.col(f"{field}_norm_b")
-        out |= {f"{field}_ratio": ratio(a, b), f"{field}_token_ratio": S.token_set_ratio(a, b)} | ({f"{field}_wratio": S.weighted_ratio(a, b)} if weighted else {})
+        out |= {f"{field}_ratio": ratio(a, b), f"{field}_token_ratio": token_set(a, b)} | ({f"{field}_wratio": S.weighted_ratio(a, b)} if weighted else {})
         out |= {f"{field}_exact": _flag((a != "") & (a == b)), f"{field}_len_a": F.length(a), f"{field}_len_b": F.length(b)}
         out[f"{field}_length_diff"] = F.abs(F.length(a) - F.length(b))
     return pairs.withColumns({k: out[k] for k in FEATURES if k in out})
@@ -48,7 +49,7 @@ def features(pairs: DataFrame, arrow: bool = False, weighted: bool = True) -> Da
 
 def cheap_prefilter(pairs: DataFrame, config: Config = Config()) -> DataFrame:
     """Pairs alike enough in name or address, the best ``prefilter_top_k`` of each source."""
-    scored = pairs.withColumns({"cheap_name": S.indel_ratio(F.col("name_norm_a"), F.col("name_norm_b")), "cheap_address": S.indel_ratio(F.col("address_norm_a"), F.col("address_norm_b"))})
+    scored = pairs.withColumns({f"cheap_{x}": S.indel_ratio_arrow(F.col(f"{x}_norm_a"), F.col(f"{x}_norm_b")) for x in ("name", "address")})
     likely = scored.filter((F.col("cheap_name") >= config.prefilter_name) | (F.col("cheap_address") >= config.prefilter_address))
     score = F.round(0.7 * F.col("cheap_name") + 0.3 * F.col("cheap_address"), 9)
     best = Window.partitionBy("source1_id").orderBy(score.desc(), F.md5("target_id"), "target_id", "target_source")
@@ -69,7 +70,7 @@ def sample_rows(df: DataFrame, n: int) -> DataFrame:
 
 
 def training_sample(labelled: DataFrame, config: Config = Config()) -> DataFrame:
-    """Capped positives, the hardest negatives and some random ones. Needs ``label`` and ``hard_score``."""
+    """Capped positives, the hardest negatives and some random ones. Needs ``label`` and ``hard_score``; read several times: a stored table."""
     positives = sample_rows(labelled.filter("label = 1"), config.max_positives)
     n = positives.count()
     negatives = labelled.filter("label = 0")

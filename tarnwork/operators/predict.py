@@ -35,6 +35,7 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
 
 
 def save_model(model: PipelineModel, path: str, threshold: float, report: dict | None = None) -> None:
+    """The model, and beside it threshold, report and version as JSON; the model first, so a sidecar means a whole one."""
     spark = SparkSession.getActiveSession()
     model.write().overwrite().save(f"{path}/model")
     payload = json.dumps({"threshold": threshold, "report": report or {}, "version": 1})

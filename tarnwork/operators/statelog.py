@@ -19,6 +19,31 @@ def listing(df: DataFrame, *order, owner: tuple[str, object] | None = None) -> D
     return (df.filter(F.col(owner[0]) == F.lit(owner[1])) if owner else df).orderBy(*order)
 
 
+def seeded(table: DataFrame, seed: DataFrame) -> DataFrame:
+    """``table``, or ``seed`` if it has no rows."""
+    empty = table.limit(1).agg((F.count(F.lit(1)) == 0).alias("__empty"))
+    return table.unionByName(seed.crossJoin(F.broadcast(empty)).filter("__empty").drop("__empty").select(*table.columns))
+
+
+def stamped(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the current UTC time where these columns are NULL or absent."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return rows.withColumns({c: F.coalesce(F.col(c), now) if c in rows.columns else now for c in columns})
+
+
+def touched(rows: DataFrame, changed, column: str = "updated_at") -> DataFrame:
+    """``rows`` with the current UTC time in ``column`` where ``changed`` (a condition) holds."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return rows.withColumn(column, F.when(changed, now).otherwise(F.col(column)))
+
+
+def appended(log: DataFrame, rows: DataFrame, key: str, *order) -> DataFrame:
+    """``log`` and ``rows`` with the next keys, in the given order."""
+    last = log.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("__last"))  # one row
+    new = with_keys(rows, key, *order).crossJoin(F.broadcast(last)).withColumn(key, F.col(key) + F.col("__last")).drop("__last")
+    return log.unionByName(new.select(*log.columns))
+
+
 def tally(votes: DataFrame) -> DataFrame:
     return votes.groupBy("item").agg(F.count(F.lit(1)).cast("bigint").alias("votes"))
 

@@ -14,45 +14,60 @@ from tarnwork.operators import pairs as P
 from tarnwork.operators import predict as R
 from tarnwork.operators import statelog as L
 from tarnwork.operators.entities import combine_targets, normalize_entities, split_sides
+from tarnwork.plans import linkage
 from tarnwork.sources import fixtures as X
-from tarnwork.sources.io import read_table
+from tarnwork.sources.io import SCHEMAS, conform, landed_json, read_head, read_table
+from tarnwork.storage import new_path, stored
 
 #: Small caps, so that every gate and quota binds on the test tables.
 SMALL = Config(max_candidates=8, fallback_below=2, max_token_df=8, rare_rank_limit=6, max_predictions=3, prefilter_top_k=5)
 
 
-def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    return split_sides(normalize_entities(X.entities_part(spark, d)))
+def _sides(spark, d, entities=X.entities_part) -> tuple[DataFrame, DataFrame]:
+    """Normalized once and written, since every stage reads both sides again."""
+    return split_sides(stored(normalize_entities(entities(spark, d)), "entities"))
 
 
 def flagship(spark, d: str, config: Config = Config()) -> DataFrame:
     return B.candidates(*_sides(spark, d), config)
 
 
-def _stage(which: str):
+def _overlap(spark, d: str, config: Config = Config()) -> DataFrame:
+    return B.candidates(*_sides(spark, d, X.entities_overlap), config)
+
+
+def _stage(which: str, entities=X.entities_part):
+    """One stage alone, with its whole buckets."""
+
     def query(spark, d):
-        a, b = _sides(spark, d)
+        a, b = _sides(spark, d, entities)
+        exact = B.bucket(b, "name_norm", None)
         if which == "exact":
-            return B.exact_block(a, b)
-        counts = B.exact_counts(a, b)
-        rare = B.rare_block(a, b, counts=counts)
-        return rare if which == "rare" else B.prefix_block(a, b, Config(), counts, rare)
+            return B.exact_block(a, exact)
+        counts = stored(B.exact_counts(a, B.bucket_sizes(b, "name_norm"), exact), "counts")
+        rare = B.rare_block(a, B.rare_token_index(b), exact, counts)
+        return rare if which == "rare" else B.prefix_block(a, B.bucket(b, "name_prefix", None), counts, rare)
 
     return query
 
 
+def _candidates_and_sides(spark, d, config: Config = Config()):
+    sides = _sides(spark, d)
+    return (B.candidates(*sides, config), *sides)
+
+
 def _scored(spark, d) -> DataFrame:
     pairs = P.label_pairs(flagship(spark, d), X.truth_part(spark, d))
     return pairs.withColumn("probability", X.pseudo_score(F.col("source1_id"), F.col("target_id")))
 
 
 def _pairs(spark, d) -> DataFrame:
-    return P.enrich(flagship(spark, d), *_sides(spark, d))
+    return P.enrich(*_candidates_and_sides(spark, d))
 
 
 def _labelled(spark, d) -> DataFrame:
     score = X.pseudo_score(F.col("source1_id"), F.col("target_id"))
-    return P.label_pairs(flagship(spark, d), X.truth_part(spark, d)).withColumn("hard_score", score)
+    return stored(P.label_pairs(flagship(spark, d), X.truth_part(spark, d)).withColumn("hard_score", score), "labelled")
 
 
 def _truth_rows(spark, d) -> DataFrame:
@@ -65,8 +80,8 @@ def _truth_rows(spark, d) -> DataFrame:
     return grouped.select(F.col("source1_id").alias("source1_entity_id"), text.alias("matched_entity_ids"))
 
 
-def train_and_score(spark, d, config: Config = Config(trees=20, min_leaf=5)) -> DataFrame:
-    rows = P.features(P.label_pairs(_pairs(spark, d), X.truth_part(spark, d)), arrow=True)
+def train_and_score(spark, d, config: Config = Config()) -> DataFrame:
+    rows = stored(P.features(P.label_pairs(_pairs(spark, d), X.truth_part(spark, d)), arrow=True), "features")
     train = rows.filter(~P.in_validation(F.col("source1_id")))
     return R.score(R.train(train, config), rows).select(*B.PAIR, "label", "probability")
 
@@ -80,22 +95,11 @@ def _note_view(spark, d):
     return L.live_notes(X.note_log(spark, d))
 
 
-def _batched(spark, d):
-    """Candidates of source1 batches; every third batch has not been written yet."""
-    batch = F.floor(F.col("source1_id").cast("bigint") / 1000).cast("bigint")
-    return flagship(spark, d).withColumn("batch_id", batch).filter("batch_id % 3 <> 1")
-
-
-def _checkpoint_counts(spark, d):
-    rows = _batched(spark, d)
-    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.countDistinct("source1_id").cast("bigint").alias("n_sources"))
-
-
 def _batch_of(source1_id):
     return F.floor(source1_id.cast("bigint") / 1000).cast("bigint")
 
 
-def _batched_full(spark, d):
+def _batched(spark, d):
     """Candidates of all source1 batches."""
     return flagship(spark, d).withColumn("batch_id", _batch_of(F.col("source1_id")))
 
@@ -106,18 +110,71 @@ def n_batches(sources: DataFrame) -> int:
     return 0 if last is None else last + 1
 
 
-def _checkpoint_counts_full(spark, d):
-    rows = _batched_full(spark, d)
+def _checkpoint_counts(spark, d):
+    rows = _batched(spark, d)
     return rows.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.countDistinct("source1_id").cast("bigint").alias("n_sources"))
 
 
-def _docs_normalized(spark, d):
-    return normalize_entities(X.entities_doc(spark, d))
+def _missing_batches(spark, d):
+    found, sources, _ = _candidates_and_sides(spark, d)
+    return L.missing_batches(found.select(_batch_of(F.col("source1_id")).alias("batch_id")), n_batches(sources))
+
+
+def _linked(spark, d):
+    """The whole run on TSV files; its inputs and work folder."""
+    inputs, work = X.linkage_files(spark, d, new_path(spark, "tsv")), new_path(spark, "linkage")
+    return inputs, work, linkage.run(spark, inputs, work)
+
+
+def linkage_run(spark, d) -> DataFrame:
+    return _linked(spark, d)[2]
+
+
+def quick_eval(spark, d) -> DataFrame:
+    """The chosen threshold of the held-out evaluation and what it reaches."""
+    inputs, work = X.linkage_files(spark, d, new_path(spark, "tsv")), new_path(spark, "linkage")
+    source1, targets, _ = linkage.prepare(spark, inputs, work)
+    linkage.block(spark, source1, targets, work, Config())
+    report = linkage.quick_eval(spark, inputs, work)
+    flat = {k: v for k, v in report.items() if k not in ("selected", "sweep")} | report["selected"]
+    return spark.createDataFrame([tuple(flat.values())], list(flat))
+
+
+def _file_counts(spark, d):
+    """Rows and distinct sources of each batch file of the candidates."""
+    folder = new_path(spark, "batches")
+    _batched(spark, d).repartition("batch_id").write.partitionBy("batch_id").parquet(folder)
+    counts = spark.read.parquet(folder).groupBy("batch_id", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source1_id").alias("n_sources"))
+    return counts.select(F.col("batch_id").cast("bigint").alias("batch_id"), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_sources").cast("bigint").alias("n_sources"))
+
+
+def _landed(spark, d):
+    """Landed JSON of which every third text is cut off."""
+    text = F.when(F.col("event_id") % 3 == 0, F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.col("props"))
+    return landed_json(read_table(spark, d, "events").select("event_id", text.alias("value")), "k bigint").select("event_id", "k")
+
+
+def _nation_names(spark, d):
+    return read_table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("username"), F.col("n_regionkey").cast("string").alias("email"))
+
+
+def _customer_names(spark, d):
+    return read_table(spark, d, "customer").select(F.col("c_mktsegment").alias("username"), F.col("c_nationkey").cast("string").alias("email"))
+
+
+def _appended(spark, d):
+    log = read_table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("bigint").alias("id"), F.col("r_name").alias("name"))
+    return L.appended(log, read_table(spark, d, "nation").select(F.col("n_name").alias("name")), "id", "name")
+
+
+def _quotes(spark, d):
+    made = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return conform(X.votes(spark, d).select(F.col("event_id").alias("id"), F.col("item").alias("quote"), F.lit("unknown").alias("author"), made.alias("created_at")), SCHEMAS["quote"])
 
 
 QUERIES = {
     "normalize_parts": lambda s, d: normalize_entities(X.entities_part(s, d)),
-    "normalize_docs": _docs_normalized,
+    "normalize_docs": lambda s, d: normalize_entities(X.entities_doc(s, d)),
     "combine_targets": lambda s, d: combine_targets(*[normalize_entities(X.entities_part(s, d).filter(F.col("source") == x)) for x in ("source2", "source3")]),
     "rare_token_index": lambda s, d: B.rare_token_index(_sides(s, d)[1]).select("country_norm", "token", "target_id", "target_source", "token_df"),
     "block_exact": _stage("exact"),
@@ -125,31 +182,42 @@ QUERIES = {
     "block_prefix": _stage("prefix"),
     "block_final": flagship,
     "block_final_small_caps": lambda s, d: flagship(s, d, SMALL),
+    "block_rare_overlap": _stage("rare", X.entities_overlap),
+    "block_final_overlap": _overlap,
+    "block_final_overlap_small_caps": lambda s, d: _overlap(s, d, SMALL),
     "parse_truth": lambda s, d: E.parse_truth(_truth_rows(s, d)),
     "label_pairs": lambda s, d: P.label_pairs(flagship(s, d), X.truth_part(s, d)),
     "blocking_recall": lambda s, d: E.blocking_recall(flagship(s, d), X.truth_part(s, d)),
     "pair_features": lambda s, d: P.features(_pairs(s, d), weighted=False).select(*B.PAIR, *[F.round(c, 6).alias(c) if c.endswith("ratio") else c for c in P.FEATURES if "wratio" not in c]),
     "pair_features_full": lambda s, d: P.features(_pairs(s, d), arrow=True).select(*B.PAIR, *P.FEATURES),
-    "cheap_prefilter": lambda s, d: P.cheap_prefilter(_pairs(s, d), SMALL).select(*B.PAIR),
-    "training_sample": lambda s, d: P.training_sample(_labelled(s, d), Config(max_positives=50)).select(*B.PAIR, "label"),
-    "validation_sample": lambda s, d: P.validation_sample(_labelled(s, d), Config(validation_max_positives=40)).select(*B.PAIR, "label"),
+    "cheap_prefilter": lambda s, d: P.cheap_prefilter(_pairs(s, d)).select(*B.PAIR),
+    "cheap_prefilter_small_caps": lambda s, d: P.cheap_prefilter(_pairs(s, d), SMALL).select(*B.PAIR),
+    "training_sample": lambda s, d: P.training_sample(_labelled(s, d)).select(*B.PAIR, "label"),
+    "training_sample_small_caps": lambda s, d: P.training_sample(_labelled(s, d), Config(max_positives=50)).select(*B.PAIR, "label"),
+    "validation_sample": lambda s, d: P.validation_sample(_labelled(s, d)).select(*B.PAIR, "label"),
+    "validation_sample_small_caps": lambda s, d: P.validation_sample(_labelled(s, d), Config(validation_max_positives=40)).select(*B.PAIR, "label"),
     "entity_split": lambda s, d: _sides(s, d)[0].select("entity_id", P.in_validation(F.col("entity_id")).cast("int").alias("in_validation")),
     "threshold_sweep": lambda s, d: E.threshold_sweep(_scored(s, d), Config.thresholds).select("threshold", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f05")]),
     "select_threshold": lambda s, d: _selected(s, d, False).select("threshold", "tp", "fp", "fn"),
     "select_threshold_quick": lambda s, d: _selected(s, d, True).select("threshold", "tp", "fp", "fn"),
     "confusion_pairs": lambda s, d: E.confusion(R.top_predictions(_scored(s, d)), X.truth_part(s, d)).select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f05")]),
-    "top_predictions": lambda s, d: R.top_predictions(_scored(s, d), SMALL, 0.3).select(*B.PAIR, "probability"),
+    "top_predictions": lambda s, d: R.top_predictions(_scored(s, d), threshold=0.3).select(*B.PAIR, "probability"),
+    "top_predictions_small_caps": lambda s, d: R.top_predictions(_scored(s, d), SMALL, 0.3).select(*B.PAIR, "probability"),
     "matches_output": lambda s, d: R.match_output(_sides(s, d)[0], R.top_predictions(_scored(s, d))),
     "train_and_score": train_and_score,
-    "cheap_prefilter_full": lambda s, d: P.cheap_prefilter(_pairs(s, d)).select(*B.PAIR),
-    "training_sample_full": lambda s, d: P.training_sample(_labelled(s, d)).select(*B.PAIR, "label"),
-    "validation_sample_full": lambda s, d: P.validation_sample(_labelled(s, d)).select(*B.PAIR, "label"),
-    "top_predictions_full": lambda s, d: R.top_predictions(_scored(s, d), threshold=0.3).select(*B.PAIR, "probability"),
-    "train_and_score_full": lambda s, d: train_and_score(s, d, Config()),
+    "train_and_score_small_caps": lambda s, d: train_and_score(s, d, Config(trees=20, min_leaf=5)),
+    "linkage_run": linkage_run,
+    "quick_eval": quick_eval,
     "checkpoint_counts": _checkpoint_counts,
-    "missing_batches": lambda s, d: L.missing_batches(_batched(s, d), 3),
-    "checkpoint_counts_full": _checkpoint_counts_full,
-    "missing_batches_full": lambda s, d: L.missing_batches(_batched_full(s, d), n_batches(_sides(s, d)[0])),
+    "missing_batches": _missing_batches,
+    "batch_file_counts": _file_counts,
+    "projected_head": lambda s, d: read_head(s, f"{d}/events.parquet", ["event_id", "user_id"], 100, "event_id"),
+    "landed_json": _landed,
+    "seed_rows": lambda s, d: L.seeded(read_table(s, d, "region").select("r_regionkey", "r_name").filter("false"), read_table(s, d, "region").select("r_regionkey", "r_name")),
+    "appended_keys": _appended,
+    "typed_quotes": _quotes,
+    "names_taken": lambda s, d: C.taken(_nation_names(s, d), _customer_names(s, d), "username", "email").select("n_nationkey", F.array_join("errors", "; ").alias("errors")),
+    "foreign_keys": lambda s, d: C.constraint_violations(read_table(s, d, "events"), references={"user_id": read_table(s, d, "customer").select("c_custkey"), "event_id": read_table(s, d, "orders").select("o_orderkey")}),
     "vote_tally": lambda s, d: L.tally(X.votes(s, d)),
     "availability_latest": lambda s, d: L.latest(X.availability(s, d), "user_id", "available", "ts", "event_id"),
     "availability_summary": lambda s, d: L.availability_summary(L.latest(X.availability(s, d), "user_id", "available", "ts", "event_id")),
@@ -160,14 +228,10 @@ QUERIES = {
     "owner_notes": lambda s, d: _note_view(s, d).join(s.range(10).withColumnRenamed("id", "user_id"), "user_id", "right").groupBy("user_id").agg(F.count("note_id").cast("bigint").alias("n_notes")),
     "note_preview": lambda s, d: _note_view(s, d).select("note_id", N.preview(F.col("content")).alias("preview")),
     "validate_notes": lambda s, d: X.note_log(s, d).select("note_id", "version", F.array_join(C.note_errors(F.col("title"), F.col("content")), "; ").alias("errors")),
-    "validate_profiles": lambda s, d: read_table(s, d, "pages").select("page_id", F.array_join(C.profile_errors(F.lit("x"), F.col("html"), F.col("url")), "; ").alias("errors")),
+    "validate_profiles": lambda s, d: read_table(s, d, "pages").select("page_id", F.array_join(C.profile_errors(F.regexp_extract("url", "^[^/]*//[^/]*/(.*)$", 1), F.col("html"), F.col("url")), "; ").alias("errors")),
     "validate_users": lambda s, d: read_table(s, d, "customer").select("c_custkey", F.array_join(C.user_errors(F.col("c_mktsegment"), F.col("c_name"), F.col("c_acctbal").cast("int").cast("string")), "; ").alias("errors")),
     "constraints": lambda s, d: C.constraint_violations(read_table(s, d, "events"), ["user_id", "event_type"], ["event_id", "user_id"]),
-    "duplicate_keys": lambda s, d: L.duplicates(read_table(s, d, "documents").select(F.lower(F.trim(F.substring("text", 1, 20))).alias("title")), "title"),
-    "normalize_docs_full": lambda s, d: normalize_entities(X.entities_doc_full(s, d)),
-    "duplicate_keys_full": lambda s, d: L.duplicates(read_table(s, d, "documents").select(F.lower(F.trim("text")).alias("title")), "title"),
-    "validate_notes_full": lambda s, d: X.note_log_full(s, d).select("note_id", "version", F.array_join(C.note_errors(F.col("title"), F.col("content")), "; ").alias("errors")),
-    "notes_live_full": lambda s, d: L.live_notes(X.note_log_full(s, d)).select("note_id", "user_id", "title", "updated_version", "created_version"),
+    "duplicate_keys": lambda s, d: L.duplicates(read_table(s, d, "documents").select(F.lower(F.trim("text")).alias("title")), "title"),
     "generated_keys": lambda s, d: L.with_keys(X.votes(s, d).select("ts", "event_id"), "id", "ts", "event_id").select("id", "event_id"),
     "quote_history": lambda s, d: L.listing(X.votes(s, d), F.desc("event_id")).select("event_id", F.concat(F.lit('"'), "item", F.lit('"')).alias("quote"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.date_format("ts", "dd MMM yyyy, hh:mm a").alias("shown_at")),
     "initials": lambda s, d: read_table(s, d, "customer").select("c_custkey", N.initials(F.concat_ws(" ", F.lower("c_mktsegment"), F.split("c_name", "#")[0])).alias("initials")),
@@ -202,13 +266,17 @@ def _entities(raw: str) -> str:
 
 _SIDE = "CASE {0} % 4 WHEN 0 THEN 'source1' WHEN 3 THEN 'source3' ELSE 'source2' END AS source"
 _PART = f"SELECT CAST(p_partkey AS VARCHAR) AS entity_id, {_SIDE.format('p_partkey')}, p_name AS business_name, concat(p_type, ' street ', CAST(p_size AS VARCHAR)) AS business_address, p_brand AS country FROM part"
-_DOC = f"SELECT CAST(doc_id AS VARCHAR) AS entity_id, {_SIDE.format('doc_id')}, substr(text, 1, 60) AS business_name, substr(text, 61, 200) AS business_address, lang AS country FROM documents"
+_DOC = f"SELECT CAST(doc_id AS VARCHAR) AS entity_id, {_SIDE.format('doc_id')}, text AS business_name, text AS business_address, lang AS country FROM documents"
+_OVERLAP = (
+    f"SELECT CAST(CASE WHEN p_partkey % 8 = 7 THEN p_partkey - 1 ELSE p_partkey END AS VARCHAR) AS entity_id, {_SIDE.format('p_partkey')}, p_name AS business_name, concat(p_type, ' street ', CAST(p_size AS VARCHAR)) AS business_address, p_brand AS country"
+    " FROM (SELECT * FROM part UNION ALL SELECT * FROM part WHERE p_partkey % 20 = 0)"
+)
 _TRUTH = "truth AS (SELECT CAST(x.p_partkey AS VARCHAR) AS source1_id, CAST(y.p_partkey AS VARCHAR) AS target_id FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_name = y.p_name AND x.p_type = y.p_type WHERE x.p_partkey % 4 = 0 AND y.p_partkey % 4 <> 0)"
 
 
-def _blocking(c: Config = Config()) -> str:
+def _blocking(c: Config = Config(), raw: str = _PART) -> str:
     q1, q2, q3 = c.quotas
-    return f"""WITH {_entities(_PART)}, {_TRUTH},
+    return f"""WITH {_entities(raw)}, {_TRUTH},
  s1 AS (SELECT * FROM entities WHERE source = 'source1'), tg AS (SELECT * FROM entities WHERE source <> 'source1'),
  exact AS (SELECT s.entity_id AS source1_id, t.entity_id AS target_id, t.source AS target_source FROM s1 s JOIN tg t ON s.country_norm = t.country_norm AND s.name_norm = t.name_norm WHERE s.country_norm <> '' AND s.name_norm <> ''),
  n_exact AS (SELECT source1_id, count(*) AS n FROM exact GROUP BY 1),
@@ -251,7 +319,7 @@ _GRID47 = [round(0.5 + i / 100, 2) for i in range(47)]
 _TOP = "SELECT source1_id, target_id, target_source, probability FROM labelled WHERE probability >= {0} QUALIFY row_number() OVER (PARTITION BY source1_id ORDER BY probability DESC, md5(target_id), target_id) <= {1}"
 _KEY = "md5(concat_ws('|', source1_id, target_id, target_source))"
 _LATEST = "SELECT user_id, arg_max(event_type <> 'error', (ts, event_id)) AS available FROM events GROUP BY 1"
-_NOTE_LOG = "SELECT conv_id AS note_id, turn AS version, conv_id % 10 AS user_id, CASE WHEN turn = 0 THEN 'insert' WHEN (conv_id + turn) % 5 = 0 THEN 'delete' ELSE 'update' END AS op, substr(text, 1, 100) AS title, text AS content FROM conversations"
+_NOTE_LOG = "SELECT conv_id AS note_id, turn AS version, conv_id % 10 AS user_id, CASE WHEN turn = 0 THEN 'insert' WHEN (conv_id + turn) % 5 = 0 THEN 'delete' ELSE 'update' END AS op, text AS title, text AS content FROM conversations"
 _NOTES = f"SELECT note_id, user_id, title, content, version AS updated_version, created_version FROM (SELECT *, min(version) FILTER (op = 'insert') OVER (PARTITION BY note_id) AS created_version, row_number() OVER (PARTITION BY note_id ORDER BY version DESC) AS k FROM ({_NOTE_LOG})) WHERE k = 1 AND op <> 'delete'"
 _PAIRS = "source1_id, target_id, target_source"
 
@@ -292,8 +360,22 @@ def _errors(*rules: tuple[str, str]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {bad} THEN '{text}' END" for bad, text in rules) + "], lambda m: m IS NOT NULL), '; ') AS errors"
 
 
-_BATCHED = "(SELECT *, CAST(floor(CAST(source1_id AS BIGINT) / 1000) AS BIGINT) AS batch_id FROM final) WHERE batch_id % 3 <> 1"
-_BATCHED_FULL = "(SELECT *, CAST(floor(CAST(source1_id AS BIGINT) / 1000) AS BIGINT) AS batch_id FROM final)"
+_BATCHED = "(SELECT *, CAST(floor(CAST(source1_id AS BIGINT) / 1000) AS BIGINT) AS batch_id FROM final)"
+_COUNTS = f"{_blocking()} SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT source1_id) AS BIGINT) AS n_sources FROM {_BATCHED} GROUP BY 1"
+_NAME = "coalesce(trim(regexp_extract(url, E'^[^/]*//[^/]*/(.*)$', 1)), E'')"
+_FK = "SELECT 'foreign key {0}' AS rule, CAST(count(*) AS BIGINT) AS n FROM events WHERE {0} IS NOT NULL AND {0} NOT IN (SELECT {1} FROM {2})"
+
+
+def _training_sql(most: int) -> str:
+    return f"""{_blocking()}, pos AS (SELECT * FROM labelled WHERE label = 1 ORDER BY {_KEY}, {_PAIRS} LIMIT {most}), hard AS (SELECT * FROM labelled WHERE label = 0 QUALIFY row_number() OVER (ORDER BY probability DESC, {_KEY}, {_PAIRS}) <= 4 * (SELECT count(*) FROM pos)),
+ easy AS (SELECT * FROM labelled l WHERE label = 0 AND NOT EXISTS (SELECT 1 FROM hard h WHERE h.source1_id = l.source1_id AND h.target_id = l.target_id AND h.target_source = l.target_source) QUALIFY row_number() OVER (ORDER BY {_KEY}, {_PAIRS}) <= (SELECT count(*) FROM pos))
+ SELECT {_PAIRS}, label FROM pos UNION ALL SELECT {_PAIRS}, label FROM hard UNION ALL SELECT {_PAIRS}, label FROM easy"""
+
+
+def _validation_sql(most: int) -> str:
+    return f"""{_blocking()}, pos AS (SELECT * FROM labelled WHERE label = 1 ORDER BY {_KEY}, {_PAIRS} LIMIT {most})
+ SELECT {_PAIRS}, label FROM pos UNION ALL SELECT {_PAIRS}, label FROM (SELECT * FROM labelled WHERE label = 0 QUALIFY row_number() OVER (ORDER BY {_KEY}, {_PAIRS}) <= 5 * (SELECT count(*) FROM pos))"""
+
 
 ORACLE = {
     "normalize_parts": f"WITH {_entities(_PART)} SELECT * FROM entities",
@@ -305,24 +387,37 @@ ORACLE = {
     "block_prefix": f"{_blocking()} SELECT * FROM pre",
     "block_final": f"{_blocking()} SELECT * FROM final",
     "block_final_small_caps": f"{_blocking(SMALL)} SELECT * FROM final",
+    "block_rare_overlap": f"{_blocking(raw=_OVERLAP)} SELECT {_PAIRS}, CAST(token_df AS BIGINT) AS token_df FROM rare",
+    "block_final_overlap": f"{_blocking(raw=_OVERLAP)} SELECT * FROM final",
+    "block_final_overlap_small_caps": f"{_blocking(SMALL, _OVERLAP)} SELECT * FROM final",
     "parse_truth": f"WITH {_TRUTH} SELECT DISTINCT source1_id, target_id FROM truth",
     "label_pairs": f"{_blocking()} SELECT {_PAIRS}, block_priority, label FROM labelled",
     "blocking_recall": f"{_blocking()} SELECT CAST(count(*) AS BIGINT) AS true_pairs, CAST(count(f.target_id) AS BIGINT) AS found_pairs, CAST(count(f.target_id) / count(*) AS DOUBLE) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT DISTINCT source1_id, target_id FROM final) f ON f.source1_id = t.source1_id AND f.target_id = t.target_id",
     "pair_features": _features_sql(),
-    "cheap_prefilter": _prefilter_sql(SMALL),
-    "training_sample": f"{_blocking()}, pos AS (SELECT * FROM labelled WHERE label = 1 ORDER BY {_KEY}, {_PAIRS} LIMIT 50), hard AS (SELECT * FROM labelled WHERE label = 0 QUALIFY row_number() OVER (ORDER BY probability DESC, {_KEY}, {_PAIRS}) <= 4 * (SELECT count(*) FROM pos)), easy AS (SELECT * FROM labelled l WHERE label = 0 AND NOT EXISTS (SELECT 1 FROM hard h WHERE h.source1_id = l.source1_id AND h.target_id = l.target_id AND h.target_source = l.target_source) QUALIFY row_number() OVER (ORDER BY {_KEY}, {_PAIRS}) <= (SELECT count(*) FROM pos)) SELECT {_PAIRS}, label FROM pos UNION ALL SELECT {_PAIRS}, label FROM hard UNION ALL SELECT {_PAIRS}, label FROM easy",
-    "validation_sample": f"{_blocking()}, pos AS (SELECT * FROM labelled WHERE label = 1 ORDER BY {_KEY}, {_PAIRS} LIMIT 40) SELECT {_PAIRS}, label FROM pos UNION ALL SELECT {_PAIRS}, label FROM (SELECT * FROM labelled WHERE label = 0 QUALIFY row_number() OVER (ORDER BY {_KEY}, {_PAIRS}) <= 5 * (SELECT count(*) FROM pos))",
+    "cheap_prefilter": _prefilter_sql(Config()),
+    "cheap_prefilter_small_caps": _prefilter_sql(SMALL),
+    "training_sample": _training_sql(Config.max_positives),
+    "training_sample_small_caps": _training_sql(50),
+    "validation_sample": _validation_sql(Config.validation_max_positives),
+    "validation_sample_small_caps": _validation_sql(40),
     "entity_split": f"WITH {_entities(_PART)} SELECT entity_id, CAST(CAST('0x' || substr(md5(entity_id), 1, 8) AS BIGINT) % 100 < 20 AS INTEGER) AS in_validation FROM entities WHERE source = 'source1'",
     "threshold_sweep": f'{_blocking()} SELECT threshold, tp, fp, fn, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(f05, 9) AS f05 FROM ({_sweep(Config.thresholds)})',
     "select_threshold": f'{_blocking()}, w AS ({_sweep(Config.thresholds)}) SELECT threshold, tp, fp, fn FROM w ORDER BY "precision" >= 0.9 DESC, CASE WHEN "precision" >= 0.9 THEN f05 ELSE "precision" END DESC, CASE WHEN "precision" >= 0.9 THEN "precision" ELSE f05 END DESC, threshold LIMIT 1',
     "select_threshold_quick": f'{_blocking()}, w AS ({_sweep(_GRID47)}) SELECT threshold, tp, fp, fn FROM w ORDER BY "precision" >= 0.9 DESC, CASE WHEN "precision" >= 0.9 THEN f05 ELSE "precision" END DESC, threshold LIMIT 1',
     "confusion_pairs": _confusion_sql(),
-    "top_predictions": f"{_blocking()} {_TOP.format(0.3, 3)}",
+    "top_predictions": f"{_blocking()} {_TOP.format(0.3, Config.max_predictions)}",
+    "top_predictions_small_caps": f"{_blocking()} {_TOP.format(0.3, 3)}",
     "matches_output": f"{_blocking()}, top AS ({_TOP.format(0.7, 20)}) SELECT s.entity_id AS source1_entity_id, coalesce(g.m, '[]') AS matched_entity_ids FROM s1 s LEFT JOIN (SELECT source1_id, array_to_string(list_sort(list(DISTINCT target_id)), ',') AS m FROM top GROUP BY 1) g ON g.source1_id = s.entity_id",
-    "checkpoint_counts": f"{_blocking()} SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT source1_id) AS BIGINT) AS n_sources FROM {_BATCHED} GROUP BY 1",
-    "missing_batches": f"{_blocking()} SELECT CAST(b AS BIGINT) AS batch_id FROM (SELECT unnest(range(3)) AS b) WHERE b NOT IN (SELECT batch_id FROM {_BATCHED})",
-    "checkpoint_counts_full": f"{_blocking()} SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT source1_id) AS BIGINT) AS n_sources FROM {_BATCHED_FULL} GROUP BY 1",
-    "missing_batches_full": f"{_blocking()} SELECT CAST(b AS BIGINT) AS batch_id FROM (SELECT unnest(range((SELECT CAST(floor(max(CAST(entity_id AS BIGINT)) / 1000) AS BIGINT) + 1 FROM s1))) AS b) WHERE b NOT IN (SELECT batch_id FROM {_BATCHED_FULL})",
+    "checkpoint_counts": _COUNTS,
+    "batch_file_counts": _COUNTS,
+    "missing_batches": f"{_blocking()} SELECT CAST(b AS BIGINT) AS batch_id FROM (SELECT unnest(range((SELECT CAST(floor(max(CAST(entity_id AS BIGINT)) / 1000) AS BIGINT) + 1 FROM s1))) AS b) WHERE b NOT IN (SELECT batch_id FROM {_BATCHED})",
+    "projected_head": "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 100",
+    "landed_json": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
+    "seed_rows": "SELECT r_regionkey, r_name FROM region",
+    "appended_keys": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, r_name AS name FROM region UNION ALL SELECT CAST((SELECT max(r_regionkey) + 1 FROM region) + row_number() OVER (ORDER BY n_name) AS BIGINT), n_name FROM nation",
+    "typed_quotes": "SELECT CAST(event_id AS BIGINT) AS id, event_type AS quote, 'unknown' AS author, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events",
+    "names_taken": "SELECT n_nationkey, array_to_string(list_filter([CASE WHEN n_name IN (SELECT c_mktsegment FROM customer) THEN 'username taken' END, CASE WHEN CAST(n_regionkey AS VARCHAR) IN (SELECT CAST(c_nationkey AS VARCHAR) FROM customer) THEN 'email taken' END], lambda m: m IS NOT NULL), '; ') AS errors FROM nation",
+    "foreign_keys": f"{_FK.format('user_id', 'c_custkey', 'customer')} UNION ALL {_FK.format('event_id', 'o_orderkey', 'orders')}",
     "vote_tally": "SELECT event_type AS item, CAST(count(*) AS BIGINT) AS votes FROM events GROUP BY 1",
     "availability_latest": _LATEST,
     "availability_summary": f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (available) AS BIGINT) AS n_available, CAST(count(*) FILTER (NOT available) AS BIGINT) AS n_away FROM ({_LATEST})",
@@ -333,10 +428,10 @@ ORACLE = {
     "owner_notes": f"SELECT CAST(u AS BIGINT) AS user_id, CAST(count(note_id) AS BIGINT) AS n_notes FROM (SELECT unnest(range(10)) AS u) LEFT JOIN ({_NOTES}) ON user_id = u GROUP BY 1",
     "note_preview": f"SELECT note_id, CASE WHEN length(content) > 145 THEN concat(substr(content, 1, 137), '...') ELSE content END AS preview FROM ({_NOTES})",
     "validate_notes": f"SELECT note_id, version, {_errors(('t = chr(0)', 'x'), ('t = E\'\'', 'title required'), ('t <> E\'\' AND length(t) < 3', 'title too short'), ('length(t) > 100', 'title too long'), ('c = E\'\'', 'content required'), ('c <> E\'\' AND length(c) < 5', 'content too short'))} FROM (SELECT *, trim(coalesce(title, '')) AS t, trim(coalesce(content, '')) AS c FROM ({_NOTE_LOG}))",
-    "validate_profiles": f"SELECT page_id, {_errors(('length(trim(coalesce(html, E\'\'))) = 0', 'bio required'), ('length(trim(coalesce(html, E\'\'))) > 500', 'bio too long'), ('NOT regexp_matches(coalesce(url, E\'\'), E\'^https?://[^\\\\s/]+\')', 'url invalid'))} FROM pages",
+    "validate_profiles": f"SELECT page_id, {_errors((f'{_NAME} = E\'\'', 'name required'), (f'length({_NAME}) > 100', 'name too long'), ('length(trim(coalesce(html, E\'\'))) = 0', 'bio required'), ('length(trim(coalesce(html, E\'\'))) > 500', 'bio too long'), ('NOT regexp_matches(coalesce(url, E\'\'), E\'^https?://[^\\\\s/]+\')', 'url invalid'))} FROM pages",
     "validate_users": f"SELECT c_custkey, {_errors(('length(trim(c_mktsegment)) < 3', 'username too short'), ('NOT contains(c_name, E\'@\')', 'email invalid'), ('length(CAST(CAST(trunc(c_acctbal) AS INTEGER) AS VARCHAR)) < 8', 'password too short'))} FROM customer",
     "constraints": "SELECT 'not null user_id' AS rule, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id IS NULL UNION ALL SELECT 'not null event_type', CAST(count(*) AS BIGINT) FROM events WHERE event_type IS NULL UNION ALL SELECT 'unique event_id', CAST(count(*) AS BIGINT) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unique user_id', CAST(count(*) AS BIGINT) FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 1)",
-    "duplicate_keys": "SELECT lower(trim(substr(text, 1, 20))) AS title, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_keys": "SELECT lower(trim(text)) AS title, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "generated_keys": "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS id, event_id FROM events",
     "quote_history": "SELECT event_id, concat('\"', event_type, '\"') AS quote, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(ts, '%d %b %Y, %I:%M %p') AS shown_at FROM events",
     "initials": "SELECT c_custkey, upper(substr(c_mktsegment, 1, 1) || substr(c_name, 1, 1)) AS initials FROM customer",
@@ -345,18 +440,3 @@ ORACLE = {
     "set_intersection": f"{_blocking()} SELECT source1_id, target_id FROM final INTERSECT SELECT source1_id, target_id FROM truth",
     "lcs_ratio": f"{_blocking()}, u AS (SELECT DISTINCT na, nb FROM pairs) SELECT na AS name_norm_a, nb AS name_norm_b, CAST({_lcs('na', 'nb')} AS BIGINT) AS lcs FROM u",
 }
-#: The same SQL with the production caps.
-ORACLE |= {
-    "cheap_prefilter_full": _prefilter_sql(Config()),
-    "training_sample_full": ORACLE["training_sample"].replace("LIMIT 50)", f"LIMIT {Config.max_positives})"),
-    "validation_sample_full": ORACLE["validation_sample"].replace("LIMIT 40)", f"LIMIT {Config.validation_max_positives})"),
-    "top_predictions_full": f"{_blocking()} {_TOP.format(0.3, Config.max_predictions)}",
-}
-#: The same SQL over whole texts.
-_DOC_FULL = _DOC.replace("substr(text, 1, 60)", "text").replace("substr(text, 61, 200)", "text")
-ORACLE |= {
-    "normalize_docs_full": f"WITH {_entities(_DOC_FULL)} SELECT * FROM entities",
-    "duplicate_keys_full": ORACLE["duplicate_keys"].replace("substr(text, 1, 20)", "text"),
-    "validate_notes_full": ORACLE["validate_notes"].replace("substr(text, 1, 100)", "text"),
-    "notes_live_full": ORACLE["notes_live"].replace("substr(text, 1, 100)", "text"),
-}

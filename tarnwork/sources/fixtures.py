@@ -19,15 +19,17 @@ def entities_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entities_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("doc_id")
-    return read_table(spark, sf_dir, "documents").select(
-        key.cast("string").alias("entity_id"), _side(key).alias("source"), F.substring("text", 1, 60).alias("business_name"),
-        F.substring("text", 61, 200).alias("business_address"), F.col("lang").alias("country"),
+def entities_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entities_part`` with source3 ids that source2 has too, and with repeated source1 rows."""
+    key = F.col("p_partkey")
+    part = read_table(spark, sf_dir, "part").select(
+        F.when(key % 8 == 7, key - 1).otherwise(key).cast("string").alias("entity_id"), _side(key).alias("source"), F.col("p_name").alias("business_name"),
+        F.concat("p_type", F.lit(" street "), F.col("p_size").cast("string")).alias("business_address"), F.col("p_brand").alias("country"), (key % 20 == 0).alias("again"),
     )
+    return part.withColumn("x", F.explode(F.when(F.col("again"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("again", "x")
 
 
-def entities_doc_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entities_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as entities, the whole text both as name and as address."""
     key = F.col("doc_id")
     return read_table(spark, sf_dir, "documents").select(
@@ -63,10 +65,20 @@ def note_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("turn") == 0, "insert").when((F.col("conv_id") + F.col("turn")) % 5 == 0, "delete").otherwise("update")
     return read_table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("note_id"), F.col("turn").alias("version"), (F.col("conv_id") % 10).alias("user_id"), op.alias("op"),
-        F.substring("text", 1, 100).alias("title"), F.col("text").alias("content"),
+        F.col("text").alias("title"), F.col("text").alias("content"),
     )
 
 
-def note_log_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``note_log`` with titles that aren't cut."""
-    return note_log(spark, sf_dir).withColumn("title", F.col("content"))
+def linkage_files(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The TSV files of a linkage run, written from ``part``."""
+    from tarnwork.operators.blocking import PAIR
+    from tarnwork.sources.io import ENTITY_COLUMNS, write_tsv
+
+    entities, out = entities_part(spark, sf_dir), {}
+    for source in ("source1", "source2", "source3"):
+        out[source] = f"{folder}/train_{source}.tsv"
+        write_tsv(entities.filter(F.col("source") == source).select(*ENTITY_COLUMNS), out[source])
+    grouped = truth_part(spark, sf_dir).groupBy(PAIR[0]).agg(F.array_join(F.array_sort(F.collect_set(PAIR[1])), ",").alias("matched_entity_ids"))
+    out["truth"] = f"{folder}/train_ground_truth.tsv"
+    write_tsv(grouped.withColumnRenamed(PAIR[0], "source1_entity_id"), out["truth"])
+    return out

@@ -3,12 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 ENTITY_COLUMNS = ("entity_id", "business_name", "business_address", "country")
 TRUTH_COLUMNS = ("source1_entity_id", "matched_entity_ids")
 
 
+def _typed(**columns) -> StructType:
+    return StructType([StructField(n, t, nullable) for n, (t, nullable) in columns.items()])
+
+
+_ID, _TEXT, _TIME = (LongType(), False), (StringType(), False), (TimestampType(), False)
+#: The typed rows of the application tables.
+SCHEMAS = {
+    "coffee": _typed(id=_ID, name=_TEXT, votes=(LongType(), False)),
+    "user": _typed(id=_ID, name=_TEXT, department=_TEXT, available=(BooleanType(), False)),
+    "quote": _typed(id=_ID, quote=_TEXT, author=_TEXT, created_at=_TEXT),
+    "profile": _typed(id=_ID, name=_TEXT, bio=_TEXT, image_url=_TEXT, created_at=_TIME),
+    "note": _typed(id=_ID, title=_TEXT, content=_TEXT, created_at=_TIME, updated_at=_TIME, user_id=_ID),
+}
+
+
+def conform(df: DataFrame, schema: StructType) -> DataFrame:
+    """``df`` with exactly the schema's columns and types; ValueError for columns that it lacks."""
+    require_columns(df, schema.names)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
@@ -34,6 +55,19 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_head(spark: SparkSession, path: str, columns, n: int, *order) -> DataFrame:
+    """The first ``n`` rows of some columns in the given order; files have none of their own."""
+    return spark.read.parquet(path).select(*columns).orderBy(*(order or columns)).limit(n)
+
+
+def landed_json(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Fields of JSON texts as landed from a service; malformed texts, and those without all fields, give NULLs."""
+    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
+    names = StructType.fromDDL(schema).names
+    whole = F.forall(F.array(*[parsed[n].isNotNull() for n in names]), lambda x: x)
+    return lines.withColumns({n: F.when(whole, parsed[n]) for n in names})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
