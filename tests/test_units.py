@@ -42,6 +42,29 @@ def test_similarity(spark):
     assert S.weighted("abc", "abc") == 1 and S.weighted("", "a") == 0
 
 
+def test_known_similarity_values():
+    """Values as published for the usual library, divided by 100."""
+    close = lambda x, y: abs(x - y) < 1e-9
+    assert close(S.ratio("this is a test", "this is a test!"), 0.9655172413793103)
+    assert close(S.partial("this is a test", "this is a test!"), 1.0)
+    assert close(S.ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear"), 0.9090909090909091)
+    assert close(S.token_sort("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear"), 1.0)
+    assert close(S.token_sort("fuzzy was a bear", "fuzzy fuzzy was a bear"), 0.8421052631578947)
+    assert close(S.token_set("fuzzy was a bear", "fuzzy fuzzy was a bear"), 1.0)
+    assert close(S.weighted("this is a test", "this is a new test!!!"), 0.855)
+    assert close(S.weighted("this is a test", "this is a new test"), 0.95)
+    assert S.weighted("abc", "abc") == 1 and S.weighted("", "a") == S.weighted(None, "a") == 0
+    assert close(S.partial("abcd", "xxab"), max(S.ratio("abcd", w) for w in ("xxab", "xab", "ab", "b", "xxa", "xx", "x")))
+
+
+def test_arrow_forms_agree_with_native_ones(spark):
+    texts = ["", "a", "small ring", "ring small", "small thing", "ring", "a b c", "c b", "thing of beauty", "é à"]
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    rows = df.select(S.indel_ratio(a, b), S.indel_ratio_arrow(a, b), S.token_set_ratio(a, b), S.token_set_ratio_arrow(a, b)).collect()
+    assert all(abs(r[0] - r[1]) < 1e-12 and abs(r[2] - r[3]) < 1e-12 for r in rows)
+
+
 def test_quotas():
     assert Config().quotas == (30, 13, 7)
 
@@ -52,6 +75,49 @@ def _entities(spark, n_targets):
     return df.filter("source = 'source1'"), df.filter("source <> 'source1'")
 
 
+def test_repeated_sources_and_shared_ids(spark):
+    """The quota counts distinct pairs; a pair found by exact name is no rare pair, whatever its source."""
+    a, b = _entities(spark, 40)
+    out = blocking.candidates(a.unionByName(a), b).collect()
+    assert len(out) == 40
+    columns = "entity_id string, source string, name_norm string, address_norm string, country_norm string, name_prefix string, name_first_token string"
+    one = spark.createDataFrame([("s", "source1", "zebra shop", "", "x", "zebr", "zebra")], columns)
+    targets = [("7", "source2", "zebra shop", "", "x", "zebr", "zebra"), ("7", "source3", "zebra store", "", "x", "zebr", "zebra"), ("8", "source3", "zebra store", "", "x", "zebr", "zebra")]
+    got = {(r.target_id, r.target_source, r.block_priority) for r in blocking.candidates(one, spark.createDataFrame(targets, columns)).collect()}
+    assert got == {("7", "source2", 1), ("8", "source3", 2), ("7", "source3", 3)}
+    names = spark.createDataFrame([("s", "source1", f"name{k}", "", "x", "name", f"name{k}") for k in (0, 1)], columns)
+    both = spark.createDataFrame([(f"t{i}", "source2", f"name{k}", "", "x", "name", f"name{k}") for i in range(40) for k in (0, 1)], columns)
+    assert len(blocking.candidates(names, both).collect()) == 40  # 80 rows, 40 pairs: within the cap
+    wide = spark.createDataFrame([(f"t{i}-{k}", "source2", f"name{k}", "", "x", "name", f"name{k}") for i in range(40) for k in (0, 1)], columns)
+    assert len(blocking.candidates(names, wide).collect()) == 30  # 80 pairs: over it
+
+
+def test_seeds_keys_and_stamps(spark):
+    none, seed = spark.createDataFrame([], "id long, name string"), spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    assert statelog.seeded(none, seed).count() == 2 and statelog.seeded(seed, seed.union(seed)).count() == 2
+    assert sorted(map(tuple, statelog.appended(seed, spark.createDataFrame([("z",), ("y",)], "name string"), "id", "name").collect())) == [(1, "a"), (2, "b"), (3, "y"), (4, "z")]
+    rows = statelog.stamped(spark.createDataFrame([(1, None), (2, "2020-01-01 00:00:00")], "id int, t string").withColumn("created_at", F.to_timestamp("t")), "created_at", "updated_at").orderBy("id").collect()
+    assert rows[0].created_at is not None and rows[1].created_at.year == 2020 and rows[1].updated_at.year > 2020
+    later = statelog.touched(spark.createDataFrame([(1,), (2,)], "id int").withColumn("updated_at", F.lit("2020-01-01").cast("timestamp")), F.col("id") == 2).orderBy("id").collect()
+    assert later[0].updated_at.year == 2020 and later[1].updated_at.year > 2020
+
+
+def test_uniqueness_and_foreign_keys(spark):
+    wanted, known = spark.createDataFrame([("ann", "a@x"), ("bob", "b@x")], "username string, email string"), spark.createDataFrame([("bob", "a@x"), ("bob", "z")], "username string, email string")
+    got = {r.username: r.errors for r in checks.taken(wanted, known, "username", "email").collect()}
+    assert got == {"ann": ["email taken"], "bob": ["username taken"]}
+    notes = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id int, user_id int")
+    found = checks.constraint_violations(notes, references={"user_id": spark.createDataFrame([(5,), (5,)], "id int")}).collect()
+    assert [tuple(r) for r in found] == [("foreign key user_id", 1)]
+
+
+def test_landed_json(spark):
+    from tarnwork.sources.io import landed_json
+
+    lines = spark.createDataFrame([('{"q": "x", "a": "y"}',), ('{"q": "x"',), ('{"q": "x"}',), (None,), ("[]",)], "value string")
+    assert [(r.q, r.a) for r in landed_json(lines, "q string, a string").collect()] == [("x", "y")] + [(None, None)] * 4
+
+
 @pytest.mark.parametrize(("n", "kept"), [(50, 50), (51, 30), (19, 19)])
 def test_exact_quota(spark, n, kept):
     out = blocking.candidates(*_entities(spark, n)).collect()
@@ -89,3 +155,24 @@ def test_streaming_matches_batch(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         streaming.run_batches(stream, lambda b: b.groupBy("item").count(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {(r.item, r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 5), ("b", 5)}
+
+
+def test_streaming_folds(spark, tmp_path):
+    """Running tallies, windows and latest states end at what the batch forms give."""
+    from tarnwork import streaming
+
+    rows = [(i, f"2024-01-01 {i % 3:02d}:{i % 60:02d}:00", "ab"[i % 2], i % 5, i % 4 != 0) for i in range(40)]
+    log = spark.createDataFrame(rows, "event_id long, t string, item string, user_id long, available boolean").withColumn("ts", F.to_timestamp("t")).drop("t")
+    for k in range(2):
+        log.filter(F.col("event_id") % 2 == k).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+    def ends(df, mode, name):
+        df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    assert {tuple(r) for r in ends(streaming.vote_tally(stream), "complete", "tallied").collect()} == {tuple(r) for r in statelog.tally(log).collect()}
+    last = {tuple(r) for r in ends(streaming.latest_availability(stream), "complete", "states").collect()}
+    assert last == {tuple(r) for r in statelog.latest(log, "user_id", "available", "ts", "event_id").collect()}
+    windows = {(r.window.start, r.item): r.votes for r in ends(streaming.windowed_votes(stream, "1 hour", "1 day"), "complete", "windows").collect()}
+    assert sum(windows.values()) == 40 and len(windows) == 6
