@@ -41,11 +41,12 @@ from pyspark.sql import DataFrame, functions as F
 from tarnwork.llm.common import LOWER, SLICE, U, chunks, mix, slices, sum_slices, word_hash
 from tarnwork.storage import stored
 
-WORDS, PAIRS, BIGRAMS = 1 << 20, 1 << 17, 1 << 19  # few words meet in a bucket: one that meets a rejected word is rejected with it
+WORDS, PAIRS, BIGRAMS = 1 << 20, 1 << 17, 1 << 18  # few words meet in a bucket: one that meets a rejected word is rejected with it
 LAGS = 4
 SIZE = WORDS + PAIRS + 2 * BIGRAMS
 PRIOR, DEAD, CRITICAL = 1.0, 1.6, 8.0
 MAX_LABELLED = 20_000
+GATHER = 1 << 20
 LOTS = SIZE // SLICE + 1  # the last slice holds the number of documents
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -126,20 +127,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     target = spark.sparkContext.broadcast((good_ids, bad_ids))
 
     def work(batches):
-        counts = np.zeros((3, LOTS * SLICE), np.int64)
+        counts = np.zeros((3, LOTS * SLICE), np.int32)
+        waiting: list[list[np.ndarray]] = [[], [], []]
+
+        def settle(least: int) -> None:
+            for m, parts in enumerate(waiting):
+                if sum(map(len, parts)) > least:
+                    counts[m, :SIZE] += np.bincount(np.concatenate(parts), minlength=SIZE).astype(np.int32)
+                    parts.clear()
+
         for batch in batches:
             id_values = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             sides = [np.isin(id_values, wanted) for wanted in target.value]
             for i, j, data, offsets in chunks(batch.column(1)):
                 *kinds, bounds = features(data, offsets)
                 owner = np.repeat(np.arange(j - i), np.diff(bounds)) * SIZE
-                seen = np.concatenate([np.unique(owner + x) for x in kinds])
-                document, seen = seen // SIZE, seen % SIZE
-                counts[0, :SIZE] += np.bincount(seen, minlength=SIZE)
+                for x in kinds:
+                    seen = np.unique(owner + x)
+                    document, seen = seen // SIZE, (seen % SIZE).astype(np.int32)
+                    waiting[0].append(seen)
+                    for m, side in enumerate(sides, 1):
+                        waiting[m].append(seen[side[i:j][document]])
                 counts[0, SIZE] += j - i
                 for m, side in enumerate(sides, 1):
-                    counts[m, :SIZE] += np.bincount(seen[side[i:j][document]], minlength=SIZE)
                     counts[m, SIZE] += side[i:j].sum()
+                settle(GATHER)
+        settle(0)
         yield slices(counts.ravel())
 
     sums = sum_slices(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "slice int, part int, counts binary"))
