@@ -108,10 +108,12 @@ def decisions(pages: DataFrame, id_col: str = "page_id", body_col: str = "html",
     long = base.filter(F.octet_length("payload") >= min_revisit).select("page_id", F.col("digest").alias("d"))
     # combined before the shuffle, so a page with very many copies costs one row a task
     groups = long.groupBy("d").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "last")
-    older = long.join(stored(groups, "payloads"), "d").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("p"), "d", "last").distinct()
-    joined = base.join(older, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    return joined.select("page_id", "url", "payload", "digest", F.col("last").alias("refers_to"), number.alias("number"))
+    key = F.coalesce("page_id", F.lit(-(2**63)))
+    older = long.join(stored(groups, "payloads"), "d").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select(key.alias("k"), F.col("d").alias("digest"), "last").distinct()
+    joined = base.withColumn("k", key).join(older, ["k", "digest"], "left")
+    number = F.row_number().over(Window.partitionBy("k", "digest").orderBy("url"))  # dealt like the join: the payloads are shuffled once
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), number.alias("number"))
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
