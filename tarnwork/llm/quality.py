@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield slices(counts.ravel())
 
     sums = sum_slices(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "slice int, part int, counts binary"))
+    target.unpersist()
     raw, good, bad = (np.concatenate([sums.get(m * LOTS + s, np.zeros(SLICE, np.int64)) for s in range(LOTS)])[: SIZE + 1].astype(float) for m in range(3))
     return log_ratio(raw, good, bad, n_good / (n_good + n_bad)) if good[SIZE] else None
 
@@ -168,6 +169,7 @@ def _gumbel(ids: np.ndarray, h: np.ndarray, seed: int) -> np.ndarray:
 def weigh(docs: DataFrame, ratio: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, least: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """``columns`` with log_weight and sample_key; with ``least`` only rows whose key reaches it."""
     columns = [c for c in (columns or docs.columns) if c not in ("log_weight", "sample_key")]
+    at = columns.index(text_col) + 1 if text_col in columns else len(columns) + 1  # a text goes to Python once
     table = docs.sparkSession.sparkContext.broadcast(np.zeros(SIZE) if ratio is None else ratio)
 
     def work(batches):
@@ -175,17 +177,19 @@ def weigh(docs: DataFrame, ratio: np.ndarray | None, id_col: str = "doc_id", tex
         for batch in batches:
             ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             weights, keys = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for i, j, data, offsets in chunks(batch.column(1)):
+            for i, j, data, offsets in chunks(batch.column(at)):
                 *kinds, bounds = features(data, offsets)
                 sums = np.concatenate([[0.0], np.cumsum(log_weights(log, *kinds))])
                 weights[i:j] = np.round(sums[bounds[1:]] - sums[bounds[:-1]], 9)
                 text = word_hash(data, offsets[:-1], offsets[1:])
                 keys[i:j] = weights[i:j] + _gumbel(ids[i:j], text, seed)
-            out = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(weights), pa.array(keys)], schema=pa.schema([*list(batch.schema)[2:], ("log_weight", pa.float64()), ("sample_key", pa.float64())]))
+            last = len(columns) + 1
+            out = pa.RecordBatch.from_arrays([*batch.columns[1:last], pa.array(weights), pa.array(keys)], schema=pa.schema([*list(batch.schema)[1:last], ("log_weight", pa.float64()), ("sample_key", pa.float64())]))
             yield out if least is None else out.filter(pa.array(keys >= least))
 
     schema = docs.select(*columns).schema.add("log_weight", "double").add("sample_key", "double")
-    return docs.select(F.col(id_col).cast("long").alias("__i"), F.col(text_col).alias("__t"), *columns).mapInArrow(work, schema)
+    text = [] if text_col in columns else [F.col(text_col).alias("__t")]
+    return docs.select(F.col(id_col).cast("long").alias("__i"), *columns, *text).mapInArrow(work, schema)
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 1024) -> float:
