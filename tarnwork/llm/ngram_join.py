@@ -80,7 +80,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 def short_lists(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
     """(doc_id, n, d1, d2, lists): set size, digest of the set, and the shingles that are not left aside."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(order, 2**31 - 1).astype(np.int32))  # any order will do
 
     def work(batches):
         rank = shared.value
@@ -222,7 +222,7 @@ def families(reps: DataFrame, percent: int) -> DataFrame:
     )))
     often = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "p.k").agg(F.count(F.lit(1)).alias("m")).filter("m >= k").select("a", "b")
     tied = shared.filter(F.col("c") > SHORT).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    joined = components(often.unionByName(tied))
+    joined = components(stored(often.unionByName(tied), "ties"))
     dropped(shared)
     return joined.select(F.col("a").alias("node"), F.col("b").alias("f")).unionByName(joined.select(F.col("b").alias("node"), F.col("b").alias("f")).distinct())
 
@@ -233,8 +233,12 @@ def join_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: st
     sets = stored(short_lists(docs, sketch(docs, n), n, percent), "sets")
     same = sets.filter("n > 0 AND doc_id IS NOT NULL")
     # numbered when written, so a class has the same number wherever it is read
-    reps = stored(same.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rid"), F.first("lists").alias("lists")).withColumn("node", F.monotonically_increasing_id()), "reps")
-    member = stored(families(reps, percent).join(reps.select("node", "n", "rid", "d1"), "node"), "families")
+    whole = stored(same.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rid"), F.first("lists").alias("lists")).withColumn("node", F.monotonically_increasing_id()), "reps")
+    ids, reps = stored(sets.drop("lists"), "ids"), stored(whole.drop("lists"), "classes")
+    dropped(sets)  # the lists are needed once more only, those of the classes
+    found = families(whole, percent)
+    dropped(whole)
+    member = stored(found.join(reps.select("node", "n", "rid", "d1"), "node"), "families")
 
     blocks = member.groupBy("f").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("q"))
     dealt = member.join(blocks, "f").withColumn("h", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
@@ -251,17 +255,18 @@ def join_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: st
         cols = list(zip(*links)) or [(), ()]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
-    whole = _full_sets(docs, member.select("node", "rid", "d1"), n)
-    links = spread.join(whole, "node").select("f", "k1", "k2", "h", "node", "s").groupBy("f", "k1", "k2").applyInArrow(work, "a long, b long")
+    full = _full_sets(docs, member.select("node", "rid", "d1"), n)
+    links = spread.join(full, "node").select("f", "k1", "k2", "h", "node", "s").groupBy("f", "k1", "k2").applyInArrow(work, "a long, b long")
     linked = components(links)
 
     to = reps.select("d1", "d2", F.col("n").alias("rn"), "rid", "node").join(linked, F.col("node") == F.col("a"), "left").withColumn("c", F.coalesce("b", "node"))
     to = stored(to.select("d1", "d2", "rn", "rid", "c"), "roots")
     least = to.groupBy("c").agg(F.min("rid").alias("component_id"))
     # both sides come from written tables, so AQE may split a class of very many copies
-    classes = stored(to.join(least, "c").select("d1", "d2", "rn", "component_id"), "classes")
+    classes = stored(to.join(least, "c").select("d1", "d2", "rn", "component_id"), "components")
+    dropped(reps, member, to)
     known = F.col("n") > 0
-    out = sets.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").filter(~known | F.col("rn").isNull() | (F.col("n") == F.col("rn")))
+    out = ids.join(classes, ["d1", "d2"], "left").filter(~known | F.col("rn").isNull() | (F.col("n") == F.col("rn")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
