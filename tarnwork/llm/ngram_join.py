@@ -282,5 +282,34 @@ def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return kept.withColumns({"__d1": F.xxhash64(text_col), "__d2": F.xxhash64(F.lit(1), text_col)}).dropDuplicates([id_col, "__d1", "__d2"]).drop("__d1", "__d2")
 
 
+# links by counting shared shingles, components by reachability: for small tables
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), sized AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS d, s FROM sets
+), reps AS (
+  SELECT d, min(doc_id) AS rep, any_value(n) AS n, arg_min(s, doc_id) AS s FROM sized WHERE n > 0 GROUP BY d
+), postings AS (
+  SELECT rep, n, unnest(s) AS g FROM reps
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM postings a JOIN postings b ON a.g = b.g AND a.rep < b.rep
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), least_of AS (
+  SELECT a, min(b) AS m FROM reach GROUP BY a
+)
+SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, CASE WHEN z.n = 0 THEN z.doc_id ELSE least(r.rep, coalesce(m.m, r.rep)) END AS component_id
+FROM sized z LEFT JOIN reps r ON z.d = r.d AND z.n > 0 LEFT JOIN least_of m ON m.a = r.rep
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)

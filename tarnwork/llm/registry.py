@@ -19,4 +19,11 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op4_url_filter": url_filter.SQL, "op6_topk": topk.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
+ORACLE = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
+    "op4_url_filter": url_filter.SQL,
+    "op5_ngram_join": ngram_join.SQL,
+    "op6_topk": topk.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+    "op10_warc": warc.SQL,
+}

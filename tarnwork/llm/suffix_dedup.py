@@ -300,5 +300,32 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+# every 100-byte string on its own, as hexadecimal digits: for small tables
+SQL = r"""
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), parts AS (
+  SELECT doc_id, p, substr(x, 2 * p + 1, 2198) AS x FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 99, 0), 1000)) AS p FROM h)
+), starts AS (
+  SELECT doc_id, p + q AS s, md5_number(substr(x, 2 * q + 1, 200)) AS k FROM (SELECT doc_id, p, x, unnest(range(0, least(1000, len(x) // 2 - 99))) AS q FROM parts)
+), later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM starts) WHERE r > 1
+), runs AS (
+  SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run
+  FROM (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS new FROM later)
+), spans AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM runs GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM spans
+  UNION ALL SELECT h.doc_id, coalesce(m.e, 0), len(x) // 2 FROM h LEFT JOIN (SELECT doc_id, max(hi) AS e FROM spans GROUP BY doc_id) m ON h.doc_id = m.doc_id
+), kept AS (
+  SELECT h.doc_id, count(*) - 1 AS n_spans, sum(b - a) AS n_kept, string_agg(substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS x
+  FROM h JOIN pieces p ON h.doc_id = p.doc_id GROUP BY h.doc_id
+)
+SELECT h.doc_id, CAST(len(h.x) // 2 AS BIGINT) AS n_bytes, CAST(len(h.x) // 2 - n_kept AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM h JOIN kept k ON h.doc_id = k.doc_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
