@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnwork.storage import dropped, stored
 
+SALTS = 256
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Points the neighbours of each node (larger ones, or smaller ones and itself) to the smallest."""
+    """Points the neighbours of each node (larger ones, or smaller ones and itself) to the smallest.
+
+    A node's edges are dealt to up to ``SALTS`` tasks by their other end, so a node that a
+    third of all edges have gathers in none: at most ``SALTS`` rows of it meet.
+    """
+    if large:
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
+    salted = near.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = part.select("a", "s", F.min("m").over(Window.partitionBy("a")).alias("m"))
     if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        out = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = least.withColumn("m", F.least("a", "m"))
+        out = salted.filter("b > a").join(least, ["a", "s"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = salted.join(least, ["a", "s"]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
 
