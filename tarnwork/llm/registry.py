@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tarnwork.llm import decontaminate, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup, topk, url_filter, warc
+from tarnwork.llm import decontaminate, divergence, line_dedup, ngram_join, packing, quality, sharding, spelling, suffix_dedup, token_files, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_quality": quality.query,
     "op10_warc": warc.query,
+    "op11_divergence": divergence.query,
+    "op12_token_files": token_files.query,
+    "op13_spelling": spelling.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +29,6 @@ ORACLE = {
     "op6_topk": topk.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_warc": warc.SQL,
+    "op11_divergence": divergence.SQL,
+    "op13_spelling": spelling.SQL,
 }
