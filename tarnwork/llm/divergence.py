@@ -48,10 +48,15 @@ SLICE_BYTES = 8 << 20
 def _connect() -> duckdb.DuckDBPyConnection:
     """A connection that stays in memory and in its task's thread."""
     con = duckdb.connect(config={"threads": 1, "preserve_insertion_order": False, "temp_directory": ""})
-    con.execute("SET enable_progress_bar = false")
+    _do(con, "SET enable_progress_bar = false")
     return con
 
 
+def _do(con: duckdb.DuckDBPyConnection, sql: str) -> list[tuple]:
+    """Runs a statement to its end."""
+    return con.execute(sql).fetchall()
+
+
 def _lowered(texts: pa.Array) -> pa.Array:
     """The texts with A-Z in lower case, NULL as ''."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -86,14 +91,15 @@ def term_sums(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         con = _connect()
-        con.execute(_TABLE)
+        _do(con, _TABLE)
         for whole in batches:
             for part in _slices(whole, 2):
                 batch = pa.table({"lang": part.column(0), "source": part.column(1), "text": _lowered(part.column(2)), "doc": pa.array(np.arange(part.num_rows))})
-                con.execute(COUNT_DOCS)
-                if con.execute("SELECT count(*) FROM sums").fetchone()[0] > FLUSH:
+                con.register("batch", batch)
+                _do(con, COUNT_DOCS)
+                if _do(con, "SELECT count(*) FROM sums")[0][0] > FLUSH:
                     yield from _merged(con)
-                    con.execute(_TABLE)
+                    _do(con, _TABLE)
         yield from _merged(con)
 
     return docs.mapInArrow(work, SUMS)
@@ -115,10 +121,10 @@ SELECT lang, s.source, term, CAST(s.n AS DECIMAL(38,0)) AS n, CAST(k.n AS DECIMA
 
 
 def _fill(con, batches, columns: str) -> None:
-    con.execute(f"CREATE TABLE sums ({columns})")
+    _do(con, f"CREATE TABLE sums ({columns})")
     for rows in batches:
         con.register("batch", pa.Table.from_batches([rows]))
-        con.execute("INSERT INTO sums SELECT * FROM batch")
+        _do(con, "INSERT INTO sums SELECT * FROM batch")
         con.unregister("batch")
 
 
