@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tarnwork.config import Config
 from tarnwork.functions import similarity as S
 from tarnwork.operators.blocking import PAIR
+from tarnwork.operators.select import md5_keys, top_n
 
 # Names and order of the feature columns.
 FEATURES = [
@@ -60,23 +61,21 @@ def hard_score(name: Column, address: Column, country: Column) -> Column:
     return 0.50 * name + 0.30 * address + 0.20 * country
 
 
-def _pair_key() -> list[Column]:
-    return [F.md5(F.concat_ws("|", *PAIR)), *[F.col(c) for c in PAIR]]
+def _pair_keys() -> list[Column]:
+    return md5_keys(F.concat_ws("|", *PAIR))
 
 
 def sample_rows(df: DataFrame, n: int) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer) in a reproducible pseudo-random order."""
-    return df.orderBy(*_pair_key()).limit(n)
+    """Exactly ``n`` rows (all, if fewer) in a reproducible pseudo-random choice. Read several times: a stored table."""
+    return top_n(df, n, *_pair_keys())[0]
 
 
 def training_sample(labelled: DataFrame, config: Config = Config()) -> DataFrame:
-    """Capped positives, the hardest negatives and some random ones. Needs ``label`` and ``hard_score``; read several times: a stored table."""
+    """Capped positives, the hardest negatives and some random ones of the rest. Needs ``label`` and ``hard_score``; read several times: a stored table."""
     positives = sample_rows(labelled.filter("label = 1"), config.max_positives)
     n = positives.count()
-    negatives = labelled.filter("label = 0")
-    hard = negatives.orderBy(F.desc("hard_score"), *_pair_key()).limit(config.hard_per_positive * n)
-    easy = sample_rows(negatives.join(hard.select(*PAIR), PAIR, "left_anti"), config.easy_per_positive * n)
-    return positives.unionByName(hard).unionByName(easy)
+    hard, other = top_n(labelled.filter("label = 0"), config.hard_per_positive * n, -F.col("hard_score"), *_pair_keys())
+    return positives.unionByName(hard).unionByName(sample_rows(other, config.easy_per_positive * n))
 
 
 def validation_sample(labelled: DataFrame, config: Config = Config()) -> DataFrame:
