@@ -14,6 +14,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnwork.config import Config
+from tarnwork.sources.io import attach_bucketed, write_bucketed
 from tarnwork.storage import stored
 
 PAIR = ["source1_id", "target_id", "target_source"]
@@ -87,12 +88,15 @@ def build_indexes(targets: DataFrame, config: Config = Config()) -> Indexes:
     return Indexes(*[stored(getattr(plan, f.name), f"index-{f.name}") for f in fields(plan)])
 
 
-def save_indexes(indexes: Indexes, prefix: str, buckets: int = 8) -> None:
-    """Catalog tables ``<prefix>_<index>``, bucketed by their join keys; older ones of the name are replaced."""
+def save_indexes(indexes: Indexes, prefix: str, buckets: int = 8, folder: str | None = None) -> None:
+    """Catalog tables ``<prefix>_<index>``, bucketed by their join keys, so that joins shuffle the other side only; older ones of the name are replaced."""
     for f in fields(indexes):
-        table: DataFrame = getattr(indexes, f.name)
-        table.sparkSession.sql(f"DROP TABLE IF EXISTS {prefix}_{f.name}")
-        table.write.bucketBy(buckets, "country_norm", _KEYS[f.name]).sortBy("country_norm", _KEYS[f.name]).saveAsTable(f"{prefix}_{f.name}")
+        write_bucketed(getattr(indexes, f.name), f"{prefix}_{f.name}", ("country_norm", _KEYS[f.name]), buckets, folder and f"{folder}/{f.name}")
+
+
+def attach_indexes(spark: SparkSession, prefix: str, buckets: int, folder: str) -> Indexes:
+    """The indexes saved in ``folder``, for a session whose catalog may not know them."""
+    return Indexes(*[attach_bucketed(spark, f"{prefix}_{f.name}", ("country_norm", _KEYS[f.name]), buckets, f"{folder}/{f.name}") for f in fields(Indexes)])
 
 
 def indexes_ready(spark: SparkSession, prefix: str) -> bool:

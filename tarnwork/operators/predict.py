@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tarnwork.config import Config
 from tarnwork.functions.normalize import format_match_list
 from tarnwork.operators.pairs import FEATURES
+from tarnwork.storage import exists, get_text, put_text, remove
+
+SIDECAR = "model.json"
 
 
 def train(rows: DataFrame, config: Config = Config(), columns=FEATURES) -> PipelineModel:
@@ -35,22 +38,21 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
 
 
 def save_model(model: PipelineModel, path: str, threshold: float, report: dict | None = None) -> None:
-    """The model, and beside it threshold, report and version as JSON; the model first, so a sidecar means a whole one."""
+    """The model, and beside it threshold, report and version as JSON; the model first and the sidecar whole, so a sidecar means a whole model."""
     spark = SparkSession.getActiveSession()
+    remove(spark, f"{path}/{SIDECAR}")
     model.write().overwrite().save(f"{path}/model")
-    payload = json.dumps({"threshold": threshold, "report": report or {}, "version": 1})
-    spark.range(1).select(F.lit(payload).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    put_text(spark, f"{path}/{SIDECAR}", json.dumps({"threshold": threshold, "report": report or {}, "version": 1}))
 
 
 def load_model(spark: SparkSession, path: str, default_threshold: float = Config.threshold) -> tuple[PipelineModel, float]:
-    """Model and threshold; a bare model without the sidecar gets the default threshold."""
-    try:
-        threshold = json.loads(spark.read.text(f"{path}/meta").first()[0])["threshold"]
-        return PipelineModel.load(f"{path}/model"), threshold
-    except Exception as e:  # the sidecar is absent: a bare model lies at path itself
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return PipelineModel.load(path), default_threshold
+    """Model and threshold; a bare model without the sidecar gets the default threshold. ValueError if there is no whole model."""
+    sidecar = get_text(spark, f"{path}/{SIDECAR}")
+    if sidecar is not None:
+        return PipelineModel.load(f"{path}/model"), json.loads(sidecar)["threshold"]
+    if not exists(spark, f"{path}/metadata/_SUCCESS"):
+        raise ValueError(f"no finished model at {path}")
+    return PipelineModel.load(path), default_threshold
 
 
 def top_predictions(scored: DataFrame, config: Config = Config(), threshold: float | None = None) -> DataFrame:

@@ -1,95 +1,136 @@
 """The whole linkage run: tables in, normalized, blocked by batches, trained, predicted, matches out.
 
-Everything lies under one work folder, each step in its own table, and a step whose table is
-there is not done again. Batches of source1 entities are separate tables with Spark's success
-marker, so a run that was stopped goes on with the batches that are missing. ``reset`` removes
-the tables and the model, not the entities.
+Everything lies under one work folder, each step in its own table with a manifest of what it
+was made from (:mod:`tarnwork.operators.batches`). A step that is current is not done again; a
+change of an input file or of a parameter makes the steps anew that depend on it. Candidates and
+predictions are batched by source1 entity: a run that was stopped goes on with the batches
+that are missing, all of them in one job. ``reset`` removes the tables and the model, not
+the entities.
+
+Entities and indexes are bucketed by their join keys, with as many buckets as shuffles have
+partitions when they are written, so the joins of blocking and of the features shuffle source1
+keys and candidates, never the entity tables and indexes.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnwork.config import Config
 from tarnwork.operators import blocking as B
 from tarnwork.operators import evaluate as E
 from tarnwork.operators import pairs as P
 from tarnwork.operators import predict as R
+from tarnwork.operators.batches import Batches, batch_of, digest, files_digest, step
 from tarnwork.operators.entities import combine_targets, normalize_entities
-from tarnwork.operators.statelog import missing_batches
-from tarnwork.sources.io import TRUTH_COLUMNS, read_tsv, require_columns, write_json, write_parquet, write_tsv
-from tarnwork.storage import remove, stored
+from tarnwork.sources.io import TRUTH_COLUMNS, attach_bucketed, read_tsv, require_columns, write_bucketed, write_json, write_parquet, write_tsv
+from tarnwork.storage import get_text, put_text, remove, stored
 
 SOURCES = ("source1", "source2", "source3")
+#: The parameters that each step reads; ``batch_rows`` is none of them, since it changes no row.
+NORMALIZING = ("min_name_length", "name_prefix_length")
+BLOCKING = ("max_candidates", "fallback_below", "max_token_df", "min_token_length", "rare_rank_limit")
+TRAINING = (
+    "max_positives", "hard_per_positive", "easy_per_positive", "validation_percent", "validation_max_positives", "validation_negatives_per_positive", "trees", "learning_rate",
+    "tree_depth", "min_leaf", "seed", "thresholds", "min_precision",
+)
+PREDICTING = ("prefilter_name", "prefilter_address", "prefilter_top_k", "max_predictions")
+# The names under which labels are found, in this order.
+LABELS = ("label", "is_match", "target", "match")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+# ---------------------------------------------------------------------------- tables
 
 
-def done(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to its end."""
-    return exists(spark, f"{path}/_SUCCESS")
+def fingerprints(spark: SparkSession, inputs: dict[str, str], config: Config) -> dict[str, str]:
+    """What each step up to the candidates and the model would be made from."""
+    values = asdict(config)
+    of = lambda names: {n: values[n] for n in names}
+    out = {s: digest(s, files_digest(spark, inputs[s]), of(NORMALIZING)) for s in SOURCES}
+    out["truth"] = digest("truth", files_digest(spark, inputs["truth"]))
+    out["targets"] = digest("targets", out["source2"], out["source3"])
+    out["indexes"] = digest("indexes", out["targets"], of(BLOCKING))
+    out["candidates"] = digest("candidates", out["source1"], out["indexes"], of(BLOCKING))
+    out["model"] = digest("model", out["candidates"], out["truth"], of(TRAINING))
+    out["predicting"] = digest("predicting", out["candidates"], of(PREDICTING))
+    return out
 
 
-# ---------------------------------------------------------------------------- tables
+def _name(work: str, table: str) -> str:
+    """The catalog name of a table under ``work``."""
+    return f"linkage_{digest(work)[:16]}_{table}"
+
+
+def _buckets(spark: SparkSession, path: str, table: str) -> int:
+    """How many buckets a table has, or would get."""
+    held = get_text(spark, f"{path}/_buckets_{table}")
+    return int(held) if held else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bucketed(spark: SparkSession, work: str, table: str, keys: tuple[str, ...], fingerprint: str, make) -> DataFrame:
+    """A bucketed step under ``work/entities``."""
+    folder = f"{work}/entities"
+
+    def write(path: str) -> None:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_bucketed(make(), _name(work, table), keys, n, path)
+        put_text(spark, f"{folder}/_buckets_{table}", str(n))
 
+    step(spark, f"{folder}/{table}", fingerprint, write)
+    return attach_bucketed(spark, _name(work, table), keys, _buckets(spark, folder, table), f"{folder}/{table}")
 
-def prepare(spark: SparkSession, inputs: dict[str, str], work: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source1, targets, truth) as Parquet tables; ``inputs`` names the TSV of each source and of the truth."""
-    for source in SOURCES:
-        if not done(spark, f"{work}/entities/{source}"):
-            write_parquet(normalize_entities(read_tsv(spark, inputs[source]), source), f"{work}/entities/{source}")
-    if not done(spark, f"{work}/entities/targets"):
-        write_parquet(combine_targets(*[spark.read.parquet(f"{work}/entities/{s}") for s in SOURCES[1:]]), f"{work}/entities/targets")
-    if not done(spark, f"{work}/entities/truth"):
-        raw = require_columns(read_tsv(spark, inputs["truth"], TRUTH_COLUMNS), TRUTH_COLUMNS)
-        write_parquet(E.parse_truth(raw).distinct(), f"{work}/entities/truth")
-    return tuple(spark.read.parquet(f"{work}/entities/{t}") for t in ("source1", "targets", "truth"))
 
+def prepare(spark: SparkSession, inputs: dict[str, str], work: str, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(source1, targets, truth) as tables; ``inputs`` names the TSV of each source and of the truth."""
+    prints = fingerprints(spark, inputs, config)
+    entities = lambda source: normalize_entities(read_tsv(spark, inputs[source]), source, config)
+    source1 = _bucketed(spark, work, "source1", ("entity_id",), prints["source1"], lambda: entities("source1"))
+    for source in SOURCES[1:]:
+        step(spark, f"{work}/entities/{source}", prints[source], lambda path, source=source: write_parquet(entities(source), path))
+    whole = lambda: combine_targets(*[spark.read.parquet(f"{work}/entities/{s}") for s in SOURCES[1:]])
+    targets = _bucketed(spark, work, "targets", ("entity_id", "source"), prints["targets"], whole)
+    truth = lambda: E.parse_truth(require_columns(read_tsv(spark, inputs["truth"], TRUTH_COLUMNS), TRUTH_COLUMNS)).distinct()
+    step(spark, f"{work}/entities/truth", prints["truth"], lambda path: write_parquet(truth(), path))
+    return source1, targets, spark.read.parquet(f"{work}/entities/truth")
 
-def indexes(spark: SparkSession, targets: DataFrame, work: str, config: Config) -> B.Indexes:
+
+def indexes(spark: SparkSession, targets: DataFrame, work: str, config: Config, fingerprint: str) -> B.Indexes:
     """The blocking indexes, written once under the work folder."""
-    plan = B.plan_indexes(targets, config)
-    for name, table in vars(plan).items():
-        if not done(spark, f"{work}/indexes/{name}"):
-            write_parquet(table, f"{work}/indexes/{name}")
-    return B.Indexes(*[spark.read.parquet(f"{work}/indexes/{name}") for name in vars(plan)])
+    folder, prefix = f"{work}/indexes", _name(work, "index")
 
+    def write(path: str) -> None:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        B.save_indexes(B.plan_indexes(targets, config), prefix, n, path)
+        put_text(spark, f"{path}/_buckets_index", str(n))
 
-# --------------------------------------------------------------------------- batches
+    step(spark, folder, fingerprint, write)
+    if B.indexes_ready(spark, prefix):
+        return B.load_indexes(spark, prefix)
+    return B.attach_indexes(spark, prefix, _buckets(spark, folder, "index"), folder)
 
 
-def batch_of(entity_id: Column, n: int) -> Column:
-    """The batch of a source1 entity: all its rows lie in one, batches are about equal."""
-    return F.pmod(F.xxhash64(entity_id), F.lit(n)).cast("int")
+# --------------------------------------------------------------------------- batches
 
 
 def n_batches(source1: DataFrame, config: Config) -> int:
     return max(1, math.ceil(source1.count() / config.batch_rows))
 
 
-def run_batches(spark: SparkSession, folder: str, n: int, work_on) -> list[int]:
-    """Writes ``work_on(batch)`` for every batch that is missing, empty ones too; returns those written now."""
-    written = []
-    for k in range(n):
-        if not done(spark, f"{folder}/batch_id={k}"):
-            write_parquet(work_on(k), f"{folder}/batch_id={k}")
-            written.append(k)
-    return written
+def candidate_batches(spark: SparkSession, source1: DataFrame, work: str, config: Config, fingerprint: str) -> Batches:
+    return Batches(spark, f"{work}/candidates", fingerprint, "source1_id", lambda: n_batches(source1, config))
 
 
-def read_batches(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    """All batches with their ``batch_id``. ValueError with the missing ones if the range is not complete."""
-    present = spark.createDataFrame([(k,) for k in range(n) if done(spark, f"{folder}/batch_id={k}")], "batch_id bigint")
-    gone = sorted(r[0] for r in missing_batches(present, n).collect())
-    if gone:
-        raise ValueError(f"missing batches: {', '.join(map(str, gone))}")
-    return spark.read.parquet(folder)
+def block(spark: SparkSession, source1: DataFrame, targets: DataFrame, work: str, config: Config, prints: dict[str, str], jobs: int = 1) -> Batches:
+    """All candidates; the batches that are missing are written by ``jobs`` jobs at most."""
+    batches = candidate_batches(spark, source1, work, config, prints["candidates"])
+    if batches.missing():
+        index = indexes(spark, targets, work, config, prints["indexes"])
+        batches.write(lambda part: B.candidates(batches.only(source1, part, batch_of(F.col("entity_id"), batches.n)), None, config, index), jobs)
+    return batches
 
 
 # ---------------------------------------------------------------------------- models
@@ -97,7 +138,7 @@ def read_batches(spark: SparkSession, folder: str, n: int) -> DataFrame:
 
 def label_column(df: DataFrame) -> str:
     """The name under which labels are found."""
-    found = [c for c in ("label", "is_match", "target", "y") if c in df.columns]
+    found = [c for c in LABELS if c in df.columns]
     if not found:
         raise ValueError("no label column")
     return found[0]
@@ -146,32 +187,33 @@ def reset(spark: SparkSession, work: str) -> None:
         remove(spark, f"{work}/{name}")
 
 
-def block(spark: SparkSession, source1: DataFrame, targets: DataFrame, work: str, config: Config) -> DataFrame:
-    """All candidates, by resumable batches."""
-    n, index = n_batches(source1, config), indexes(spark, targets, work, config)
-    mine = lambda k: source1.filter(batch_of(F.col("entity_id"), n) == k)
-    run_batches(spark, f"{work}/candidates", n, lambda k: B.candidates(mine(k), None, config, index))
-    return read_batches(spark, f"{work}/candidates", n)
+def run(spark: SparkSession, inputs: dict[str, str], work: str, config: Config = Config(), fresh: bool = False, jobs: int = 1) -> DataFrame:
+    """The matches of every source1 row; also ``matches`` (TSV), ``model`` and ``report`` (JSON) under ``work``.
 
-
-def run(spark: SparkSession, inputs: dict[str, str], work: str, config: Config = Config(), fresh: bool = False) -> DataFrame:
-    """The matches of every source1 row; also ``matches`` (TSV), ``model`` and ``report`` (JSON) under ``work``."""
+    Missing batches are written by ``jobs`` jobs at most, of candidates and of predictions each.
+    """
     if fresh:
         reset(spark, work)
-    source1, targets, truth = prepare(spark, inputs, work)
-    found = block(spark, source1, targets, work, config)
-    if exists(spark, f"{work}/model/meta"):
-        model, threshold = R.load_model(spark, f"{work}/model", config.threshold)
-    else:
-        model, threshold, report = train_with_validation(P.enrich(P.label_pairs(found, truth), source1, targets), config)
-        report["blocking_recall"] = E.blocking_recall(found, truth.join(source1.select(F.col("entity_id").alias("source1_id")), "source1_id", "left_semi")).first().recall
-        R.save_model(model, f"{work}/model", threshold, report)
+    prints = fingerprints(spark, inputs, config)
+    source1, targets, truth = prepare(spark, inputs, work, config)
+    batches = block(spark, source1, targets, work, config, prints, jobs)
+    found = batches.read()
+
+    def learn(path: str) -> None:
+        pairs = found.drop("batch_id")
+        model, threshold, report = train_with_validation(P.enrich(P.label_pairs(pairs, truth), source1, targets), config)
+        report["blocking_recall"] = E.blocking_recall(pairs, truth.join(source1.select(F.col("entity_id").alias("source1_id")), "source1_id", "left_semi")).first().recall
+        R.save_model(model, path, threshold, report)
         write_json(spark.createDataFrame([(json.dumps(report),)], "report string"), f"{work}/report")
-    n = n_batches(source1, config)
-    run_batches(spark, f"{work}/predictions", n, lambda k: predict(found.filter(F.col("batch_id") == k).drop("batch_id"), source1, targets, model, threshold, config))
-    out = R.match_output(source1, read_batches(spark, f"{work}/predictions", n).drop("batch_id"))
+
+    step(spark, f"{work}/model", prints["model"], learn)
+    model, threshold = R.load_model(spark, f"{work}/model", config.threshold)
+    mark = digest(prints["predicting"], prints["model"], get_text(spark, f"{work}/model/{R.SIDECAR}"))
+    predictions = Batches(spark, f"{work}/predictions", mark, "source1_id", lambda: batches.n)
+    predictions.write(lambda part: predict(predictions.only(found, part, F.col("batch_id")).drop("batch_id"), source1, targets, model, threshold, config), jobs)
+    out = R.match_output(source1, predictions.read().drop("batch_id"))
     write_tsv(out, f"{work}/matches")
-    return read_tsv(spark, f"{work}/matches", TRUTH_COLUMNS)
+    return read_tsv(spark, f"{work}/matches", TRUTH_COLUMNS, multi_line=False)
 
 
 def quick_eval(spark: SparkSession, inputs: dict[str, str], work: str, limit: int | None = 100_000, config: Config = Config(), prefilter: bool = False) -> dict:
@@ -180,8 +222,9 @@ def quick_eval(spark: SparkSession, inputs: dict[str, str], work: str, limit: in
     ``limit`` source1 entities (in the order of their ids' digest); all batches must be there.
     Recall is end to end: true pairs that blocking missed count, of the evaluated entities only.
     """
-    source1, targets, truth = prepare(spark, inputs, work)
-    found = read_batches(spark, f"{work}/candidates", n_batches(source1, config)).drop("batch_id")
+    source1, targets, truth = prepare(spark, inputs, work, config)
+    prints = fingerprints(spark, inputs, config)
+    found = candidate_batches(spark, source1, work, config, prints["candidates"]).read().drop("batch_id")
     ids = source1.select(F.col("entity_id").alias("source1_id")).distinct()
     if limit is not None:
         ids = ids.orderBy(F.md5("source1_id"), "source1_id").limit(limit)

@@ -134,7 +134,7 @@ def quick_eval(spark, d) -> DataFrame:
     """The chosen threshold of the held-out evaluation and what it reaches."""
     inputs, work = X.linkage_files(spark, d, new_path(spark, "tsv")), new_path(spark, "linkage")
     source1, targets, _ = linkage.prepare(spark, inputs, work)
-    linkage.block(spark, source1, targets, work, Config())
+    linkage.block(spark, source1, targets, work, Config(), linkage.fingerprints(spark, inputs, Config()))
     report = linkage.quick_eval(spark, inputs, work)
     flat = {k: v for k, v in report.items() if k not in ("selected", "sweep")} | report["selected"]
     return spark.createDataFrame([tuple(flat.values())], list(flat))

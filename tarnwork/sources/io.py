@@ -41,9 +41,20 @@ def require_columns(df: DataFrame, names) -> DataFrame:
     return df
 
 
-def read_tsv(spark: SparkSession, path: str, columns=ENTITY_COLUMNS) -> DataFrame:
-    """Tab-separated with a header, quoted fields may hold newlines, '' is never NULL."""
-    return spark.read.csv(path, sep="\t", header=True, schema=strings(*columns), escape='"', multiLine=True, enforceSchema=False).na.fill("")
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a newline: some line has an odd number of quotes."""
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    return bool(spark.read.text(path).filter(odd).limit(1).count())
+
+
+def read_tsv(spark: SparkSession, path: str, columns=ENTITY_COLUMNS, multi_line: bool | None = None) -> DataFrame:
+    """Tab-separated with a header, quoted fields may hold newlines, '' is never NULL.
+
+    A file whose fields may hold newlines can't be split, so it is one task. ``multi_line`` says
+    whether there are such fields; None looks through the lines first, which is split.
+    """
+    many = spans_lines(spark, path) if multi_line is None else multi_line
+    return spark.read.csv(path, sep="\t", header=True, schema=strings(*columns), escape='"', multiLine=many, enforceSchema=False).na.fill("")
 
 
 def write_tsv(df: DataFrame, path: str, single_file: bool = False) -> None:
@@ -86,3 +97,19 @@ def file_counts(spark: SparkSession, path: str, key: str) -> DataFrame:
     return df.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_distinct")
     )
+
+
+def write_bucketed(df: DataFrame, name: str, keys, buckets: int, path: str | None = None) -> None:
+    """Catalog table ``name``, bucketed and sorted by ``keys`` with one file a bucket; an older one of the name is replaced."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def attach_bucketed(spark: SparkSession, name: str, keys, buckets: int, path: str) -> DataFrame:
+    """The table that :func:`write_bucketed` left at ``path``, for a session whose catalog does not know it."""
+    if not spark.catalog.tableExists(name):
+        schema = spark.read.parquet(path).schema.toDDL()
+        columns = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({columns}) SORTED BY ({columns}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)

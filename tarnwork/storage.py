@@ -64,7 +64,55 @@ def dropped(*tables: DataFrame) -> None:
                 remove(spark, folder)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole: it gets its name only when it is complete."""
+    fs, p = _hadoop(spark, path)
+    _, draft = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(draft, p):
+        raise OSError(f"cannot write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, None if it is not there."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time) of the files at a path or directly in it; names that begin with . or _ are left out."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p) if f.isFile()]
+    return sorted(f for f in found if f[0][0] not in "._")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly in a path."""
+    fs, p = _hadoop(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
