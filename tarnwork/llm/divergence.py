@@ -208,9 +208,9 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
         parts = parts.unionByName(t)
     pair_rows = parts.groupBy("lang", "source", "item").agg(F.sum("v").cast("long").alias("value")).withColumn("part", F.lit("pair"))
     term_rows = partial.filter("part = 'term'").select("lang", "source", "item", F.col("value").cast("long").alias("value"), "part")
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    ranked = pair_rows.unionByName(term_rows).withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= top))
-    return ranked.select("lang", "source", "part", "item", "value", "rank")
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    best = term_rows.withColumn("rank", rank).filter(F.col("rank") <= top)  # apart from the pairs, so that tasks cut their part before the shuffle
+    return pair_rows.withColumn("rank", rank).unionByName(best).select("lang", "source", "part", "item", "value", "rank")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
