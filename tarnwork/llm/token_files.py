@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tarnwork.llm.packing import encode
+from tarnwork.llm.tokens import encoder
 from tarnwork.storage import new_path, stored
 
 END = 2
@@ -154,33 +154,32 @@ class Writer:
     def __init__(self, fs, name: str, id_type: pa.DataType):
         self.name, self.id_type, self.out = name, id_type, fs.open_output_stream(name, compression=None)
         self.out.write(MAGIC)
-        self.buffer: list[bytes] = []
+        self.buffer: list[np.ndarray] = []
         self.waiting = self.n_ids = 0
         self.keys: list[pa.Array] = []
         self.starts: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.escapes: list[np.ndarray] = []
 
-    def add(self, keys: pa.Array, texts: list[bytes]) -> None:
-        """Documents with their ids as little-endian unsigned 32-bit integers."""
-        n = np.array([len(t) // 4 for t in texts], np.int64)
+    def add(self, keys: pa.Array, ids: np.ndarray, begins: np.ndarray) -> None:
+        """Documents with their ids, and where each one's begin among them."""
         self.keys.append(keys)
-        self.starts.append(self.n_ids + np.cumsum(n) - n)
-        self.buffer += texts
-        self.n_ids += int(n.sum())
-        self.waiting += int(n.sum())
+        self.starts.append(self.n_ids + begins[:-1])
+        self.buffer.append(ids)
+        self.n_ids += len(ids)
+        self.waiting += len(ids)
         if self.waiting >= CHUNK_IDS:
             self._code(False)
 
     def _code(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.buffer), "<u4")
+        ids = np.concatenate([np.zeros(0, np.uint32), *self.buffer])
         whole = len(ids) if last else len(ids) // BLOCK * BLOCK
         for at in range(0, whole, CHUNK_IDS):
             words, per, escapes = encode_blocks(ids[at : min(at + CHUNK_IDS, whole)])
             self.out.write(words.astype("<u8").tobytes())
             self.sizes.append(per)
             self.escapes.append(escapes)
-        self.buffer, self.waiting = [ids[whole:].tobytes()], len(ids) - whole
+        self.buffer, self.waiting = [ids[whole:]], len(ids) - whole
 
     def close(self) -> tuple[int, int]:
         """(ids, documents)"""
@@ -249,13 +248,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
     def work(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        part, seq, out, tail = TaskContext.get().partitionId(), 0, None, np.array([end], "<u4").tobytes()
+        part, seq, out, encode = TaskContext.get().partitionId(), 0, None, encoder(tokenizer_path)
         for batch in batches:
-            texts = batch.column(1)
             for at in range(0, batch.num_rows, 256):
-                part_ids = [x + tail for x in encode([t or "" for t in texts.slice(at, 256).to_pylist()], tokenizer_path)]
-                out = out or Writer(fs, f"{root}/{uuid.uuid4().hex}.s8b", batch.column(0).type)
-                out.add(batch.column(0).slice(at, 256), part_ids)
+                keys, texts = (c.slice(at, 256) for c in batch.columns)
+                out = out or Writer(fs, f"{root}/{uuid.uuid4().hex}.s8b", keys.type)
+                out.add(keys, *encode(texts, end))
                 if out.n_ids >= ids_per_file:
                     yield _entry(part, seq, out)
                     seq, out = seq + 1, None
