@@ -10,10 +10,11 @@ class Config:
     """Parameters of blocking, training and prediction.
 
     The defaults are the production values; tests shrink them with :meth:`but`
-    so that every cap binds on small inputs.
+    so that every cap binds on small inputs. ``learner`` is "depth" (MLlib's boosted
+    trees of ``tree_depth``) or "leaves" (trees of ``leaves`` leaves with ``l2``, grown leaf by leaf).
     """
 
-    # Defaults that results have to agree on (all but batch_rows and tree_depth).
+    # Defaults that results have to agree on (all but batch_rows, tree_depth, learner and min_hessian).
     batch_rows: int = 10_000
     max_candidates: int = 50
     fallback_below: int = 20
@@ -38,6 +39,10 @@ class Config:
     learning_rate: float = 0.08
     tree_depth: int = 5
     min_leaf: int = 30
+    learner: str = "depth"
+    leaves: int = 31
+    l2: float = 1.0
+    min_hessian: float = 1e-3
     seed: int = 42
     thresholds: tuple[float, ...] = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.92, 0.94, 0.96)
 

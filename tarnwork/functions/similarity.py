@@ -2,15 +2,20 @@
 
 ``indel_ratio`` and ``token_set_ratio`` are native expressions (an LCS row is
 carried through nested ``aggregate`` calls): for short texts, and to be compared with
-SQL. ``indel_ratio_arrow``, ``token_set_ratio_arrow`` and ``weighted_ratio`` are the
-Arrow UDFs for volume, on a bit-parallel LCS; they give the same values.
+SQL. ``indel_ratio_arrow``, ``token_set_ratio_arrow``, ``weighted_ratio`` and
+``all_ratios`` are the Arrow UDFs for volume, which work on all pairs of a batch at once
+(:mod:`tarnwork.functions.batch_similarity`). ``ratio``, ``token_set`` and ``weighted``
+are the same values for a single pair.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tarnwork.functions import batch_similarity as batch
 
 
 def _chars(text: Column) -> Column:
@@ -126,16 +131,26 @@ def weighted(a: str | None, b: str | None) -> float:
     return max(ratio(a, b), scale * partial(a, b), 0.95 * scale * partial_token(a, b))
 
 
+def _arrow(x: pd.Series) -> pa.Array:
+    return pa.array(x, pa.string(), from_pandas=True)
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(batch.ratios(_arrow(a), _arrow(b)))
 
 
 @F.pandas_udf(DoubleType())
-def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted(x, y) for x, y in zip(a, b)], dtype="float64")
+def token_set_ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(batch.token_set_ratios(_arrow(a), _arrow(b)))
 
 
 @F.pandas_udf(DoubleType())
-def token_set_ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x, y) for x, y in zip(a, b)], dtype="float64")
+def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(batch.weighted_ratios(_arrow(a), _arrow(b)))
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("ratio", "token_ratio", "wratio")]))
+def all_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The three ratios in one pass over the texts."""
+    return pd.DataFrame(dict(zip(("ratio", "token_ratio", "wratio"), batch.all_ratios(_arrow(a), _arrow(b)))))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tarnwork.storage import stored
+
 
 def _messages(*rules: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]), lambda m: m.isNotNull())
@@ -35,8 +39,15 @@ def profile_errors(name: Column, bio: Column, image_url: Column) -> Column:
     )
 
 
-def taken(requested: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
-    """``requested`` with ``errors`` for each column whose value another row, known or requested before, has already."""
+def taken(requested: DataFrame, known: DataFrame, *columns: str, order: str | None = None) -> DataFrame:
+    """``requested`` with ``errors`` for each column whose value a known row has already.
+
+    With ``order`` (a column of distinct, non-NULL numbers) the requests are served in that order: a value
+    is also taken if an earlier request that was granted has it. A request that was refused takes
+    nothing. NULL is never taken.
+    """
+    if order is not None:
+        return _served(requested, known, columns, order)
     out, errors = requested, []
     for c in columns:
         used = known.select(F.col(c).alias(f"__{c}")).distinct()
@@ -45,6 +56,32 @@ def taken(requested: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
     return out.withColumn("errors", F.filter(F.array(*errors), lambda m: m.isNotNull())).drop(*[f"__{c}" for c in columns])
 
 
+def _served(requested: DataFrame, known: DataFrame, columns: tuple[str, ...], order: str) -> DataFrame:
+    """Rounds over (request, value) rows: granted is who comes first for all its values, refused who follows a granted one.
+
+    A round settles every request that waits for no other, so there are as many rounds as the
+    longest chain of requests of which each waits for the one before.
+    """
+    pairs = [requested.select(F.col(order).alias("at"), F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
+    held = [known.select(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    claims = stored(union(pairs).filter("v IS NOT NULL"), "claims")
+    used = stored(union(held).filter("v IS NOT NULL").distinct().withColumn("by", F.lit(None).cast("bigint")), "used")
+    refused = claims.join(used, ["c", "v"], "left_semi").select("at").distinct()
+    waiting = stored(claims.join(refused, "at", "left_anti"), "waiting")
+    while waiting.limit(1).count():
+        first = waiting.groupBy("c", "v").agg(F.min("at").alias("by"))
+        ready = waiting.join(first, ["c", "v"]).groupBy("at").agg(F.bool_and(F.col("at") == F.col("by")).alias("ok")).filter("ok").select("at")
+        granted = waiting.join(ready, "at", "left_semi").select("c", "v", F.col("at").cast("bigint").alias("by"))
+        used = stored(used.unionByName(granted), "used")
+        now = stored(waiting.join(used, ["c", "v"], "left_semi").select("at").distinct(), "settled")  # granted ones hold their own values
+        waiting = stored(waiting.join(now, "at", "left_anti"), "waiting")
+    lost = claims.join(used, ["c", "v"]).filter("by IS NULL OR by < at").groupBy("at").agg(F.collect_set("c").alias("lost"))
+    joined = requested.join(lost.withColumnRenamed("at", "__at"), F.col(order) == F.col("__at"), "left")
+    errors = F.array(*[F.when(F.array_contains("lost", c), F.lit(f"{c} taken")) for c in columns])
+    return joined.withColumn("errors", F.filter(errors, lambda m: m.isNotNull())).drop("__at", "lost")
+
+
 def constraint_violations(df: DataFrame, not_null=(), unique=(), references: dict[str, DataFrame] | None = None) -> DataFrame:
     """(rule, n): rows that break NOT NULL, keys that break UNIQUE, rows that refer to nothing (column -> table of one key column)."""
     found = [df.filter(F.col(c).isNull()).agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(f"not null {c}").alias("rule"), "n") for c in not_null]

@@ -36,13 +36,16 @@ def _flag(condition: Column) -> Column:
 
 def features(pairs: DataFrame, arrow: bool = False, weighted: bool = True) -> DataFrame:
     """Feature columns beside the pair's own; ``arrow`` computes the ratios in Arrow UDFs."""
-    ratio, token_set = (S.indel_ratio_arrow, S.token_set_ratio_arrow) if arrow else (S.indel_ratio, S.token_set_ratio)
     ca, cb = F.col("country_norm_a"), F.col("country_norm_b")
     both = (ca != "") & (cb != "")
     out = {"country_exact": _flag(both & (ca == cb)), "country_missing": _flag(~both), "country_mismatch": _flag(both & (ca != cb))}
     for field in ("name", "address"):
         a, b = F.col(f"{field}_norm_a"), F.col(f"{field}_norm_b")
-        out |= {f"{field}_ratio": ratio(a, b), f"{field}_token_ratio": token_set(a, b)} | ({f"{field}_wratio": S.weighted_ratio(a, b)} if weighted else {})
+        if arrow:
+            found = S.all_ratios(a, b)  # one expression, which Spark evaluates once for its three fields
+            out |= {f"{field}_{x}": found[x] for x in ("ratio", "token_ratio", "wratio") if weighted or x != "wratio"}
+        else:
+            out |= {f"{field}_ratio": S.indel_ratio(a, b), f"{field}_token_ratio": S.token_set_ratio(a, b)} | ({f"{field}_wratio": S.weighted_ratio(a, b)} if weighted else {})
         out |= {f"{field}_exact": _flag((a != "") & (a == b)), f"{field}_len_a": F.length(a), f"{field}_len_b": F.length(b)}
         out[f"{field}_length_diff"] = F.abs(F.length(a) - F.length(b))
     return pairs.withColumns({k: out[k] for k in FEATURES if k in out})

@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnwork.config import Config
 from tarnwork.functions.normalize import format_match_list
+from tarnwork.operators import boosting
 from tarnwork.operators.pairs import FEATURES
 from tarnwork.storage import exists, get_text, put_text, remove
 
 SIDECAR = "model.json"
 
 
-def train(rows: DataFrame, config: Config = Config(), columns=FEATURES) -> PipelineModel:
-    """Boosted trees on balanced class weights. ValueError if only one class is present."""
+def train(rows: DataFrame, config: Config = Config(), columns=FEATURES) -> PipelineModel | boosting.Model:
+    """Boosted trees on balanced class weights, by the learner of the config. ValueError if only one class is present."""
+    if config.learner == "leaves":
+        return boosting.train(rows, config, columns)
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(sizes) < 2:
         raise ValueError("training needs both classes")
@@ -32,24 +35,31 @@ def train(rows: DataFrame, config: Config = Config(), columns=FEATURES) -> Pipel
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), trees]).fit(rows.withColumn("weight", weight))
 
 
-def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+def score(model: PipelineModel | boosting.Model, pairs: DataFrame) -> DataFrame:
+    if isinstance(model, boosting.Model):
+        return model.score(pairs)
     scored = model.transform(pairs.withColumn("weight", F.lit(1.0)))
     return scored.withColumn("probability", vector_to_array("probability")[1]).drop("features", "weight", "rawPrediction", "prediction")
 
 
-def save_model(model: PipelineModel, path: str, threshold: float, report: dict | None = None) -> None:
+def save_model(model: PipelineModel | boosting.Model, path: str, threshold: float, report: dict | None = None) -> None:
     """The model, and beside it threshold, report and version as JSON; the model first and the sidecar whole, so a sidecar means a whole model."""
     spark = SparkSession.getActiveSession()
     remove(spark, f"{path}/{SIDECAR}")
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, boosting.Model):
+        put_text(spark, f"{path}/leaves.json", model.to_json())
+    else:
+        remove(spark, f"{path}/leaves.json")
+        model.write().overwrite().save(f"{path}/model")
     put_text(spark, f"{path}/{SIDECAR}", json.dumps({"threshold": threshold, "report": report or {}, "version": 1}))
 
 
-def load_model(spark: SparkSession, path: str, default_threshold: float = Config.threshold) -> tuple[PipelineModel, float]:
+def load_model(spark: SparkSession, path: str, default_threshold: float = Config.threshold) -> tuple[PipelineModel | boosting.Model, float]:
     """Model and threshold; a bare model without the sidecar gets the default threshold. ValueError if there is no whole model."""
     sidecar = get_text(spark, f"{path}/{SIDECAR}")
     if sidecar is not None:
-        return PipelineModel.load(f"{path}/model"), json.loads(sidecar)["threshold"]
+        leaves = get_text(spark, f"{path}/leaves.json")
+        return PipelineModel.load(f"{path}/model") if leaves is None else boosting.Model.from_json(leaves), json.loads(sidecar)["threshold"]
     if not exists(spark, f"{path}/metadata/_SUCCESS"):
         raise ValueError(f"no finished model at {path}")
     return PipelineModel.load(path), default_threshold

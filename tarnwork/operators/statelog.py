@@ -26,15 +26,14 @@ def seeded(table: DataFrame, seed: DataFrame) -> DataFrame:
 
 
 def stamped(rows: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` with the current UTC time where these columns are NULL or absent."""
-    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    """``rows`` with the current instant where these columns are NULL or absent, whatever the session's time zone is."""
+    now = F.current_timestamp()
     return rows.withColumns({c: F.coalesce(F.col(c), now) if c in rows.columns else now for c in columns})
 
 
 def touched(rows: DataFrame, changed, column: str = "updated_at") -> DataFrame:
-    """``rows`` with the current UTC time in ``column`` where ``changed`` (a condition) holds."""
-    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
-    return rows.withColumn(column, F.when(changed, now).otherwise(F.col(column)))
+    """``rows`` with the current instant in ``column`` where ``changed`` (a condition) holds."""
+    return rows.withColumn(column, F.when(changed, F.current_timestamp()).otherwise(F.col(column)))
 
 
 def appended(log: DataFrame, rows: DataFrame, key: str, *order) -> DataFrame:

@@ -36,7 +36,7 @@ NORMALIZING = ("min_name_length", "name_prefix_length")
 BLOCKING = ("max_candidates", "fallback_below", "max_token_df", "min_token_length", "rare_rank_limit")
 TRAINING = (
     "max_positives", "hard_per_positive", "easy_per_positive", "validation_percent", "validation_max_positives", "validation_negatives_per_positive", "trees", "learning_rate",
-    "tree_depth", "min_leaf", "seed", "thresholds", "min_precision",
+    "tree_depth", "min_leaf", "learner", "leaves", "l2", "min_hessian", "seed", "thresholds", "min_precision",
 )
 PREDICTING = ("prefilter_name", "prefilter_address", "prefilter_top_k", "max_predictions")
 # The names under which labels are found, in this order.

@@ -162,6 +162,28 @@ def _customer_names(spark, d):
     return read_table(spark, d, "customer").select(F.col("c_mktsegment").alias("username"), F.col("c_nationkey").cast("string").alias("email"))
 
 
+def _requests(spark, d):
+    """Requests for names of which many ask for the same, served in the order of keys."""
+    rows = read_table(spark, d, "customer").select(
+        "c_custkey", F.concat("c_mktsegment", (F.col("c_custkey") % 97).cast("string")).alias("username"), F.concat(F.lit("m"), (F.col("c_custkey") * 31 % 211).cast("string")).alias("email")
+    )
+    known = read_table(spark, d, "nation").select(F.concat(F.lit("BUILDING"), F.col("n_nationkey").cast("string")).alias("username"), F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("email"))
+    return C.taken(rows, known, "username", "email", order="c_custkey").select("c_custkey", F.array_join("errors", "; ").alias("errors"))
+
+
+def _stamps(spark, d):
+    """Times that are given stay; the others become the instant of the query."""
+    rows = X.votes(spark, d).select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("created_at"), F.col("ts").alias("updated_at"))
+    out = L.touched(L.stamped(rows, "created_at"), F.col("event_id") % 5 == 0)
+    now = lambda c: (F.col(c) == F.current_timestamp()).cast("int")
+    shown = lambda c: F.when(F.col(c) != F.current_timestamp(), F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    return out.select("event_id", now("created_at").alias("made_now"), now("updated_at").alias("changed_now"), shown("created_at").alias("created_at"), shown("updated_at").alias("updated_at"))
+
+
+def _typed(kind: str, table: str, **columns):
+    return lambda s, d: conform(read_table(s, d, table).select(*[F.expr(e).alias(n) for n, e in columns.items()]), SCHEMAS[kind])
+
+
 def _appended(spark, d):
     log = read_table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("bigint").alias("id"), F.col("r_name").alias("name"))
     return L.appended(log, read_table(spark, d, "nation").select(F.col("n_name").alias("name")), "id", "name")
@@ -216,6 +238,12 @@ QUERIES = {
     "seed_rows": lambda s, d: L.seeded(read_table(s, d, "region").select("r_regionkey", "r_name").filter("false"), read_table(s, d, "region").select("r_regionkey", "r_name")),
     "appended_keys": _appended,
     "typed_quotes": _quotes,
+    "typed_coffees": lambda s, d: conform(L.tally(X.votes(s, d)).select(F.length("item").alias("id"), F.col("item").alias("name"), "votes"), SCHEMAS["coffee"]),
+    "typed_users": _typed("user", "customer", id="c_custkey", name="c_name", department="c_mktsegment", available="c_acctbal > 0"),
+    "typed_profiles": _typed("profile", "pages", id="page_id", name="substring(url, 1, 40)", bio="html", image_url="url", created_at="timestamp_seconds(page_id)"),
+    "typed_notes": _typed("note", "conversations", id="conv_id * 1000 + turn", title="role", content="text", created_at="timestamp_seconds(conv_id)", updated_at="timestamp_seconds(conv_id + turn)", user_id="conv_id % 10"),
+    "time_stamps": _stamps,
+    "names_served": _requests,
     "names_taken": lambda s, d: C.taken(_nation_names(s, d), _customer_names(s, d), "username", "email").select("n_nationkey", F.array_join("errors", "; ").alias("errors")),
     "foreign_keys": lambda s, d: C.constraint_violations(read_table(s, d, "events"), references={"user_id": read_table(s, d, "customer").select("c_custkey"), "event_id": read_table(s, d, "orders").select("o_orderkey")}),
     "vote_tally": lambda s, d: L.tally(X.votes(s, d)),
@@ -377,6 +405,13 @@ def _validation_sql(most: int) -> str:
  SELECT {_PAIRS}, label FROM pos UNION ALL SELECT {_PAIRS}, label FROM (SELECT * FROM labelled WHERE label = 0 QUALIFY row_number() OVER (ORDER BY {_KEY}, {_PAIRS}) <= 5 * (SELECT count(*) FROM pos))"""
 
 
+# one step for each request in order, with the names granted so far
+_SERVED = """WITH RECURSIVE req AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey, concat(c_mktsegment, CAST(c_custkey % 97 AS VARCHAR)) AS u, concat('m', CAST(c_custkey * 31 % 211 AS VARCHAR)) AS e FROM customer),
+ s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS c_custkey, false AS bad_u, false AS bad_e, (SELECT list(concat('BUILDING', CAST(n_nationkey AS VARCHAR))) FROM nation) AS us, (SELECT list(concat('m', CAST(n_nationkey AS VARCHAR))) FROM nation) AS es
+  UNION ALL SELECT q.i, q.c_custkey, q.bu, q.be, CASE WHEN q.bu OR q.be THEN q.us ELSE list_append(q.us, q.u) END, CASE WHEN q.bu OR q.be THEN q.es ELSE list_append(q.es, q.e) END
+   FROM (SELECT r.*, s.us, s.es, list_contains(s.us, r.u) AS bu, list_contains(s.es, r.e) AS be FROM s JOIN req r ON r.i = s.i + 1) q)
+ SELECT c_custkey, array_to_string(list_filter([CASE WHEN bad_u THEN 'username taken' END, CASE WHEN bad_e THEN 'email taken' END], lambda m: m IS NOT NULL), '; ') AS errors FROM s WHERE i > 0"""
+
 ORACLE = {
     "normalize_parts": f"WITH {_entities(_PART)} SELECT * FROM entities",
     "normalize_docs": f"WITH {_entities(_DOC)} SELECT * FROM entities",
@@ -416,6 +451,12 @@ ORACLE = {
     "seed_rows": "SELECT r_regionkey, r_name FROM region",
     "appended_keys": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, r_name AS name FROM region UNION ALL SELECT CAST((SELECT max(r_regionkey) + 1 FROM region) + row_number() OVER (ORDER BY n_name) AS BIGINT), n_name FROM nation",
     "typed_quotes": "SELECT CAST(event_id AS BIGINT) AS id, event_type AS quote, 'unknown' AS author, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events",
+    "typed_coffees": "SELECT CAST(length(event_type) AS BIGINT) AS id, event_type AS name, CAST(count(*) AS BIGINT) AS votes FROM events GROUP BY event_type",
+    "typed_users": "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name, c_mktsegment AS department, c_acctbal > 0 AS available FROM customer",
+    "typed_profiles": "SELECT CAST(page_id AS BIGINT) AS id, substr(url, 1, 40) AS name, html AS bio, url AS image_url, make_timestamp(page_id * 1000000) AS created_at FROM pages",
+    "typed_notes": "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, role AS title, text AS content, make_timestamp(conv_id * 1000000) AS created_at, make_timestamp((conv_id + turn) * 1000000) AS updated_at, CAST(conv_id % 10 AS BIGINT) AS user_id FROM conversations",
+    "time_stamps": "SELECT event_id, CAST(event_id % 3 = 0 AS INTEGER) AS made_now, CAST(event_id % 5 = 0 AS INTEGER) AS changed_now, CASE WHEN event_id % 3 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at, CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS updated_at FROM events",
+    "names_served": _SERVED,
     "names_taken": "SELECT n_nationkey, array_to_string(list_filter([CASE WHEN n_name IN (SELECT c_mktsegment FROM customer) THEN 'username taken' END, CASE WHEN CAST(n_regionkey AS VARCHAR) IN (SELECT CAST(c_nationkey AS VARCHAR) FROM customer) THEN 'email taken' END], lambda m: m IS NOT NULL), '; ') AS errors FROM nation",
     "foreign_keys": f"{_FK.format('user_id', 'c_custkey', 'customer')} UNION ALL {_FK.format('event_id', 'o_orderkey', 'orders')}",
     "vote_tally": "SELECT event_type AS item, CAST(count(*) AS BIGINT) AS votes FROM events GROUP BY 1",
