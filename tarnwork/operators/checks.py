@@ -83,16 +83,23 @@ def _served(requested: DataFrame, known: DataFrame, columns: tuple[str, ...], or
 
 
 def constraint_violations(df: DataFrame, not_null=(), unique=(), references: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(rule, n): rows that break NOT NULL, keys that break UNIQUE, rows that refer to nothing (column -> table of one key column)."""
-    found = [df.filter(F.col(c).isNull()).agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(f"not null {c}").alias("rule"), "n") for c in not_null]
-    for c in unique:
-        twice = df.groupBy(c).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-        found.append(twice.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(f"unique {c}").alias("rule"), "n"))
-    for c, parents in (references or {}).items():
-        keys = parents.select(F.col(parents.columns[0]).alias(c)).distinct()
-        orphans = df.filter(F.col(c).isNotNull()).join(keys, c, "left_anti")
-        found.append(orphans.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(f"foreign key {c}").alias("rule"), "n"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    """(rule, n): rows that break NOT NULL, keys that break UNIQUE, rows that refer to nothing (column -> table of one key column).
+
+    All rules are judged in one scan: every row says what each rule has to know of it, and (rule,
+    value) groups are counted together with the keys that references may have. NULL is a value for
+    UNIQUE and refers to nothing that could be missing.
+    """
+    references = references or {}
+    claim = lambda rule, value: F.struct(F.lit(rule).alias("rule"), value.cast("string").alias("value"))
+    claims = [F.when(F.col(c).isNull(), claim(f"not null {c}", F.lit(""))) for c in not_null]
+    claims += [claim(f"unique {c}", F.col(c)) for c in unique]
+    claims += [F.when(F.col(c).isNotNull(), claim(f"foreign key {c}", F.col(c))) for c in references]
+    rows = df.select(F.inline(F.filter(F.array(*claims), lambda x: x.isNotNull()))).withColumn("key", F.lit(0))
+    for c, parents in references.items():
+        rows = rows.unionByName(parents.select(F.lit(f"foreign key {c}").alias("rule"), F.col(parents.columns[0]).cast("string").alias("value"), F.lit(1).alias("key")))
+    groups = rows.groupBy("rule", "value").agg(F.count_if(F.col("key") == 0).alias("n"), F.max("key").alias("key"))
+    broken = F.when(F.col("rule").startswith("not null "), F.col("n")).when(F.col("rule").startswith("unique "), (F.col("n") > 1).cast("bigint")).otherwise(F.when(F.col("key") == 0, F.col("n")).otherwise(0))
+    found = groups.groupBy("rule").agg(F.sum(broken).cast("bigint").alias("broken"))
+    names = [*(f"not null {c}" for c in not_null), *(f"unique {c}" for c in unique), *(f"foreign key {c}" for c in references)]
+    every = df.sparkSession.createDataFrame([(r,) for r in names], "rule string")
+    return every.join(found, "rule", "left").select("rule", F.coalesce("broken", F.lit(0)).cast("bigint").alias("n"))

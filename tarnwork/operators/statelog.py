@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tarnwork.sources.io import write_bucketed
 from tarnwork.storage import stored
 
 
@@ -15,6 +16,24 @@ def lookup(df: DataFrame, key: str, value, owner: tuple[str, object] | None = No
     return found.limit(1)
 
 
+def keyed(df: DataFrame, name: str, key: str, buckets: int = 8) -> DataFrame:
+    """``df`` as a table laid out for :func:`lookup`: a point query opens one bucket, and Parquet's bloom filter and order of the key leave little of it to read."""
+    write_bucketed(df, name, (key,), buckets, bloom=True)
+    return df.sparkSession.table(name)
+
+
+def with_defaults(spark: SparkSession, name: str, columns: str) -> DataFrame:
+    """A new, empty catalog table whose DDL may have DEFAULT values; inserts that leave such columns out get them."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet")
+    return spark.table(name)
+
+
+def insert(rows: DataFrame, name: str) -> None:
+    """Appends ``rows`` by the names of their columns; columns that they lack get the table's defaults."""
+    rows.sparkSession.sql(f"INSERT INTO {name} ({', '.join(f'`{c}`' for c in rows.columns)}) SELECT * FROM {{rows}}", rows=rows)
+
+
 def listing(df: DataFrame, *order, owner: tuple[str, object] | None = None) -> DataFrame:
     return (df.filter(F.col(owner[0]) == F.lit(owner[1])) if owner else df).orderBy(*order)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tarnwork.config import Config
 from tarnwork.functions import normalize as N
 from tarnwork.functions import similarity as S
+from tarnwork.functions import sql as Q
 from tarnwork.operators import blocking as B
 from tarnwork.operators import checks as C
 from tarnwork.operators import evaluate as E
@@ -17,7 +18,9 @@ from tarnwork.operators.entities import combine_targets, normalize_entities, spl
 from tarnwork.plans import linkage
 from tarnwork.sources import fixtures as X
 from tarnwork.sources.io import SCHEMAS, conform, landed_json, read_head, read_table
+from tarnwork.sources.sqlite import read_sqlite, write_sqlite
 from tarnwork.storage import new_path, stored
+from tarnwork.streaming.fold import current_notes, run_fold
 
 #: Small caps, so that every gate and quota binds on the test tables.
 SMALL = Config(max_candidates=8, fallback_below=2, max_token_df=8, rare_rank_limit=6, max_predictions=3, prefilter_top_k=5)
@@ -184,6 +187,37 @@ def _typed(kind: str, table: str, **columns):
     return lambda s, d: conform(read_table(s, d, table).select(*[F.expr(e).alias(n) for n, e in columns.items()]), SCHEMAS[kind])
 
 
+def _keyed_lookup(spark, d):
+    notes = L.keyed(_note_view(spark, d).withColumn("note_id", F.col("note_id").cast("long")), "notes_by_key", "note_id")
+    return L.lookup(notes, "note_id", 13, owner=("user_id", 3)).select("note_id", "user_id", "title")
+
+
+def _defaults(spark, d):
+    """A table seeded by DDL defaults: coffees without votes and a time of their own, then votes that are given."""
+    L.with_defaults(spark, "coffees", "id BIGINT, name STRING, votes BIGINT DEFAULT 0, shown BOOLEAN DEFAULT true, created_at TIMESTAMP DEFAULT current_timestamp()")
+    nation = read_table(spark, d, "nation")
+    L.insert(nation.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name")), "coffees")
+    L.insert(L.tally(X.votes(spark, d)).select(F.length("item").cast("bigint").alias("id"), F.col("item").alias("name"), "votes"), "coffees")
+    return spark.table("coffees").select("id", "name", "votes", "shown", F.col("created_at").isNotNull().alias("dated"))
+
+
+def _sqlite(spark, d):
+    """A table by way of SQLite databases, with a filter that they answer."""
+    folder = new_path(spark, "sqlite")
+    rows = read_table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    write_sqlite(rows, folder, "customer").write.format("noop").mode("overwrite").save()
+    return read_sqlite(spark, folder, "customer").filter("c_mktsegment = 'BUILDING' AND c_custkey > 100")
+
+
+def _folded(spark, d):
+    """The note log as a stream through keyed state."""
+    log = X.note_log(spark, d).select(F.col("note_id").cast("long"), F.col("version").cast("long"), F.col("user_id").cast("long"), "op", "title", "content")
+    table, out = stored(log, "notes"), new_path(spark, "fold")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+    run_fold(stream, out, new_path(spark, "fold-checkpoint")).awaitTermination()
+    return current_notes(spark, out).select("note_id", "user_id", "title", "updated_version", "created_version")
+
+
 def _appended(spark, d):
     log = read_table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("bigint").alias("id"), F.col("r_name").alias("name"))
     return L.appended(log, read_table(spark, d, "nation").select(F.col("n_name").alias("name")), "id", "name")
@@ -199,6 +233,8 @@ QUERIES = {
     "normalize_docs": lambda s, d: normalize_entities(X.entities_doc(s, d)),
     "combine_targets": lambda s, d: combine_targets(*[normalize_entities(X.entities_part(s, d).filter(F.col("source") == x)) for x in ("source2", "source3")]),
     "rare_token_index": lambda s, d: B.rare_token_index(_sides(s, d)[1]).select("country_norm", "token", "target_id", "target_source", "token_df"),
+    "normalize_parts_in_sql": lambda s, d: Q.normalized(X.entities_part(s, d)),
+    "rare_token_index_in_sql": lambda s, d: Q.rare_tokens(_sides(s, d)[1]),
     "block_exact": _stage("exact"),
     "block_rare": _stage("rare"),
     "block_prefix": _stage("prefix"),
@@ -243,6 +279,10 @@ QUERIES = {
     "typed_profiles": _typed("profile", "pages", id="page_id", name="substring(url, 1, 40)", bio="html", image_url="url", created_at="timestamp_seconds(page_id)"),
     "typed_notes": _typed("note", "conversations", id="conv_id * 1000 + turn", title="role", content="text", created_at="timestamp_seconds(conv_id)", updated_at="timestamp_seconds(conv_id + turn)", user_id="conv_id % 10"),
     "time_stamps": _stamps,
+    "sqlite_table": _sqlite,
+    "note_lookup_keyed": _keyed_lookup,
+    "table_defaults": _defaults,
+    "notes_folded": _folded,
     "names_served": _requests,
     "names_taken": lambda s, d: C.taken(_nation_names(s, d), _customer_names(s, d), "username", "email").select("n_nationkey", F.array_join("errors", "; ").alias("errors")),
     "foreign_keys": lambda s, d: C.constraint_violations(read_table(s, d, "events"), references={"user_id": read_table(s, d, "customer").select("c_custkey"), "event_id": read_table(s, d, "orders").select("o_orderkey")}),
@@ -417,6 +457,8 @@ ORACLE = {
     "normalize_docs": f"WITH {_entities(_DOC)} SELECT * FROM entities",
     "combine_targets": f"WITH {_entities(_PART)} SELECT * FROM entities WHERE source <> 'source1'",
     "rare_token_index": f"{_blocking()} SELECT country_norm, token, target_id, target_source, CAST(token_df AS BIGINT) AS token_df FROM idx",
+    "normalize_parts_in_sql": f"WITH {_entities(_PART)} SELECT * FROM entities",
+    "rare_token_index_in_sql": f"{_blocking()} SELECT country_norm, token, target_id, target_source, CAST(token_df AS BIGINT) AS token_df FROM idx",
     "block_exact": f"{_blocking()} SELECT * FROM exact",
     "block_rare": f"{_blocking()} SELECT {_PAIRS}, CAST(token_df AS BIGINT) AS token_df FROM rare",
     "block_prefix": f"{_blocking()} SELECT * FROM pre",
@@ -455,6 +497,10 @@ ORACLE = {
     "typed_users": "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name, c_mktsegment AS department, c_acctbal > 0 AS available FROM customer",
     "typed_profiles": "SELECT CAST(page_id AS BIGINT) AS id, substr(url, 1, 40) AS name, html AS bio, url AS image_url, make_timestamp(page_id * 1000000) AS created_at FROM pages",
     "typed_notes": "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, role AS title, text AS content, make_timestamp(conv_id * 1000000) AS created_at, make_timestamp((conv_id + turn) * 1000000) AS updated_at, CAST(conv_id % 10 AS BIGINT) AS user_id FROM conversations",
+    "note_lookup_keyed": f"SELECT CAST(note_id AS BIGINT) AS note_id, user_id, title FROM ({_NOTES}) WHERE note_id = 13 AND user_id = 3",
+    "table_defaults": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(0 AS BIGINT) AS votes, true AS shown, true AS dated FROM nation UNION ALL SELECT CAST(length(event_type) AS BIGINT), event_type, CAST(count(*) AS BIGINT), true, true FROM events GROUP BY event_type",
+    "sqlite_table": "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_mktsegment, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey > 100",
+    "notes_folded": f"SELECT CAST(note_id AS BIGINT) AS note_id, CAST(user_id AS BIGINT) AS user_id, title, CAST(updated_version AS BIGINT) AS updated_version, CAST(created_version AS BIGINT) AS created_version FROM ({_NOTES})",
     "time_stamps": "SELECT event_id, CAST(event_id % 3 = 0 AS INTEGER) AS made_now, CAST(event_id % 5 = 0 AS INTEGER) AS changed_now, CASE WHEN event_id % 3 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at, CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS updated_at FROM events",
     "names_served": _SERVED,
     "names_taken": "SELECT n_nationkey, array_to_string(list_filter([CASE WHEN n_name IN (SELECT c_mktsegment FROM customer) THEN 'username taken' END, CASE WHEN CAST(n_regionkey AS VARCHAR) IN (SELECT CAST(c_nationkey AS VARCHAR) FROM customer) THEN 'email taken' END], lambda m: m IS NOT NULL), '; ') AS errors FROM nation",

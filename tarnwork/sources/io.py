@@ -99,10 +99,16 @@ def file_counts(spark: SparkSession, path: str, key: str) -> DataFrame:
     )
 
 
-def write_bucketed(df: DataFrame, name: str, keys, buckets: int, path: str | None = None) -> None:
-    """Catalog table ``name``, bucketed and sorted by ``keys`` with one file a bucket; an older one of the name is replaced."""
+def write_bucketed(df: DataFrame, name: str, keys, buckets: int, path: str | None = None, bloom: bool = False) -> None:
+    """Catalog table ``name``, bucketed and sorted by ``keys`` with one file a bucket; an older one of the name is replaced.
+
+    ``bloom``: Parquet bloom filters of the keys, so that a lookup of a key that is not there reads
+    no row of its bucket.
+    """
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
+    for k in keys if bloom else ():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{k}", "true")
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 

@@ -106,6 +106,40 @@ def test_uniqueness_and_foreign_keys(spark):
     wanted, known = spark.createDataFrame([("ann", "a@x"), ("bob", "b@x")], "username string, email string"), spark.createDataFrame([("bob", "a@x"), ("bob", "z")], "username string, email string")
     got = {r.username: r.errors for r in checks.taken(wanted, known, "username", "email").collect()}
     assert got == {"ann": ["email taken"], "bob": ["username taken"]}
+
+
+def test_taken_by_earlier_requests(spark):
+    """Requests are served in order; who is refused takes nothing; NULL is never taken."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, *"abcdefgh"]), rng.choice([None, *"uvwxyz"])) for i in range(60)] + [(60 + i, f"n{i}", f"m{i - 1}") for i in range(3)]
+    known = [("a", "q"), (None, "u")]
+    us, es = {k[0] for k in known} - {None}, {k[1] for k in known} - {None}
+    want = {}
+    for i, u, e in rows:
+        want[i] = [f"{n} taken" for n, v, used in (("u", u, us), ("e", e, es)) if v in used and v is not None]
+        if not want[i]:
+            us |= {u} - {None}
+            es |= {e} - {None}
+    got = checks.taken(spark.createDataFrame(rows, "i long, u string, e string"), spark.createDataFrame(known, "u string, e string"), "u", "e", order="i")
+    assert got.columns == ["i", "u", "e", "errors"] and {r.i: r.errors for r in got.collect()} == want
+    assert any(len(v) == 2 for v in want.values()) and sum(not v for v in want.values()) > 5
+
+
+def test_stamps_are_instants(spark):
+    """The same instant in every session time zone."""
+    import datetime
+
+    rows = spark.createDataFrame([(1,)], "id int")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo", "America/Lima"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            seconds = statelog.touched(statelog.stamped(rows, "a"), F.lit(True), "a").select(F.unix_timestamp("a")).first()[0]
+            assert abs(seconds - datetime.datetime.now().timestamp()) < 60
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
     notes = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id int, user_id int")
     found = checks.constraint_violations(notes, references={"user_id": spark.createDataFrame([(5,), (5,)], "id int")}).collect()
     assert [tuple(r) for r in found] == [("foreign key user_id", 1)]
@@ -176,3 +210,51 @@ def test_streaming_folds(spark, tmp_path):
     assert last == {tuple(r) for r in statelog.latest(log, "user_id", "available", "ts", "event_id").collect()}
     windows = {(r.window.start, r.item): r.votes for r in ends(streaming.windowed_votes(stream, "1 hour", "1 day"), "complete", "windows").collect()}
     assert sum(windows.values()) == 40 and len(windows) == 6
+
+
+def test_constraints_in_one_scan(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, None, "a"), (2, 7, None), (None, 7, None), (None, 8, "b")], "id int, owner int, t string")
+    owners = spark.createDataFrame([(5,), (5,), (8,), (None,)], "key long")
+    check = lambda t: checks.constraint_violations(t, ["id", "t"], ["id", "t"], {"owner": owners})
+    want = {"not null id": 2, "not null t": 2, "unique id": 2, "unique t": 2, "foreign key owner": 2}
+    assert dict(map(tuple, check(rows).collect())) == want
+    assert dict(map(tuple, check(rows.limit(0)).collect())) == dict.fromkeys(want, 0)
+    table = statelog.stored(rows, "constrained")
+    plan = check(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("constrained-") == 1
+
+
+def test_keyed_lookup_reads_one_bucket(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 10).alias("owner"), F.concat(F.lit("t"), "id").alias("t"))
+    table = statelog.keyed(rows, "keyed_rows", "k", buckets=8)
+    found = statelog.lookup(table, "k", 777, owner=("owner", 7))
+    assert [tuple(r) for r in found.collect()] == [(777, 7, "t777")]
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "SelectedBucketsCount: 1 out of 8" in plan.toString()
+    assert statelog.lookup(table, "k", 777, owner=("owner", 3)).count() == statelog.lookup(table, "k", -1).count() == 0
+    spark.sql("DROP TABLE keyed_rows")
+
+
+def test_table_defaults(spark):
+    import datetime
+
+    table = statelog.with_defaults(spark, "with_defaults", "id BIGINT, name STRING DEFAULT 'none', made TIMESTAMP DEFAULT current_timestamp()")
+    assert table.count() == 0
+    statelog.insert(spark.createDataFrame([(1,), (2,)], "id long"), "with_defaults")
+    statelog.insert(spark.createDataFrame([("x", 3)], "name string, id long"), "with_defaults")
+    rows = {r.id: r for r in spark.table("with_defaults").collect()}
+    assert [rows[i].name for i in (1, 2, 3)] == ["none", "none", "x"] and all(abs((r.made - datetime.datetime.now(r.made.tzinfo)).days) < 2 for r in rows.values())
+    spark.sql("DROP TABLE with_defaults")
+
+
+def test_sql_functions(spark):
+    """The SQL functions give what the column functions give, also on NULL and on texts that need folding."""
+    from tarnwork.functions import sql as Q
+
+    Q.install(spark)
+    texts = ["  Acme, Company Limited ", "U.S.A.", "Caf\u00e9 \ufb01ne", None, "", "12 Main Street", "DE"]
+    name = Q.relation(spark.createDataFrame([(t,) for t in texts], "x string"), "some_texts")
+    got = spark.sql(f"SELECT x, norm_text(x) AS t, norm_name(x) AS n, norm_address(x) AS a, norm_country(x) AS c FROM {name}").collect()
+    want = spark.table(name).select("x", N.normalize_text(F.col("x")).alias("t"), N.normalize_name(F.col("x")).alias("n"), N.normalize_address(F.col("x")).alias("a"), N.normalize_country(F.col("x")).alias("c")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert sorted(r[0] for r in spark.sql("SELECT token FROM name_tokens('acme ltd blue acme x', 4)").collect()) == ["acme", "blue"]
