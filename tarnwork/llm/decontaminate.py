@@ -18,6 +18,8 @@ Defined cases: NULL and empty texts hit nothing. Items under ``SPAN`` tokens are
 all their tokens stand in a row; items under ``SHORTEST`` tokens are words, not passages, and
 are not searched. One row for each (id, text, item): repeated rows and items are reported
 once, rows of one id with different texts each for itself. A NULL doc_id is reported as NULL.
+Texts may have any length; an empty table, of documents or of items, gives no row. Other columns
+are not read, whatever their names are.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Defined cases: NULL and empty texts, and texts of fewer than three lines, have n
 and stay as they are. A window of blank lines only is none. Rows of one doc_id and one text
 count as one document, so a repeated row is treated like its twin; rows of one doc_id with
 different texts are different documents, ordered by a hash of the text. A NULL doc_id sorts
-first. Columns n_lines and n_removed of the input are replaced.
+first. Columns n_lines and n_removed of the input are replaced. Texts may
+have any length that a row has; an empty table stays empty.
 """
 
 from __future__ import annotations

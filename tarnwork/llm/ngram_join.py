@@ -24,7 +24,8 @@ number of links.
 Defined cases: NULL and empty texts have the empty set and are linked with nothing; a text
 shorter than a shingle is one shingle; repeated rows are equal texts; rows of one doc_id with
 different texts are documents of their own, each with its own component, whatever their order;
-a NULL doc_id is not searched and its component is NULL. Other columns are not read.
+a NULL doc_id is not searched and its component is NULL; a text of any length is one set; an empty
+table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations

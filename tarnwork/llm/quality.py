@@ -15,10 +15,14 @@ proportion to the weights.
 * Ratio of a feature: ``(c + a) / (e + a)`` with c its target count and e the count expected
   from the raw model; below 1 also that expected from the labels, good and bad in their
   proportion, if it is larger.
-* The log ratio is signed and speaks for the target as well as against it. It counts beyond
-  ``DEAD`` on either side, and where chance does not explain it: the log likelihood ratio of
-  the target's share of the feature is above CRITICAL. So neither chance nor length of an
-  ordinary text moves its weight from 1, at any number of labels.
+* The log ratio is signed and speaks for the target as well as against it. It counts where
+  chance does not explain it (the log likelihood ratio of the target's share of the feature is
+  above CRITICAL) and beyond a dead zone: ``DEAD`` against the target, and for it ``REACH`` of
+  the largest log ratio that there can be. So neither chance nor length of an ordinary text
+  moves its weight from 1, at any number of labels.
+* The target is part of the raw text, so no document is more than n / g times as likely under
+  it, with n documents and g good labels: what speaks for a document counts up to log(n / g),
+  what speaks against it counts in full.
 * k: a parameter; by default the expected number of acceptances if each document were
   accepted with its weight, 1 at most.
 
@@ -27,7 +31,8 @@ the weights and k cover all documents. At most that many ids reach the driver.
 
 Defined cases: NULL and empty texts have weight 1; rows of one id and text share key and
 fate; rows tied at the k-th key are all kept; without good labels all documents are kept; a
-NULL doc_id is a value like any other.
+NULL doc_id is a value like any other; texts are read whole, whatever their length; an empty table
+stays empty. Columns log_weight and sample_key are replaced, others are carried.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ from tarnwork.storage import stored
 WORDS, PAIRS, BIGRAMS = 1 << 20, 1 << 17, 1 << 18  # few words meet in a bucket: one that meets a rejected word is rejected with it
 LAGS = 4
 SIZE = WORDS + PAIRS + 2 * BIGRAMS
-PRIOR, DEAD, CRITICAL = 1.0, 1.6, 8.0
+PRIOR, DEAD, REACH, CRITICAL = 1.0, 1.6, 0.5, 8.0
 MAX_LABELLED = 20_000
 GATHER = 1 << 20
 LOTS = SIZE // SLICE + 1  # the last slice holds the number of documents
@@ -109,11 +114,23 @@ def log_ratio(raw: np.ndarray, good: np.ndarray, bad: np.ndarray, share: float)
         expected = np.maximum(expected, share * good + (1 - share) * bad * (g / b))
         low = np.minimum(sure, _surprise(good, good + bad, g / (g + b)))
     down = np.log((good + PRIOR) / (expected + PRIOR))
-    return np.where((down < -DEAD) & (low < -CRITICAL), down, np.where((up > DEAD) & (sure > CRITICAL), up, 0.0))
+    reach = min(DEAD, REACH * most_log_weight(n, g))
+    return np.where((down < -DEAD) & (low < -CRITICAL), down, np.where((up > reach) & (sure > CRITICAL), up, 0.0))
+
+
+def most_log_weight(n: float, g: float) -> float:
+    """The largest log weight of a document, with n documents of which g are labelled good."""
+    return float(np.log(max(n, g, 1) / max(g, 1)))
+
+
+def document_weights(tokens: np.ndarray, bounds: np.ndarray, most: float) -> np.ndarray:
+    """Log weights of documents from what their tokens add."""
+    total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[bounds])
+    return np.round(np.minimum(total(np.maximum(tokens, 0.0)), most) + total(np.minimum(tokens, 0.0)), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> np.ndarray | None:
-    """Log ratio of every bucket (0 where it says nothing); None without good labels."""
+    """Log ratio of every bucket (0 where it says nothing), and the largest log weight last; None without good labels."""
     spark = docs.sparkSession
     is_good, is_bad = (F.col("quality") == 1) & (F.col("toxic") == 0), (F.col("quality") == 0) | (F.col("toxic") == 1)
     found = []
@@ -158,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = sum_slices(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "slice int, part int, counts binary"))
     target.unpersist()
     raw, good, bad = (np.concatenate([sums.get(m * LOTS + s, np.zeros(SLICE, np.int64)) for s in range(LOTS)])[: SIZE + 1].astype(float) for m in range(3))
-    return log_ratio(raw, good, bad, n_good / (n_good + n_bad)) if good[SIZE] else None
+    return np.append(log_ratio(raw, good, bad, n_good / (n_good + n_bad)), most_log_weight(raw[SIZE], good[SIZE])) if good[SIZE] else None
 
 
 def _gumbel(ids: np.ndarray, h: np.ndarray, seed: int) -> np.ndarray:
@@ -170,17 +187,16 @@ def weigh(docs: DataFrame, ratio: np.ndarray | None, id_col: str = "doc_id", tex
     """``columns`` with log_weight and sample_key; with ``least`` only rows whose key reaches it."""
     columns = [c for c in (columns or docs.columns) if c not in ("log_weight", "sample_key")]
     at = columns.index(text_col) + 1 if text_col in columns else len(columns) + 1  # a text goes to Python once
-    table = docs.sparkSession.sparkContext.broadcast(np.zeros(SIZE) if ratio is None else ratio)
+    table = docs.sparkSession.sparkContext.broadcast(np.zeros(SIZE + 1) if ratio is None else ratio)
 
     def work(batches):
-        log = table.value
+        log, most = table.value[:-1], float(table.value[-1])
         for batch in batches:
             ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             weights, keys = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for i, j, data, offsets in chunks(batch.column(at)):
                 *kinds, bounds = features(data, offsets)
-                sums = np.concatenate([[0.0], np.cumsum(log_weights(log, *kinds))])
-                weights[i:j] = np.round(sums[bounds[1:]] - sums[bounds[:-1]], 9)
+                weights[i:j] = document_weights(log_weights(log, *kinds), bounds, most)
                 text = word_hash(data, offsets[:-1], offsets[1:])
                 keys[i:j] = weights[i:j] + _gumbel(ids[i:j], text, seed)
             last = len(columns) + 1

@@ -27,7 +27,7 @@ Defined cases: NULL is an empty text; texts under 100 bytes lose nothing; doc_id
 and rows that repeat one with its text are judged alike. Of several texts under one id that
 with the smallest SHA-256 is the document; the others lose nothing and cost no other text
 anything, as do rows without doc_id. An id that is no integer is an error (under ANSI mode,
-which is Spark's default). Other columns are not read.
+which is Spark's default). An empty table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Defined cases: a vector that is NULL or holds a NULL or a non-finite component t
 shorter vectors count as padded with zeros; ties go to the smaller id. A row that repeats
 another's id and vector counts once. An id with several vectors is a candidate with each of
 them and asks with the smallest in array order; it never meets rows of its own id. Scores that
-exceed 63 bits are plus or minus 2**63 - 1, and tie there.
+exceed 63 bits are plus or minus 2**63 - 1, and tie there. An empty table gives no row; vectors
+may be of any length that fits a task. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ copied to every executor. A list of more than ``PER_INDEX`` rules makes several
 which are probed one after the other; the longest rule of all wins.
 
 Defined cases: a NULL url and one without ``://`` have an empty host and path and get the
-default verdict; repeated rows are judged alike; urls may have any length. Other columns are
-not read.
+default verdict; repeated rows are judged alike; urls may have any length; an
+empty table gives no row, an empty list of rules the default verdict. Other columns are not read.
 """
 
 from __future__ import annotations

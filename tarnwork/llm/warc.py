@@ -22,7 +22,8 @@ task has reported are read.
 Defined cases: a NULL payload is empty, a NULL url is written as an empty one; CR and LF in a
 url are written as %0D and %0A; rows of one page_id are records of their own (of equal long
 payloads under the largest page_id, all are responses); a NULL page_id is carried and is
-smaller than any other. Other columns are not read.
+smaller than any other; payloads may have any length that a row has; an empty table gives no file and
+no row. Other columns are not read.
 """
 
 from __future__ import annotations
