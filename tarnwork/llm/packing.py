@@ -104,17 +104,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """(id, start, length, ids_crc32, doc_tokens) of every piece."""
 
     def work(batches):
-        tail = _pack_ids([end])
+        from tarnwork.llm.tokens import encoder
+
+        encode_all = encoder(tokenizer_path)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 256):
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
+                ids, begins = encode_all(texts.slice(at, 256), end)
+                raw, begins = memoryview(ids.astype("<u4").tobytes()), begins.tolist()
                 owner, rows = [], []
-                for i, ids in enumerate(encode(part, tokenizer_path)):
-                    ids += tail
-                    total, start = len(ids) // 4, 0
-                    for n in cut(total, window):
-                        rows.append((start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), total))
+                for i, (first, last) in enumerate(zip(begins, begins[1:])):
+                    start = first
+                    for n in cut(last - first, window):
+                        rows.append((start - first, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), last - first))
                         owner.append(at + i)
                         start += n
                 yield pa.RecordBatch.from_arrays(
@@ -258,8 +260,12 @@ def pack(cut_pieces: DataFrame, id_col: str = "doc_id", window: int = WINDOW) ->
     parts = spark.createDataFrame([(n, -(-k // PER_BUCKET)) for n, k in sorted(histogram.items())] or [(1, 1)], "length long, __q long")
     dealt = cut_pieces.join(F.broadcast(parts), "length").withColumn("__b", F.pmod(F.xxhash64("number"), F.col("__q")))
     per = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    # what lies before a bucket, by groups of PER_BUCKET buckets and then within the group: no window holds all buckets of a common length
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    grouped = per.withColumn("__u", F.floor(F.col("__b") / PER_BUCKET))
+    groups = grouped.groupBy("length", "__u").agg(F.sum("__n").alias("__m")).select("length", "__u", F.coalesce(F.sum("__m").over(before(["length"], "__u")), F.lit(0)).alias("__o"))
+    inside = grouped.select("length", "__u", "__b", F.coalesce(F.sum("__n").over(before(["length", "__u"], "__b")), F.lit(0)).alias("__i"))
+    starts = inside.join(groups, ["length", "__u"]).select("length", "__b", (F.col("__i") + F.col("__o")).alias("__s"))
     rank = Window.partitionBy("length", "__b").orderBy(id_col, "start", "ids_crc32", "number")
     ranked = dealt.withColumn("__r", F.row_number().over(rank) - 1).join(starts, ["length", "__b"])
     rows = ranked.select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("__s") + F.col("__r")).cast("long").alias("__r"))
