@@ -1,6 +1,7 @@
 """Each operator against SQL or brute force, and its edge cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -504,10 +505,12 @@ def test_quality_against_plain_counts(spark):
         for m in [0] + [1] * (i in good) + [2] * (i in bad):
             counts[m][own] += 1
     ratio = quality.log_ratio(*counts, len(good) / (len(good) + len(bad)))
-    weight = {n: round(float(quality.log_weights(ratio, *b).sum()), 9) for n, b in buckets.items()}
+    most = np.log((len(rows)) / counts[1][-1])
+    tokens = {n: quality.log_weights(ratio, *b) for n, b in buckets.items()}
+    weight = {n: round(float(min(x[x > 0].sum(), most) + x[x < 0].sum()), 9) for n, x in tokens.items()}
 
     fitted = quality.fit(table, marks)
-    assert np.array_equal(fitted, ratio) and (ratio < 0).any()
+    assert np.allclose(fitted, np.append(ratio, most), atol=1e-12) and (ratio < 0).any()
     got = quality.weigh(table, fitted).collect()
     assert sorted((str(r.doc_id), r.text or "", round(r.log_weight, 6)) for r in got) == sorted((str(rows[n][0]), rows[n][1] or "", round(w, 6)) for n, w in weight.items())
     for k in (None, 40):
@@ -525,6 +528,88 @@ def test_quality_speaks_for_a_rare_target():
     assert up > quality.DEAD and same == 0
 
 
+def _plain_quality(rows, good, bad):
+    """Log weights by dictionaries of the features themselves, without any hash: rows of (id, text)."""
+
+    def tokens(text):
+        return re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", (text or "").encode())
+
+    def look(text):
+        raw, out, before = tokens(text), [], None
+        low = [t.lower() for t in raw]  # of bytes: A-Z only
+        for i, (t, w) in enumerate(zip(raw, low)):
+            lag = next((k for k in range(1, 5) if i >= k and low[i - k] == w), 0)
+            upper = sum(65 <= c <= 90 for c in t)
+            case = "lower" if not upper else "upper" if upper == len(t) > 1 else "mixed"
+            form = (case, t[:1].isalnum() or t[0] >= 128, len(t) if len(t) < 7 else 7 + (len(t) > 15) + (len(t) > 40), lag)
+            out.append((("word", "again" if lag == 1 else w), ("forms", before, form), ("two", low[i - 1] if i else None, w)))
+            before = form
+        return out
+
+    found = [look(t) for _, t in rows]
+    raw, of_good, of_bad = Counter(), Counter(), Counter()
+    n_good = n_bad = 0
+    for (i, _), fs in zip(rows, found):
+        own = {x for three in fs for x in three}
+        raw.update(own)
+        if i in good:
+            of_good.update(own)
+            n_good += 1
+        if i in bad:
+            of_bad.update(own)
+            n_bad += 1
+    n, share, most = len(rows), len(good) / (len(good) + len(bad)), math.log(len(rows) / n_good)
+
+    def surprise(c, m, p):
+        out = sum(k * math.log(k / m / q) for k, q in ((c, p), (m - c, 1 - p)) if k)
+        return -out if c / m < p else out
+
+    def ratio(x):
+        c, expected = of_good[x], raw[x] * n_good / n
+        sure = surprise(c, raw[x], n_good / n)
+        up, least = math.log((c + 1) / (expected + 1)), sure
+        if n_bad:
+            expected = max(expected, share * c + (1 - share) * of_bad[x] * n_good / n_bad)
+            least = min(sure, surprise(c, c + of_bad[x], n_good / (n_good + n_bad)) if c + of_bad[x] else 0)
+        down = math.log((c + 1) / (expected + 1))
+        return down if down < -1.6 and least < -8 else up if up > min(1.6, most / 2) and sure > 8 else 0.0
+
+    known = {x: ratio(x) for x in raw}
+    weights = [[known[x] for three in fs for x in three] for fs in found]
+    return [min(sum(x for x in w if x > 0), most) + sum(x for x in w if x < 0) for w in weights], known
+
+
+@pytest.mark.parametrize("n_bad", [0, 60])
+def test_quality_against_brute_force(spark, n_bad):
+    """Features, models, weights on both sides of 1, and the draw, by a plain version that shares nothing with the operator."""
+    rng = np.random.default_rng(7)
+    topic = lambda words, k: " ".join(words[int(i)] for i in rng.integers(0, len(words), k))
+    plain, target, spam = ["the", "cat", "Sat", "on", "it", "10", "..."], ["Prime", "lemma", "proof"], ["BUY", "now", "!!!", "cheap"]
+    rows = [(i, topic(plain, 12)) for i in range(400)] + [(400 + i, topic(plain, 6) + " " + topic(target, 5)) for i in range(90)] + [(500 + i, topic(plain, 5) + " " + topic(spam, 6)) for i in range(90)]
+    rows += [(700, None), (701, ""), (702, "\n \t"), (None, "the cat"), (703, "é É the the the"), (0, rows[0][1]), (704, "Prime proof now BUY lemma")]
+    good, bad = {*range(400, 470), *range(0, 30)}, set(range(500, 500 + n_bad))
+    labels = [(i, 1, 0) for i in good] + [(i, int(i % 2), int(i % 2)) for i in bad]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights, known = _plain_quality(rows, good, bad)
+    assert any(x > 0 for x in known.values()) and (any(x < 0 for x in known.values()) or not n_bad) and max(weights) > 1 and (min(weights) < -1.6 or not n_bad)
+    got = quality.weigh(table, quality.fit(table, marks)).collect()
+    order = lambda r: (str(r[0]), r[1] or "", r[2])
+    assert sorted(((r.doc_id, r.text, round(r.log_weight, 6)) for r in got), key=order) == sorted(((i, t, round(w, 6)) for (i, t), w in zip(rows, weights)), key=order)
+    noise = np.sort([r.sample_key - r.log_weight for r in got])
+    steps = np.arange(1, len(noise) + 1) / len(noise)
+    assert np.abs(np.exp(-np.exp(-noise)) - steps).max() < 0.08  # as Gumbel's distribution has it
+    assert len({round(x, 9) for x in noise}) == len({(i, t) for i, t in rows})
+    for k in (None, 25):
+        n = round(sum(math.exp(min(w, 0.0)) for w in weights)) if k is None else k
+        want = sorted((r.sample_key for r in got), reverse=True)[:n]
+        kept = quality.sample(table, marks, k=k).collect()
+        assert sorted((r.sample_key for r in kept), reverse=True)[:n] == want and len(kept) <= n + 1
+    drawn = quality.sample(table, marks, k=25).collect()
+    if n_bad:
+        assert np.mean([400 <= (r.doc_id or 0) < 490 for r in drawn]) > 2 * 90 / len(rows)  # towards the target
+
+
 def test_quality_held_out(spark):
     """Fitted on one half of the labels, judged on the other; something is rejected at the small size too."""
     half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))
@@ -639,3 +724,29 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    """A folder of empty tables."""
+    folder = tmp_path_factory.mktemp("empty")
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n != "pipeline"])
+def test_queries_on_empty_tables(spark, empty, name):
+    assert QUERIES[name](spark, empty).count() == 0
+
+
+def test_quality_and_benchmark_on_long_texts(spark):
+    """Texts of a million words are read whole: what stands at their end counts."""
+    long = "plain words of no kind " * 200_000
+    docs = spark.createDataFrame([(i, f"good text number {i} of many") for i in range(60)] + [(100 + i, f"spam spam offer {i}") for i in range(60)] + [(500, long), (501, long + " spam spam offer")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    weight = {r.doc_id: r.log_weight for r in quality.weigh(docs, quality.fit(docs, labels)).collect()}
+    assert weight[501] < min(weight[500], -1.6)
+    items = spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(30)))], "item_id long, text string")
+    hit = spark.createDataFrame([(7, long + " ".join(f"item{i}" for i in range(30))), (8, long)], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.remove(hit, items).collect()] == [8]
