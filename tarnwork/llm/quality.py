@@ -89,10 +89,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return bucket(word, WORDS), bucket(before * U(1 << 20) + state, PAIRS) + WORDS, bucket(both, BIGRAMS) + first, bucket(both ^ _AGAIN, BIGRAMS) + first + BIGRAMS, bounds
 
 
-def log_weights(log: np.ndarray, word: np.ndarray, pair: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """What every token adds to its document's log weight."""
+def log_weights(log: np.ndarray, word: np.ndarray, pair: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What every token's features say for its document, and against it."""
     a, b = log[one], log[two]
-    return log[word] + log[pair] + np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0.0)
+    said = np.stack([log[word], log[pair], np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0.0)])
+    return np.maximum(said, 0.0).sum(0), np.minimum(said, 0.0).sum(0)
 
 
 def _surprise(c: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
@@ -123,10 +124,10 @@ def most_log_weight(n: float, g: float) -> float:
     return float(np.log(max(n, g, 1) / max(g, 1)))
 
 
-def document_weights(tokens: np.ndarray, bounds: np.ndarray, most: float) -> np.ndarray:
-    """Log weights of documents from what their tokens add."""
+def document_weights(up: np.ndarray, down: np.ndarray, bounds: np.ndarray, most: float) -> np.ndarray:
+    """Log weights of documents from what their tokens say."""
     total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[bounds])
-    return np.round(np.minimum(total(np.maximum(tokens, 0.0)), most) + total(np.minimum(tokens, 0.0)), 9)
+    return np.round(np.minimum(total(up), most) + total(down), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> np.ndarray | None:
@@ -196,7 +197,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray | None, id_col: str = "doc_id", tex
             weights, keys = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for i, j, data, offsets in chunks(batch.column(at)):
                 *kinds, bounds = features(data, offsets)
-                weights[i:j] = document_weights(log_weights(log, *kinds), bounds, most)
+                weights[i:j] = document_weights(*log_weights(log, *kinds), bounds, most)
                 text = word_hash(data, offsets[:-1], offsets[1:])
                 keys[i:j] = weights[i:j] + _gumbel(ids[i:j], text, seed)
             last = len(columns) + 1
