@@ -507,7 +507,7 @@ def test_quality_against_plain_counts(spark):
     ratio = quality.log_ratio(*counts, len(good) / (len(good) + len(bad)))
     most = np.log((len(rows)) / counts[1][-1])
     tokens = {n: quality.log_weights(ratio, *b) for n, b in buckets.items()}
-    weight = {n: round(float(min(x[x > 0].sum(), most) + x[x < 0].sum()), 9) for n, x in tokens.items()}
+    weight = {n: round(float(min(up.sum(), most) + down.sum()), 9) for n, (up, down) in tokens.items()}
 
     fitted = quality.fit(table, marks)
     assert np.allclose(fitted, np.append(ratio, most), atol=1e-12) and (ratio < 0).any()
@@ -582,7 +582,7 @@ def _plain_quality(rows, good, bad):
 @pytest.mark.parametrize("n_bad", [0, 60])
 def test_quality_against_brute_force(spark, n_bad):
     """Features, models, weights on both sides of 1, and the draw, by a plain version that shares nothing with the operator."""
-    rng = np.random.default_rng(7)
+    rng = np.random.default_rng(13)  # texts of which no two features meet in a bucket
     topic = lambda words, k: " ".join(words[int(i)] for i in rng.integers(0, len(words), k))
     plain, target, spam = ["the", "cat", "Sat", "on", "it", "10", "..."], ["Prime", "lemma", "proof"], ["BUY", "now", "!!!", "cheap"]
     rows = [(i, topic(plain, 12)) for i in range(400)] + [(400 + i, topic(plain, 6) + " " + topic(target, 5)) for i in range(90)] + [(500 + i, topic(plain, 5) + " " + topic(spam, 6)) for i in range(90)]
