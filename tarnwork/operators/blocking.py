@@ -140,11 +140,13 @@ def rare_block(source1: DataFrame, rare: DataFrame, exact: DataFrame, counts: Da
     """Pairs that share a rare token and are no exact pairs, at most ``rare_rank_limit`` a source."""
     full = counts.filter(F.col("exact_count") >= config.fallback_below).select(F.col("source1_id").alias("entity_id"))
     gated = source1.join(full, "entity_id", "left_anti")
-    pairs = tokens(gated, config).withColumnRenamed("entity_id", "source1_id").join(rare, ["country_norm", "token"])
-    scored = pairs.groupBy(*PAIR).agg(F.min("token_df").alias("token_df"))
-    found = exact_block(gated, exact).select("source1_id", "target_id").distinct()  # fewer than fallback_below a source
+    pairs = tokens(gated, config).withColumnRenamed("entity_id", "source1_id").join(rare, ["country_norm", "token"]).select(*PAIR, "token_df", F.lit(False).alias("exact"))
+    found = exact_block(gated, exact).select(*PAIR, F.lit(NO_DF).cast("bigint").alias("token_df"), F.lit(True).alias("exact"))  # fewer than fallback_below a source
+    # dealt by source once: the marks of exact pairs, the least frequency of each pair and the ranks all lie within a source
+    dealt = pairs.unionByName(found).repartition("source1_id")
+    new = dealt.withColumn("exact", F.max("exact").over(Window.partitionBy("source1_id", "target_id"))).filter("NOT exact").groupBy(*PAIR).agg(F.min("token_df").alias("token_df"))
     rank = Window.partitionBy("source1_id").orderBy("token_df", F.md5("target_id"), "target_id", "target_source")
-    return scored.join(found, ["source1_id", "target_id"], "left_anti").select(*PAIR, "token_df").withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= config.rare_rank_limit).drop("rn")
+    return new.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= config.rare_rank_limit).drop("rn")
 
 
 def prefix_block(source1: DataFrame, prefix: DataFrame, counts: DataFrame, rare: DataFrame, config: Config = Config()) -> DataFrame:
@@ -167,6 +169,7 @@ def candidates(source1: DataFrame, targets: DataFrame | None, config: Config = C
         exact_block(source1, index.exact).select(*PAIR, F.lit(1).alias("block_priority"), F.lit(0).cast("bigint").alias("token_df"))
         .unionByName(rare.select(*PAIR, F.lit(2).alias("block_priority"), "token_df"))
         .unionByName(prefix_block(source1, index.prefix, counts, rare, config).select(*PAIR, F.lit(3).alias("block_priority"), F.lit(NO_DF).cast("bigint").alias("token_df")))
+        .repartition("source1_id")  # the one exchange of the merge: pairs, quotas and ranks lie within a source, of which each stage gives a bounded number
         .groupBy(*PAIR).agg(F.min("block_priority").alias("block_priority"), F.min("token_df").alias("token_df"))
     )
     by_stage = Window.partitionBy("source1_id", "block_priority").orderBy("token_df", F.md5("target_id"), "target_id", "target_source")

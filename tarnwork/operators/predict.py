@@ -19,15 +19,21 @@ from tarnwork.storage import exists, get_text, put_text, remove
 SIDECAR = "model.json"
 
 
+def class_weights(rows: DataFrame) -> DataFrame:
+    """(label, n, weight) of each class: weights under which all classes count the same."""
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    all_ = sizes.agg(F.sum("n").alias("__all"), F.count(F.lit(1)).alias("__k"))  # one row
+    return sizes.crossJoin(F.broadcast(all_)).select("label", "n", (F.col("__all") / (F.col("__k") * F.col("n"))).alias("weight"))
+
+
 def train(rows: DataFrame, config: Config = Config(), columns=FEATURES) -> PipelineModel | boosting.Model:
     """Boosted trees on balanced class weights, by the learner of the config. ValueError if only one class is present."""
     if config.learner == "leaves":
         return boosting.train(rows, config, columns)
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    if len(sizes) < 2:
+    weights = {r["label"]: r["weight"] for r in class_weights(rows).collect()}  # two rows
+    if len(weights) < 2:
         raise ValueError("training needs both classes")
-    total = sum(sizes.values())
-    weight = F.when(F.col("label") == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
+    weight = F.when(F.col("label") == 1, weights[1]).otherwise(weights[0])
     trees = GBTClassifier(
         labelCol="label", featuresCol="features", weightCol="weight", maxIter=config.trees, stepSize=config.learning_rate,
         maxDepth=config.tree_depth, minInstancesPerNode=config.min_leaf, seed=config.seed,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnwork.sources.io import write_bucketed
-from tarnwork.storage import stored
+from tarnwork.storage import new_path, stored
 
 
 def lookup(df: DataFrame, key: str, value, owner: tuple[str, object] | None = None) -> DataFrame:
@@ -18,14 +18,14 @@ def lookup(df: DataFrame, key: str, value, owner: tuple[str, object] | None = No
 
 def keyed(df: DataFrame, name: str, key: str, buckets: int = 8) -> DataFrame:
     """``df`` as a table laid out for :func:`lookup`: a point query opens one bucket, and Parquet's bloom filter and order of the key leave little of it to read."""
-    write_bucketed(df, name, (key,), buckets, bloom=True)
+    write_bucketed(df, name, (key,), buckets, new_path(df.sparkSession, name), bloom=True)
     return df.sparkSession.table(name)
 
 
 def with_defaults(spark: SparkSession, name: str, columns: str) -> DataFrame:
-    """A new, empty catalog table whose DDL may have DEFAULT values; inserts that leave such columns out get them."""
+    """A new, empty catalog table in the shared folder whose DDL may have DEFAULT values; inserts that leave such columns out get them."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{new_path(spark, name)}'")
     return spark.table(name)
 
 

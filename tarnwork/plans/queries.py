@@ -17,7 +17,8 @@ from tarnwork.operators import statelog as L
 from tarnwork.operators.entities import combine_targets, normalize_entities, split_sides
 from tarnwork.plans import linkage
 from tarnwork.sources import fixtures as X
-from tarnwork.sources.io import SCHEMAS, conform, landed_json, read_head, read_table
+from tarnwork.operators.batches import digest
+from tarnwork.sources.io import SCHEMAS, conform, landed_json, read_head, read_table, read_tsv, write_json
 from tarnwork.sources.sqlite import read_sqlite, write_sqlite
 from tarnwork.storage import new_path, stored
 from tarnwork.streaming.fold import current_notes, run_fold
@@ -187,6 +188,36 @@ def _typed(kind: str, table: str, **columns):
     return lambda s, d: conform(read_table(s, d, table).select(*[F.expr(e).alias(n) for n, e in columns.items()]), SCHEMAS[kind])
 
 
+def _with_all_ratios(spark, d):
+    return P.features(_pairs(spark, d), arrow=True)
+
+
+def _tsv_scan(spark, d):
+    """The sources' TSV files, written and read again."""
+    files = X.linkage_files(spark, d, new_path(spark, "tsv"))
+    parts = [read_tsv(spark, files[s]).withColumn("source", F.lit(s)) for s in linkage.SOURCES]
+    return combine_targets(*parts)
+
+
+def _json_sink(spark, d):
+    """A report of each event type as JSON, written and read again."""
+    path = new_path(spark, "report")
+    write_json(read_table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first")), path)
+    return spark.read.schema("event_type string, n bigint, first bigint").json(path)
+
+
+def _index_tables(spark, d):
+    """Rows of each saved index, once the catalog has all of them."""
+    _, targets = _sides(spark, d)
+    name = f"idx_{digest(new_path(spark, 'indexes'))[:12]}"
+    B.save_indexes(B.plan_indexes(targets), name, 4, new_path(spark, "indexes"))
+    if not B.indexes_ready(spark, name):
+        raise ValueError("indexes are missing from the catalog")
+    found = B.load_indexes(spark, name)
+    parts = [t.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(F.lit(k).alias("name"), "n_rows") for k, t in vars(found).items()]
+    return combine_targets(*parts)
+
+
 def _keyed_lookup(spark, d):
     notes = L.keyed(_note_view(spark, d).withColumn("note_id", F.col("note_id").cast("long")), "notes_by_key", "note_id")
     return L.lookup(notes, "note_id", 13, owner=("user_id", 3)).select("note_id", "user_id", "title")
@@ -247,7 +278,12 @@ QUERIES = {
     "label_pairs": lambda s, d: P.label_pairs(flagship(s, d), X.truth_part(s, d)),
     "blocking_recall": lambda s, d: E.blocking_recall(flagship(s, d), X.truth_part(s, d)),
     "pair_features": lambda s, d: P.features(_pairs(s, d), weighted=False).select(*B.PAIR, *[F.round(c, 6).alias(c) if c.endswith("ratio") else c for c in P.FEATURES if "wratio" not in c]),
-    "pair_features_full": lambda s, d: P.features(_pairs(s, d), arrow=True).select(*B.PAIR, *P.FEATURES),
+    "pair_features_full": lambda s, d: _with_all_ratios(s, d).select(*B.PAIR, *[F.round(c, 6).alias(c) if c.endswith("ratio") else c for c in P.FEATURES]),
+    "hard_scores": lambda s, d: _with_all_ratios(s, d).select(*B.PAIR, F.round(P.hard_score(F.col("name_wratio"), F.col("address_wratio"), F.col("country_exact")), 6).alias("hard_score")),
+    "class_weights": lambda s, d: R.class_weights(P.label_pairs(flagship(s, d), X.truth_part(s, d))).select("label", "n", F.round("weight", 9).alias("weight")),
+    "tsv_scan": _tsv_scan,
+    "json_sink": _json_sink,
+    "index_tables": _index_tables,
     "cheap_prefilter": lambda s, d: P.cheap_prefilter(_pairs(s, d)).select(*B.PAIR),
     "cheap_prefilter_small_caps": lambda s, d: P.cheap_prefilter(_pairs(s, d), SMALL).select(*B.PAIR),
     "training_sample": lambda s, d: P.training_sample(_labelled(s, d)).select(*B.PAIR, "label"),
@@ -264,6 +300,7 @@ QUERIES = {
     "matches_output": lambda s, d: R.match_output(_sides(s, d)[0], R.top_predictions(_scored(s, d))),
     "train_and_score": train_and_score,
     "train_and_score_small_caps": lambda s, d: train_and_score(s, d, Config(trees=20, min_leaf=5)),
+    "train_and_score_leaves": lambda s, d: train_and_score(s, d, Config(trees=20, min_leaf=5, learner="leaves")),
     "linkage_run": linkage_run,
     "quick_eval": quick_eval,
     "checkpoint_counts": _checkpoint_counts,
@@ -410,6 +447,36 @@ def _features_sql() -> str:
   CAST(length(aa) AS INTEGER) AS address_len_a, CAST(length(ab) AS INTEGER) AS address_len_b FROM pairs JOIN sim n ON n.a = na AND n.b = nb JOIN sim d ON d.a = aa AND d.b = ab"""
 
 
+def _weighted_sql() -> str:
+    """The three ratios of the names and addresses of all pairs (a, b); partial ratios over windows only where one text is much longer."""
+    ratio = lambda a, b: f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE 2.0 * ({_lcs(a, b)}) / (length({a}) + length({b})) END"
+    strings = " UNION ".join(_token_set(a, b) for a, b in (("na", "nb"), ("aa", "ab")))
+    sort = lambda x: f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda w: w <> '')), ' ')"
+    return f"""{_blocking()}, two AS ({strings}),
+ sets AS (SELECT *, list_filter(wa, lambda w: list_contains(wb, w)) AS both_, list_filter(wa, lambda w: NOT list_contains(wb, w)) AS oa, list_filter(wb, lambda w: NOT list_contains(wa, w)) AS ob,
+   greatest(length(a), length(b)) / greatest(1, least(length(a), length(b))) AS spread FROM two),
+ txt AS (SELECT *, array_to_string(both_, ' ') AS t0, array_to_string(both_ || oa, ' ') AS t1, array_to_string(both_ || ob, ' ') AS t2, {sort("a")} AS sa, {sort("b")} AS sb FROM sets),
+ far AS (SELECT a, b, 0 AS k, a AS x, b AS y FROM txt WHERE spread >= 1.5 AND a <> '' AND b <> '' UNION SELECT a, b, 1, sa, sb FROM txt WHERE spread >= 1.5 AND a <> '' AND b <> '' AND len(both_) = 0
+   UNION SELECT a, b, 2, array_to_string(wa, ' '), array_to_string(wb, ' ') FROM txt WHERE spread >= 1.5 AND a <> '' AND b <> '' AND len(both_) = 0),
+ sided AS (SELECT a, b, k, x AS s, y AS l FROM far WHERE length(x) <= length(y) UNION SELECT a, b, k, y, x FROM far WHERE length(y) <= length(x)),
+ cut AS (SELECT a, b, k, s, substr(l, CAST(greatest(i, 0) + 1 AS BIGINT), CAST(length(s) + least(i, 0) AS BIGINT)) AS w FROM (SELECT *, unnest(range(1 - length(s), length(l))) AS i FROM sided)),
+ win AS (SELECT s, w, {ratio("s", "w")} AS r FROM (SELECT DISTINCT s, w FROM cut)),
+ part AS (SELECT a, b, max(r) FILTER (k = 0) AS whole, max(r) FILTER (k > 0) AS by_words FROM cut JOIN win USING (s, w) GROUP BY 1, 2),
+ sim AS (SELECT t.a, t.b, both_, spread, {ratio("t.a", "t.b")} AS r, CASE WHEN t.a = '' OR t.b = '' THEN 0.0 WHEN len(both_) > 0 AND (len(oa) = 0 OR len(ob) = 0) THEN 1.0 ELSE greatest({ratio("t1", "t2")}, {ratio("t0", "t1")}, {ratio("t0", "t2")}) END AS tr,
+   CASE WHEN spread < 1.5 THEN {ratio("sa", "sb")} END AS sr, p.whole, p.by_words FROM txt t LEFT JOIN part p ON p.a = t.a AND p.b = t.b),
+ w AS (SELECT a, b, r, tr, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN spread < 1.5 THEN greatest(r, 0.95 * greatest(sr, tr))
+   ELSE greatest(r, CASE WHEN spread <= 8 THEN 0.9 ELSE 0.6 END * whole, 0.95 * CASE WHEN spread <= 8 THEN 0.9 ELSE 0.6 END * CASE WHEN len(both_) > 0 THEN 1.0 ELSE by_words END) END AS wr FROM sim)"""
+
+
+def _all_features_sql() -> str:
+    return f"""{_weighted_sql()}
+ SELECT {_PAIRS}, CAST(ca <> '' AND cb <> '' AND ca = cb AS INTEGER) AS country_exact, CAST(ca = '' OR cb = '' AS INTEGER) AS country_missing, CAST(ca <> '' AND cb <> '' AND ca <> cb AS INTEGER) AS country_mismatch,
+  round(n.r, 6) AS name_ratio, round(n.tr, 6) AS name_token_ratio, round(n.wr, 6) AS name_wratio, CAST(na <> '' AND na = nb AS INTEGER) AS name_exact,
+  round(d.r, 6) AS address_ratio, round(d.tr, 6) AS address_token_ratio, round(d.wr, 6) AS address_wratio, CAST(aa <> '' AND aa = ab AS INTEGER) AS address_exact,
+  CAST(abs(length(na) - length(nb)) AS INTEGER) AS name_length_diff, CAST(abs(length(aa) - length(ab)) AS INTEGER) AS address_length_diff, CAST(length(na) AS INTEGER) AS name_len_a, CAST(length(nb) AS INTEGER) AS name_len_b,
+  CAST(length(aa) AS INTEGER) AS address_len_a, CAST(length(ab) AS INTEGER) AS address_len_b FROM pairs JOIN w n ON n.a = na AND n.b = nb JOIN w d ON d.a = aa AND d.b = ab"""
+
+
 def _prefilter_sql(c: Config) -> str:
     ratio = lambda a, b: f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE 2.0 * ({_lcs(a, b)}) / (length({a}) + length({b})) END"
     return f"""{_blocking()}, two AS (SELECT DISTINCT na AS a, nb AS b FROM pairs UNION SELECT DISTINCT aa, ab FROM pairs), sim AS (SELECT a, b, {ratio("a", "b")} AS r FROM two)
@@ -445,6 +512,12 @@ def _validation_sql(most: int) -> str:
  SELECT {_PAIRS}, label FROM pos UNION ALL SELECT {_PAIRS}, label FROM (SELECT * FROM labelled WHERE label = 0 QUALIFY row_number() OVER (ORDER BY {_KEY}, {_PAIRS}) <= 5 * (SELECT count(*) FROM pos))"""
 
 
+_INDEX_ROWS = f"""{_blocking()}, named AS (SELECT DISTINCT country_norm, name_norm, entity_id, source FROM tg WHERE country_norm <> '' AND name_norm <> ''),
+ short AS (SELECT DISTINCT country_norm, name_prefix, entity_id, source FROM tg WHERE country_norm <> '' AND name_prefix <> '')
+ SELECT 'exact' AS name, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT 1 FROM named QUALIFY row_number() OVER (PARTITION BY country_norm, name_norm ORDER BY md5(entity_id), entity_id, source) <= 50)
+ UNION ALL SELECT 'exact_sizes', CAST(count(DISTINCT (country_norm, name_norm)) AS BIGINT) FROM named
+ UNION ALL SELECT 'prefix', CAST(count(*) AS BIGINT) FROM (SELECT 1 FROM short QUALIFY row_number() OVER (PARTITION BY country_norm, name_prefix ORDER BY md5(entity_id), entity_id, source) <= {Config().quotas[2] + 20})
+ UNION ALL SELECT 'rare', CAST(count(*) AS BIGINT) FROM idx"""
 # one step for each request in order, with the names granted so far
 _SERVED = """WITH RECURSIVE req AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey, concat(c_mktsegment, CAST(c_custkey % 97 AS VARCHAR)) AS u, concat('m', CAST(c_custkey * 31 % 211 AS VARCHAR)) AS e FROM customer),
  s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS c_custkey, false AS bad_u, false AS bad_e, (SELECT list(concat('BUILDING', CAST(n_nationkey AS VARCHAR))) FROM nation) AS us, (SELECT list(concat('m', CAST(n_nationkey AS VARCHAR))) FROM nation) AS es
@@ -471,6 +544,12 @@ ORACLE = {
     "label_pairs": f"{_blocking()} SELECT {_PAIRS}, block_priority, label FROM labelled",
     "blocking_recall": f"{_blocking()} SELECT CAST(count(*) AS BIGINT) AS true_pairs, CAST(count(f.target_id) AS BIGINT) AS found_pairs, CAST(count(f.target_id) / count(*) AS DOUBLE) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT DISTINCT source1_id, target_id FROM final) f ON f.source1_id = t.source1_id AND f.target_id = t.target_id",
     "pair_features": _features_sql(),
+    "pair_features_full": _all_features_sql(),
+    "hard_scores": f"{_weighted_sql()} SELECT {_PAIRS}, round(0.5 * n.wr + 0.3 * d.wr + 0.2 * CAST(ca <> '' AND cb <> '' AND ca = cb AS INTEGER), 6) AS hard_score FROM pairs JOIN w n ON n.a = na AND n.b = nb JOIN w d ON d.a = aa AND d.b = ab",
+    "class_weights": f"{_blocking()} SELECT label, CAST(n AS BIGINT) AS n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM (SELECT label, count(*) AS n FROM labelled GROUP BY 1)",
+    "tsv_scan": _PART,
+    "json_sink": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(min(event_id) AS BIGINT) AS first FROM events GROUP BY 1",
+    "index_tables": _INDEX_ROWS,
     "cheap_prefilter": _prefilter_sql(Config()),
     "cheap_prefilter_small_caps": _prefilter_sql(SMALL),
     "training_sample": _training_sql(Config.max_positives),
