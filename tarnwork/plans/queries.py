@@ -188,6 +188,13 @@ def _typed(kind: str, table: str, **columns):
     return lambda s, d: conform(read_table(s, d, table).select(*[F.expr(e).alias(n) for n, e in columns.items()]), SCHEMAS[kind])
 
 
+def _varied_name():
+    """Names of no word to three, with blanks around and between them, and NULL."""
+    words = [F.lower("c_mktsegment"), F.split("c_name", "#")[0], F.lit("zed")]
+    kind = F.col("c_custkey") % 6
+    return F.when(kind == 0, F.lit("  ")).when(kind == 1, F.concat(F.lit(" "), words[0])).when(kind == 2, F.concat(words[0], F.lit("   "), words[1])).when(kind == 3, F.concat_ws(" ", *words)).when(kind == 4, F.lit("q"))
+
+
 def _with_all_ratios(spark, d):
     return P.features(_pairs(spark, d), arrow=True)
 
@@ -277,6 +284,7 @@ QUERIES = {
     "parse_truth": lambda s, d: E.parse_truth(_truth_rows(s, d)),
     "label_pairs": lambda s, d: P.label_pairs(flagship(s, d), X.truth_part(s, d)),
     "blocking_recall": lambda s, d: E.blocking_recall(flagship(s, d), X.truth_part(s, d)),
+    "blocking_recall_small_caps": lambda s, d: E.blocking_recall(flagship(s, d, SMALL), X.truth_part(s, d)),
     "pair_features": lambda s, d: P.features(_pairs(s, d), weighted=False).select(*B.PAIR, *[F.round(c, 6).alias(c) if c.endswith("ratio") else c for c in P.FEATURES if "wratio" not in c]),
     "pair_features_full": lambda s, d: _with_all_ratios(s, d).select(*B.PAIR, *[F.round(c, 6).alias(c) if c.endswith("ratio") else c for c in P.FEATURES]),
     "hard_scores": lambda s, d: _with_all_ratios(s, d).select(*B.PAIR, F.round(P.hard_score(F.col("name_wratio"), F.col("address_wratio"), F.col("country_exact")), 6).alias("hard_score")),
@@ -340,6 +348,7 @@ QUERIES = {
     "generated_keys": lambda s, d: L.with_keys(X.votes(s, d).select("ts", "event_id"), "id", "ts", "event_id").select("id", "event_id"),
     "quote_history": lambda s, d: L.listing(X.votes(s, d), F.desc("event_id")).select("event_id", F.concat(F.lit('"'), "item", F.lit('"')).alias("quote"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.date_format("ts", "dd MMM yyyy, hh:mm a").alias("shown_at")),
     "initials": lambda s, d: read_table(s, d, "customer").select("c_custkey", N.initials(F.concat_ws(" ", F.lower("c_mktsegment"), F.split("c_name", "#")[0])).alias("initials")),
+    "initials_varied": lambda s, d: read_table(s, d, "customer").select("c_custkey", N.initials(_varied_name()).alias("initials")),
     "json_extract": lambda s, d: read_table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object("props", "$.none").alias("missing")),
     "set_difference": lambda s, d: flagship(s, d).select("source1_id", "target_id").distinct().exceptAll(X.truth_part(s, d).distinct()),
     "set_intersection": lambda s, d: flagship(s, d).select("source1_id", "target_id").intersect(X.truth_part(s, d)),
@@ -543,6 +552,7 @@ ORACLE = {
     "parse_truth": f"WITH {_TRUTH} SELECT DISTINCT source1_id, target_id FROM truth",
     "label_pairs": f"{_blocking()} SELECT {_PAIRS}, block_priority, label FROM labelled",
     "blocking_recall": f"{_blocking()} SELECT CAST(count(*) AS BIGINT) AS true_pairs, CAST(count(f.target_id) AS BIGINT) AS found_pairs, CAST(count(f.target_id) / count(*) AS DOUBLE) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT DISTINCT source1_id, target_id FROM final) f ON f.source1_id = t.source1_id AND f.target_id = t.target_id",
+    "blocking_recall_small_caps": f"{_blocking(SMALL)} SELECT CAST(count(*) AS BIGINT) AS true_pairs, CAST(count(f.target_id) AS BIGINT) AS found_pairs, CAST(count(f.target_id) / count(*) AS DOUBLE) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT DISTINCT source1_id, target_id FROM final) f ON f.source1_id = t.source1_id AND f.target_id = t.target_id",
     "pair_features": _features_sql(),
     "pair_features_full": _all_features_sql(),
     "hard_scores": f"{_weighted_sql()} SELECT {_PAIRS}, round(0.5 * n.wr + 0.3 * d.wr + 0.2 * CAST(ca <> '' AND cb <> '' AND ca = cb AS INTEGER), 6) AS hard_score FROM pairs JOIN w n ON n.a = na AND n.b = nb JOIN w d ON d.a = aa AND d.b = ab",
@@ -601,6 +611,7 @@ ORACLE = {
     "generated_keys": "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS id, event_id FROM events",
     "quote_history": "SELECT event_id, concat('\"', event_type, '\"') AS quote, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(ts, '%d %b %Y, %I:%M %p') AS shown_at FROM events",
     "initials": "SELECT c_custkey, upper(substr(c_mktsegment, 1, 1) || substr(c_name, 1, 1)) AS initials FROM customer",
+    "initials_varied": "SELECT c_custkey, CASE c_custkey % 6 WHEN 1 THEN upper(substr(c_mktsegment, 1, 2)) WHEN 2 THEN upper(substr(c_mktsegment, 1, 1) || substr(c_name, 1, 1)) WHEN 3 THEN upper(substr(c_mktsegment, 1, 1)) || 'Z' WHEN 4 THEN 'Q' ELSE '' END AS initials FROM customer",
     "json_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing FROM events",
     "set_difference": f"{_blocking()} SELECT source1_id, target_id FROM final EXCEPT SELECT source1_id, target_id FROM truth",
     "set_intersection": f"{_blocking()} SELECT source1_id, target_id FROM final INTERSECT SELECT source1_id, target_id FROM truth",
