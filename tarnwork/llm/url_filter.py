@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PER_INDEX = 20_000_000
 #: Fixed values of the query's rules: (verdict, host, path prefix).
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 DEFAULT = "allow"
 _open: dict[str, tuple] = {}
 
