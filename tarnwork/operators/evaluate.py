@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tarnwork.config import Config
+from tarnwork.operators.pairs import TruthClasses, label_pairs
 
 
 def parse_truth(raw: DataFrame) -> DataFrame:
@@ -13,16 +14,32 @@ def parse_truth(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("source1_entity_id").alias("source1_id"), F.explode(parse_match_list(F.col("matched_entity_ids"))).alias("target_id"))
 
 
-def blocking_recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
+def _hits(pairs: DataFrame, truth: DataFrame | TruthClasses) -> DataFrame:
+    """One row: distinct true pairs, distinct ``pairs``, and how many are both."""
+    given = pairs.select("source1_id", "target_id").distinct()
+    if isinstance(truth, TruthClasses):
+        found = label_pairs(given, truth).agg(F.count(F.lit(1)).cast("bigint").alias("given"), F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("found"))
+        return truth.n_pairs().crossJoin(F.broadcast(found))
+    true = truth.select("source1_id", "target_id").distinct().withColumn("t", F.lit(1))
+    n = lambda c: F.count_if(c).cast("bigint")
+    both = F.col("p").isNotNull() & F.col("t").isNotNull()
+    return given.withColumn("p", F.lit(1)).join(true, ["source1_id", "target_id"], "full").agg(n(F.col("t").isNotNull()).alias("true_pairs"), n(F.col("p").isNotNull()).alias("given"), n(both).alias("found"))
+
+
+def blocking_recall(candidates: DataFrame, truth: DataFrame | TruthClasses) -> DataFrame:
     """One row. Recall is 0 without candidates, else 1 without true pairs."""
-    true = truth.select("source1_id", "target_id").distinct()
-    found = candidates.select("source1_id", "target_id").distinct().withColumn("hit", F.lit(1))
-    some = candidates.select(F.lit(1).alias("x")).limit(1).agg(F.count("x").alias("some"))
-    sums = true.join(found, ["source1_id", "target_id"], "left").agg(
-        F.count(F.lit(1)).cast("bigint").alias("true_pairs"), F.coalesce(F.sum("hit"), F.lit(0)).cast("bigint").alias("found_pairs")
-    )
-    recall = F.when(F.col("some") == 0, 0.0).when(F.col("true_pairs") == 0, 1.0).otherwise(F.try_divide("found_pairs", "true_pairs"))
-    return sums.crossJoin(F.broadcast(some)).select("true_pairs", "found_pairs", recall.cast("double").alias("recall"))
+    recall = F.when(F.col("given") == 0, 0.0).when(F.col("true_pairs") == 0, 1.0).otherwise(F.try_divide("found", "true_pairs"))
+    return _hits(candidates, truth).select("true_pairs", F.col("found").alias("found_pairs"), recall.cast("double").alias("recall"))
+
+
+def missing_from(pairs: DataFrame, truth: DataFrame | TruthClasses) -> DataFrame:
+    """Distinct (source1_id, target_id) of ``pairs`` that are not true."""
+    return label_pairs(pairs.select("source1_id", "target_id").distinct(), truth).filter("label = 0").drop("label")
+
+
+def found_in(pairs: DataFrame, truth: DataFrame | TruthClasses) -> DataFrame:
+    """Distinct (source1_id, target_id) of ``pairs`` that are true."""
+    return label_pairs(pairs.select("source1_id", "target_id").distinct(), truth).filter("label = 1").drop("label")
 
 
 def _f_half(p, r):
@@ -62,14 +79,9 @@ def select_threshold(sweep: DataFrame, config: Config = Config(), quick: bool =
     return sweep.orderBy(*order).limit(1)
 
 
-def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+def confusion(predicted: DataFrame, truth: DataFrame | TruthClasses) -> DataFrame:
     """tp, fp and fn of distinct pairs, with zero-safe precision, recall and F0.5."""
-    pred = predicted.select("source1_id", "target_id").distinct().withColumn("p", F.lit(1))
-    true = truth.select("source1_id", "target_id").distinct().withColumn("t", F.lit(1))
-    n = lambda c: F.count_if(c).cast("bigint")
-    sums = pred.join(true, ["source1_id", "target_id"], "full").agg(
-        n(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), n(F.col("t").isNull()).alias("fp"), n(F.col("p").isNull()).alias("fn")
-    )
+    sums = _hits(predicted, truth).select(F.col("found").alias("tp"), (F.col("given") - F.col("found")).alias("fp"), (F.col("true_pairs") - F.col("found")).alias("fn"))
     out = sums.withColumns({
         "precision": F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)),
         "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0)),

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwork.operators import evaluate as E
 from tarnwork.operators import pairs as P
 from tarnwork.operators import select
 from tarnwork.operators.select import md5_keys, top_n
@@ -62,3 +63,21 @@ def test_md5_keys(spark):
     rows = spark.range(500).select(F.concat(F.lit("a|"), F.col("id").cast("string")).alias("t"))
     ordered = [r.t for r in rows.orderBy(F.md5("t")).collect()]
     assert [r.t for r in rows.orderBy(*md5_keys(F.col("t"))).collect()] == ordered
+
+
+def test_truth_by_classes_makes_no_pairs(spark):
+    """Ids of several classes, repeated rows, ids of one side only: the same as truth by pairs; one class of 20,000 x 20,000 costs its ids."""
+    a = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 3), ("d", 1), ("d", 2), ("d", 2), ("e", 9)], "source1_id string, class int")
+    b = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 2), ("z", 3), ("u", 8)], "target_id string, class int")
+    classes, truth = P.TruthClasses(a, b), a.join(b, "class").drop("class")
+    pairs = spark.createDataFrame([(s, t, n) for n, (s, t) in enumerate([("a", "x"), ("a", "y"), ("a", "y"), ("b", "y"), ("c", "z"), ("d", "u"), ("q", "x"), ("e", "q")])], "source1_id string, target_id string, n int")
+    for found in (pairs, pairs.limit(0)):
+        assert sorted(P.label_pairs(found, classes).collect()) == sorted(P.label_pairs(found, truth).select(*pairs.columns, "label").collect())
+        assert E.blocking_recall(found, classes).collect() == E.blocking_recall(found, truth).collect()
+        assert E.confusion(found, classes).collect() == E.confusion(found, truth).collect()
+        assert sorted(E.missing_from(found, classes).collect()) == sorted(E.missing_from(found, truth).collect())
+        assert sorted(E.found_in(found, classes).collect()) == sorted(E.found_in(found, truth).collect())
+    none = P.TruthClasses(a.limit(0), b)
+    assert E.blocking_recall(pairs, none).first() == (0, 0, 1.0)
+    big = P.TruthClasses(*[spark.range(20_000).select(F.col("id").cast("string").alias(k), F.lit(1).alias("class")) for k in ("source1_id", "target_id")])
+    assert E.blocking_recall(pairs, big).first().true_pairs == 400_000_000
