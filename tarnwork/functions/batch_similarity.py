@@ -256,6 +256,12 @@ def token_set_ratios(a: pa.Array, b: pa.Array) -> np.ndarray:
     return token_set(Words(a, b))[which]
 
 
+def two_ratios(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(plain, token-set) ratio of each pair."""
+    a, b, which = _distinct(a, b)
+    return indel(Texts(a), Texts(b))[which], token_set(Words(a, b))[which]
+
+
 def all_ratios(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(plain, token-set, weighted) ratio of each pair."""
     a, b, which = _distinct(a, b)

@@ -154,3 +154,9 @@ def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def all_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The three ratios in one pass over the texts."""
     return pd.DataFrame(dict(zip(("ratio", "token_ratio", "wratio"), batch.all_ratios(_arrow(a), _arrow(b)))))
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("ratio", "token_ratio")]))
+def two_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The ratios but the weighted one in one pass over the texts."""
+    return pd.DataFrame(dict(zip(("ratio", "token_ratio"), batch.two_ratios(_arrow(a), _arrow(b)))))

@@ -267,3 +267,19 @@ def test_sql_functions(spark):
     want = spark.table(name).select("x", N.normalize_text(F.col("x")).alias("t"), N.normalize_name(F.col("x")).alias("n"), N.normalize_address(F.col("x")).alias("a"), N.normalize_country(F.col("x")).alias("c")).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert sorted(r[0] for r in spark.sql("SELECT token FROM name_tokens('acme ltd blue acme x', 4)").collect()) == ["acme", "blue"]
+
+
+def test_features_without_the_weighted_ratio(spark):
+    """pair_features computes its ratios in Arrow: no fold over characters in the plan, the same values."""
+    from tarnwork.operators import pairs as P
+
+    texts = [("red bolt", "red bolt"), ("red bolt", "bolt red x"), ("", "a"), ("kitten", "sitting"), ("a b c", "c d"), ("x" * 70, "x" * 69 + "y")]
+    row = lambda s: {f"{f}_norm_{s}": "" for f in ("name", "address", "country")}
+    df = spark.createDataFrame([{**row("a"), **row("b"), "name_norm_a": x, "name_norm_b": y, "address_norm_a": y, "address_norm_b": x} for x, y in texts])
+    new, old = P.features(df, arrow=True, weighted=False), P.features(df, weighted=False)
+    assert new.columns == old.columns and "wratio" not in str(new.columns)
+    for r, q in zip(sorted(new.collect()), sorted(old.collect())):
+        assert [round(v, 9) if isinstance(v, float) else v for v in r] == [round(v, 9) if isinstance(v, float) else v for v in q]
+    from tarnwork.plans import QUERIES
+
+    assert "two_ratios" in QUERIES["pair_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
