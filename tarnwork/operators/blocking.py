@@ -9,6 +9,7 @@ counted beforehand, over all rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -19,6 +20,9 @@ from tarnwork.storage import stored
 
 PAIR = ["source1_id", "target_id", "target_source"]
 NO_DF = 999_999_999
+#: Sources whose pairs one task merges and ranks, and pairs that one task of a whole exact join makes.
+SOURCES_A_TASK = 5_000
+PAIRS_A_TASK = 4_000_000
 
 
 def tokens(entities: DataFrame, config: Config = Config()) -> DataFrame:
@@ -119,10 +123,34 @@ def _sources(source1: DataFrame, key: str) -> DataFrame:
     return source1.filter((F.col("country_norm") != "") & (F.col(key) != "")).select(F.col("entity_id").alias("source1_id"), "country_norm", key)
 
 
+def parts(source1: DataFrame) -> int:
+    """Partitions by source, as many as keep a task's rows bounded however many sources there are. A number, since what is dealt without one is put together again by bytes."""
+    rows = source1.count()
+    return max(1, math.ceil(rows / SOURCES_A_TASK), min(int(source1.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 500)))
+
+
 def exact_block(source1: DataFrame, exact: DataFrame) -> DataFrame:
     return _sources(source1, "name_norm").join(exact, ["country_norm", "name_norm"]).select(*PAIR)
 
 
+def exact_block_whole(source1: DataFrame, exact: DataFrame, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
+    """:func:`exact_block` on whole buckets, whose pairs grow as sources times targets: the sources of a large
+    bucket are dealt to several tasks, which each get its targets. Both sides are read twice: stored tables."""
+    keys = ["country_norm", "name_norm"]
+    a = _sources(source1, "name_norm")
+    size = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    n_pairs = F.col("n_a") * F.col("n_b")
+    # no more parts than sources; half of what a task may make, so that groups fit in beside each other
+    dealt = F.least(F.ceil(n_pairs / F.lit(max(1, pairs_a_task // 2))), F.col("n_a")).cast("int")
+    sizes = stored(size(a, "n_a").join(size(exact, "n_b"), keys).select(*keys, n_pairs.alias("n_pairs"), dealt.alias("dealt")), "sizes")
+    n = max(1, math.ceil((sizes.agg(F.sum("n_pairs")).first()[0] or 0) / pairs_a_task))
+    n = max(n, min(int(source1.sparkSession.conf.get("spark.sql.shuffle.partitions")), sizes.count()))
+    left = a.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("source1_id"), F.col("dealt")).cast("int"))
+    right = exact.join(sizes, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
+    deal = lambda df, *columns: df.select(*keys, "part", *columns).repartition(n, *keys, "part")
+    return deal(left, "source1_id").join(deal(right, "target_id", "target_source"), [*keys, "part"]).select(*PAIR)
+
+
 def exact_counts(source1: DataFrame, exact_sizes: DataFrame, exact: DataFrame) -> DataFrame:
     """(source1_id, exact_count, exact_ids) of the source1 ids with a match: pairs as rows, and distinct ones."""
     rows = _sources(source1, "name_norm").groupBy("source1_id", "country_norm", "name_norm").agg(F.count(F.lit(1)).alias("times")).join(exact_sizes, ["country_norm", "name_norm"])
@@ -143,7 +171,7 @@ def rare_block(source1: DataFrame, rare: DataFrame, exact: DataFrame, counts: Da
     pairs = tokens(gated, config).withColumnRenamed("entity_id", "source1_id").join(rare, ["country_norm", "token"]).select(*PAIR, "token_df", F.lit(False).alias("exact"))
     found = exact_block(gated, exact).select(*PAIR, F.lit(NO_DF).cast("bigint").alias("token_df"), F.lit(True).alias("exact"))  # fewer than fallback_below a source
     # dealt by source once: the marks of exact pairs, the least frequency of each pair and the ranks all lie within a source
-    dealt = pairs.unionByName(found).repartition("source1_id")
+    dealt = pairs.unionByName(found).repartition(parts(source1), "source1_id")
     new = dealt.withColumn("exact", F.max("exact").over(Window.partitionBy("source1_id", "target_id"))).filter("NOT exact").groupBy(*PAIR).agg(F.min("token_df").alias("token_df"))
     rank = Window.partitionBy("source1_id").orderBy("token_df", F.md5("target_id"), "target_id", "target_source")
     return new.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= config.rare_rank_limit).drop("rn")
@@ -169,7 +197,7 @@ def candidates(source1: DataFrame, targets: DataFrame | None, config: Config = C
         exact_block(source1, index.exact).select(*PAIR, F.lit(1).alias("block_priority"), F.lit(0).cast("bigint").alias("token_df"))
         .unionByName(rare.select(*PAIR, F.lit(2).alias("block_priority"), "token_df"))
         .unionByName(prefix_block(source1, index.prefix, counts, rare, config).select(*PAIR, F.lit(3).alias("block_priority"), F.lit(NO_DF).cast("bigint").alias("token_df")))
-        .repartition("source1_id")  # the one exchange of the merge: pairs, quotas and ranks lie within a source, of which each stage gives a bounded number
+        .repartition(parts(source1), "source1_id")  # the one exchange of the merge: pairs, quotas and ranks lie within a source, of which each stage gives a bounded number
         .groupBy(*PAIR).agg(F.min("block_priority").alias("block_priority"), F.min("token_df").alias("token_df"))
     )
     by_stage = Window.partitionBy("source1_id", "block_priority").orderBy("token_df", F.md5("target_id"), "target_id", "target_source")

@@ -269,6 +269,25 @@ def test_sql_functions(spark):
     assert sorted(r[0] for r in spark.sql("SELECT token FROM name_tokens('acme ltd blue acme x', 4)").collect()) == ["acme", "blue"]
 
 
+def test_whole_exact_buckets_are_dealt_out(spark):
+    """A bucket of 60 x 60 pairs goes to many tasks of at most 100 pairs and a few; pairs and repeated rows are those of the plain join."""
+    side = lambda n, source: spark.range(n).selectExpr("CAST(id AS STRING) AS entity_id", f"'{source}' AS source", "IF(id < 60, 'hot', 'n' || id % 9) AS name_norm", "'X' AS country_norm")
+    a, b = side(90, "source1"), side(80, "source2")
+    a, targets = a.union(a.filter("entity_id = '7'")), b.unionByName(b.limit(0))
+    exact = blocking.bucket(targets, "name_norm", None)
+    out = blocking.exact_block_whole(a, exact, 100)
+    assert sorted(out.collect()) == sorted(blocking.exact_block(a, exact).collect())
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 15 and max(sizes) < 1000
+    assert blocking.exact_block_whole(a.limit(0), exact).count() == 0
+
+
+def test_tasks_by_source_stay_bounded(spark):
+    """More sources make more partitions, not larger ones."""
+    rows = lambda n: spark.range(n).selectExpr("CAST(id AS STRING) AS entity_id")
+    assert blocking.parts(rows(0)) == 1 and blocking.parts(rows(900)) == 2 and blocking.parts(rows(300_001)) == 61
+
+
 def test_features_without_the_weighted_ratio(spark):
     """pair_features computes its ratios in Arrow: no fold over characters in the plan, the same values."""
     from tarnwork.operators import pairs as P
