@@ -8,7 +8,9 @@ over the rows gathers the sums below all open leaves at once (the left child; th
 the rest), so a tree takes about as many passes as it is deep, not one for each split.
 
 Sums are integers (gradients in units of 2**-24), so they do not depend on the order in which
-tasks end, and neither do the trees. Rows carry their margin, brought up to date in a new table
+tasks end, and neither do the trees. Rows that are equal in all bins and the label are one row
+with their number from the start: they stay together in every tree, and n times an integer
+is what n rows add up to, so the trees are the same. Rows carry their margin, brought up to date in a new table
 every ``REFRESH`` trees; between them tasks apply the few trees since.
 
 Missing and NaN values go with the largest. ValueError if only one class is present.
@@ -164,7 +166,7 @@ def _cuts(rows: DataFrame, columns: list[str]) -> list[list[float]]:
 
 
 def _binned(rows: DataFrame, model: Model, weights: dict[int, float]) -> DataFrame:
-    """(bins, label, weight, margin)"""
+    """(bins, label, weight, margin, n), a row of each pair."""
 
     def work(batches):
         for batch in batches:
@@ -172,9 +174,14 @@ def _binned(rows: DataFrame, model: Model, weights: dict[int, float]) -> DataFra
             values = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]], 1)
             bins = pa.FixedSizeBinaryArray.from_buffers(pa.binary(values.shape[1]), len(values), [None, pa.py_buffer(model.bins(values).tobytes())]).cast(pa.binary())
             weight = np.where(label == 1, weights[1], weights[0])
-            yield pa.RecordBatch.from_arrays([bins, pa.array(label), pa.array(weight), pa.array(np.full(len(label), model.start))], names=["bins", "label", "weight", "margin"])
+            yield pa.RecordBatch.from_arrays([bins, pa.array(label), pa.array(weight), pa.array(np.full(len(label), model.start)), pa.array(np.ones(len(label), np.int64))], names=["bins", "label", "weight", "margin", "n"])
 
-    return rows.select(F.col("label").cast("long"), *[F.col(c).cast("double") for c in model.columns]).mapInArrow(work, "bins binary, label long, weight double, margin double")
+    return rows.select(F.col("label").cast("long"), *[F.col(c).cast("double") for c in model.columns]).mapInArrow(work, "bins binary, label long, weight double, margin double, n long")
+
+
+def _collapsed(binned: DataFrame) -> DataFrame:
+    """Equal rows once, with their number ``n``."""
+    return binned.groupBy("bins", "label", "weight", "margin").agg(F.sum("n").alias("n"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -199,9 +206,9 @@ def _gather(table: DataFrame, since: list[Tree], tree: Tree, asks: list[tuple[in
             ask = ask_of[tree.leaf_of(bins)]
             mine = np.flatnonzero((ask >= 0) & (bins[np.arange(len(bins)), feature[ask]] <= cut[ask]))
             p = 1 / (1 + np.exp(-margin[mine]))
-            w, y = batch.column(2).to_numpy()[mine], batch.column(1).to_numpy()[mine]
+            w, y, n = (batch.column(c).to_numpy()[mine] for c in (2, 1, 4))
             slot = ((ask[mine][:, None] * width + np.arange(width)) * BINS + bins[mine]).ravel()
-            for k, x in enumerate((np.rint(w * (p - y) * UNIT), np.rint(w * p * (1 - p) * UNIT), np.ones(len(mine)))):
+            for k, x in enumerate((n * np.rint(w * (p - y) * UNIT), n * np.rint(w * p * (1 - p) * UNIT), n)):
                 sums[:, k] += np.bincount(slot, np.repeat(x, width), len(asks) * width * BINS).astype(np.int64).reshape(len(asks), width, BINS)
         yield pa.RecordBatch.from_pydict({"ask": pa.array(range(len(asks)), pa.int32()), "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
 
@@ -222,7 +229,7 @@ def _moved(table: DataFrame, trees: list[Tree], width: int) -> DataFrame:
             bins, margin = _matrix(batch.column(0), width), batch.column(3).to_numpy()
             for t in trees:
                 margin = margin + t.margin(bins)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(margin)], names=["bins", "label", "weight", "margin"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(margin), batch.column(4)], names=["bins", "label", "weight", "margin", "n"])
 
     return table.mapInArrow(work, table.schema)
 
@@ -234,7 +241,7 @@ def train(rows: DataFrame, config: Config, columns: list[str]) -> Model:
         raise ValueError("training needs both classes")
     weights = {k: sum(sizes.values()) / (2 * n) for k, n in sizes.items()}  # both classes weigh the same, so the margin starts at 0
     model = Model(list(columns), _cuts(rows, list(columns)), 0.0, [])
-    table, since, width = stored(_binned(rows, model, weights), "binned"), [], len(model.columns)
+    table, since, width = stored(_collapsed(_binned(rows, model, weights)), "binned"), [], len(model.columns)
     for _ in range(config.trees):
         tree = grow(lambda t, asks: _gather(table, since, t, asks, width), config)
         model.trees.append(tree)

@@ -122,3 +122,15 @@ def test_held_out_beside_the_other_learner(spark):
         sweep = E.threshold_sweep(R.score(model, held).select("label", "probability"), Config.thresholds)
         best[learner] = max(r.f05 for r in sweep.collect())
     assert best["leaves"] > 0.85 and best["leaves"] > best["depth"] - 0.02, best
+
+
+def test_equal_rows_are_one_row_with_their_number(spark, monkeypatch):
+    """The same trees as from all rows, from a table that holds each distinct row once."""
+    rows = spark.range(4000).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b", "CAST((id % 7) * (id % 11) % 5 < 2 AS INT) AS label")
+    held, real = [], boosting._collapsed
+    monkeypatch.setattr(boosting, "_collapsed", lambda df: held.append(real(df)) or held[-1])
+    config = Config(trees=3, min_leaf=20, learner="leaves")
+    few = boosting.train(rows, config, ["a", "b"])
+    assert held[0].count() == 77 and held[0].agg(F.sum("n")).first()[0] == 4000
+    monkeypatch.setattr(boosting, "_collapsed", lambda df: df)
+    assert boosting.train(rows, config, ["a", "b"]).to_json() == few.to_json()
