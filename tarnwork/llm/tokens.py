@@ -3,8 +3,9 @@
 A tokenizer of the kind that :mod:`tarnwork.llm.packing` names only folds case and white space
 and never joins tokens across its words, so equal words have equal ids. Texts of its plain
 characters are lower-cased and cut into words on their UTF-8 bytes, a chunk of texts at a time;
-Arrow finds the distinct words, and each is tokenized once. All other texts, and all texts under
-another tokenizer, go to the tokenizer whole.
+Arrow finds the distinct words, each goes to the tokenizer's model once, and Arrow puts the
+texts' ids together. All other texts, and all texts under another tokenizer, go to the tokenizer
+whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import pyarrow as pa
 from tarnwork.llm import packing
 from tarnwork.llm.common import chunks
 
-TOGETHER = 1000
 SPACE, LETTER, DIGIT, OTHER, BAD = range(5)
 
 
@@ -42,6 +42,16 @@ _LOWER_C3[0x80:0x9F] += 32
 _LOWER_C3[0x97] = 0x97
 
 
+def _spelled() -> dict[int, int]:
+    """The character by which a byte-level tokenizer spells each byte: printable ones stay, the others are numbered from 256 on."""
+    stay = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in stay]
+    return {b: b for b in stay} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_SPELLED = _spelled()
+
+
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all words, where each word begins in them and the total, first word of each text and the total, which texts are plain)."""
     low, n = _LOWER[data], len(data)
@@ -87,25 +97,25 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, _, self.simple = packing._tokenizer(path)
+        self.model = self.tokenizer.model
         self.path = path
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > packing.CACHE_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            self.known.update(zip(some, self._tokenized(some)))
+        if new:
+            self.known.update(zip(new, self._tokenized(new)))
         return list(map(self.known.__getitem__, words))
 
-    def _tokenized(self, words: list[str]) -> list[bytes]:
-        """Ids of words; as one text with blanks between them, which the tokenizer cuts at the same places."""
-        together = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        owner = np.array(together.word_ids, np.int64)
-        if not len(owner) or owner[-1] + 1 != len(words):
-            return [packing._pack_ids(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        raw, cuts = packing._pack_ids(together.ids), (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+    def _tokenized(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are cut and folded already: the tokenizer's model gets them as its byte-level step would spell them."""
+        flat, cuts, tokenize = [], [0], self.model.tokenize
+        for w in words:
+            flat += [t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_SPELLED))]
+            cuts.append(4 * len(flat))
+        raw = packing._pack_ids(flat)
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,41 +133,25 @@ class Encoder:
             whole = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in packing.encode([t or "" for t in texts.to_pylist()], self.path)]
             return np.concatenate(whole), np.array([len(x) for x in whole])
         text, begins, first, plain = cut(data, offsets)
-        rows = len(offsets) - 1
-        if plain.all():
-            keep = None
-        else:  # the words of other texts are left out
-            keep = np.repeat(plain, np.diff(first))
+        n_words = np.diff(first)
         words = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())])
-        if keep is not None:
-            words = words.filter(pa.array(keep))
+        if not plain.all():  # the words of other texts are left out
+            words = words.filter(pa.array(np.repeat(plain, n_words)))
         coded = words.dictionary_encode()
-        found = self._ids_of(coded.dictionary.cast(pa.string()).to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        which = coded.indices.to_numpy()
-        n = size[which]
-        # tokens of each text, and the end token behind them
-        per_word = np.zeros(len(begins) - 1, np.int64)
-        per_word[slice(None) if keep is None else keep] = n
-        total = np.concatenate([[0], np.cumsum(per_word)])
-        per_text = total[first[1:]] - total[first[:-1]]
-        whole = {int(r): np.array(self.tokenizer.encode(texts[int(r)].as_py(), add_special_tokens=False).ids, np.uint32) for r in np.flatnonzero(~plain)}
-        for r, ids in whole.items():
-            per_text[r] = len(ids)
-        starts = np.cumsum(per_text + 1) - (per_text + 1)
-        out = np.empty(int((per_text + 1).sum()), np.uint32)
-        out[starts + per_text] = end
-        if len(which):
-            owner = np.repeat(np.arange(rows), np.diff(first))
-            owner = owner if keep is None else owner[keep]
-            into = (np.cumsum(n) - n) - (total[first[:-1]] - starts)[owner]
-            begin = np.cumsum(size) - size
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(into, n) + step] = flat[np.repeat(begin[which], n) + step]
-        for r, ids in whole.items():
-            out[starts[r] : starts[r] + len(ids)] = ids
-        return out, per_text + 1
+        found = self._ids_of(coded.dictionary.to_pylist())
+        others = np.flatnonzero(~plain)
+        whole = [packing._pack_ids(self.tokenizer.encode(texts[int(r)].as_py(), add_special_tokens=False).ids) for r in others]
+        # what the texts are put together from: ids of words, of whole texts, and the end token
+        pieces = pa.array([*found, *whole, packing._pack_ids([end])], pa.large_binary())
+        stop = np.cumsum(np.where(plain, n_words, 1) + 1)
+        order, of_word = np.empty(stop[-1], np.int64), np.ones(stop[-1], bool)
+        order[stop - 1] = len(pieces) - 1
+        order[stop[others] - 2] = len(found) + np.arange(len(others))
+        of_word[stop - 1] = of_word[stop[others] - 2] = False
+        order[of_word] = coded.indices.to_numpy()
+        _, places, ids = pieces.take(pa.array(order)).buffers()
+        place = np.frombuffer(places, np.int64, len(order) + 1)[np.append(0, stop)] // 4
+        return np.frombuffer(ids, "<u4", place[-1]), np.diff(place)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -183,6 +183,21 @@ def test_encoder():
     assert [len(x) for x in encode(pa.array([], pa.string()), 2)] == [0, 1]
 
 
+def test_plain_words_go_to_the_model_alone():
+    """Every plain character alone and in words, as the whole tokenizer codes them, and nothing goes to that again."""
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_file()
+    whole, encode = Tokenizer.from_file(path), Encoder(path)
+    chars = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA1, 0x100)]]
+    texts = [*chars, *[f"ab{c}Cd {c}{c} it's{c}" for c in chars], "", "plain words, plain words"]
+    expected = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+    encode.tokenizer = None  # only texts that are not plain may need it
+    ids, begins = encode(pa.array(texts), 2)
+    assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == expected
+
+
 def test_token_file_ranges(spark):
     """Any range of ids is read from its blocks; a file of another kind is refused; the files are smaller than plain 16-bit ids."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
