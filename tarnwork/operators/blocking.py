@@ -20,7 +20,7 @@ from tarnwork.storage import stored
 
 PAIR = ["source1_id", "target_id", "target_source"]
 NO_DF = 999_999_999
-#: Sources whose pairs one task merges and ranks, and pairs that one task of a whole exact join makes.
+#: Sources (or targets) whose pairs one task merges, ranks or labels, and pairs that one task of a whole exact join makes.
 SOURCES_A_TASK = 5_000
 PAIRS_A_TASK = 4_000_000
 
@@ -123,10 +123,10 @@ def _sources(source1: DataFrame, key: str) -> DataFrame:
     return source1.filter((F.col("country_norm") != "") & (F.col(key) != "")).select(F.col("entity_id").alias("source1_id"), "country_norm", key)
 
 
-def parts(source1: DataFrame) -> int:
-    """Partitions by source, as many as keep a task's rows bounded however many sources there are. A number, since what is dealt without one is put together again by bytes."""
-    rows = source1.count()
-    return max(1, math.ceil(rows / SOURCES_A_TASK), min(int(source1.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 500)))
+def parts(entities: DataFrame) -> int:
+    """Partitions by entity (source or target), as many as keep a task's rows bounded however many there are. A number, since what is dealt without one is put together again by bytes."""
+    rows = entities.count()
+    return max(1, math.ceil(rows / SOURCES_A_TASK), min(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 500)))
 
 
 def exact_block(source1: DataFrame, exact: DataFrame) -> DataFrame:
