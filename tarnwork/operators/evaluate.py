@@ -14,6 +14,19 @@ def parse_truth(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("source1_entity_id").alias("source1_id"), F.explode(parse_match_list(F.col("matched_entity_ids"))).alias("target_id"))
 
 
+def truth_by_lists(raw: DataFrame) -> TruthClasses:
+    """Truth as written by classes: sources with equal lists share one, and each list is taken apart once.
+
+    A class is the digest of its sorted ids. Sources without an id in their list are left out.
+    """
+    from tarnwork.functions.normalize import parse_match_list
+
+    ids = F.array_join(F.array_sort(parse_match_list(F.col("matched_entity_ids"))), ",")  # no id holds a comma
+    lists = raw.select(F.col("source1_entity_id").alias("source1_id"), ids.alias("ids")).filter("ids <> ''").withColumn("class", F.sha2("ids", 256))
+    targets = lists.select("class", "ids").dropDuplicates(["class"]).select(F.explode(F.split("ids", ",")).alias("target_id"), "class")
+    return TruthClasses(lists.select("source1_id", "class").distinct(), targets)
+
+
 def _hits(pairs: DataFrame, truth: DataFrame | TruthClasses) -> DataFrame:
     """One row: distinct true pairs, distinct ``pairs``, and how many are both."""
     given = pairs.select("source1_id", "target_id").distinct()

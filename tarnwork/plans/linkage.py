@@ -85,7 +85,7 @@ def _bucketed(spark: SparkSession, work: str, table: str, keys: tuple[str, ...],
 
 
 def prepare(spark: SparkSession, inputs: dict[str, str], work: str, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source1, targets, truth) as tables; ``inputs`` names the TSV of each source and of the truth."""
+    """(source1, targets, true pairs) as tables; ``inputs`` names the TSV of each source and of the truth, which is kept by classes (:func:`truth_classes`)."""
     prints = fingerprints(spark, inputs, config)
     entities = lambda source: normalize_entities(read_tsv(spark, inputs[source]), source, config)
     source1 = _bucketed(spark, work, "source1", ("entity_id",), prints["source1"], lambda: entities("source1"))
@@ -93,9 +93,20 @@ def prepare(spark: SparkSession, inputs: dict[str, str], work: str, config: Conf
         step(spark, f"{work}/entities/{source}", prints[source], lambda path, source=source: write_parquet(entities(source), path))
     whole = lambda: combine_targets(*[spark.read.parquet(f"{work}/entities/{s}") for s in SOURCES[1:]])
     targets = _bucketed(spark, work, "targets", ("entity_id", "source"), prints["targets"], whole)
-    truth = lambda: E.parse_truth(require_columns(read_tsv(spark, inputs["truth"], TRUTH_COLUMNS), TRUTH_COLUMNS)).distinct()
-    step(spark, f"{work}/entities/truth", prints["truth"], lambda path: write_parquet(truth(), path))
-    return source1, targets, spark.read.parquet(f"{work}/entities/truth")
+    truth = lambda: E.truth_by_lists(require_columns(read_tsv(spark, inputs["truth"], TRUTH_COLUMNS), TRUTH_COLUMNS))
+    for side in ("sources", "targets"):
+        step(spark, f"{work}/entities/truth_{side}", prints["truth"], lambda path, side=side: write_parquet(getattr(truth(), side), path))
+    return source1, targets, truth_classes(spark, work).pairs()
+
+
+def truth_classes(spark: SparkSession, work: str) -> P.TruthClasses:
+    """The truth that :func:`prepare` has written."""
+    return P.TruthClasses(*[spark.read.parquet(f"{work}/entities/truth_{side}") for side in ("sources", "targets")])
+
+
+def _only(truth: P.TruthClasses, ids: DataFrame) -> P.TruthClasses:
+    """The truth of these sources."""
+    return P.TruthClasses(truth.sources.join(ids, "source1_id", "left_semi"), truth.targets)
 
 
 def indexes(spark: SparkSession, targets: DataFrame, work: str, config: Config, fingerprint: str) -> B.Indexes:
@@ -195,14 +206,15 @@ def run(spark: SparkSession, inputs: dict[str, str], work: str, config: Config =
     if fresh:
         reset(spark, work)
     prints = fingerprints(spark, inputs, config)
-    source1, targets, truth = prepare(spark, inputs, work, config)
+    source1, targets, _ = prepare(spark, inputs, work, config)
+    truth = truth_classes(spark, work)
     batches = block(spark, source1, targets, work, config, prints, jobs)
     found = batches.read()
 
     def learn(path: str) -> None:
         pairs = found.drop("batch_id")
         model, threshold, report = train_with_validation(P.enrich(P.label_pairs(pairs, truth), source1, targets), config)
-        report["blocking_recall"] = E.blocking_recall(pairs, truth.join(source1.select(F.col("entity_id").alias("source1_id")), "source1_id", "left_semi")).first().recall
+        report["blocking_recall"] = E.blocking_recall(pairs, _only(truth, source1.select(F.col("entity_id").alias("source1_id")))).first().recall
         R.save_model(model, path, threshold, report)
         write_json(spark.createDataFrame([(json.dumps(report),)], "report string"), f"{work}/report")
 
@@ -222,7 +234,7 @@ def quick_eval(spark: SparkSession, inputs: dict[str, str], work: str, limit: in
     ``limit`` source1 entities (in the order of their ids' digest); all batches must be there.
     Recall is end to end: true pairs that blocking missed count, of the evaluated entities only.
     """
-    source1, targets, truth = prepare(spark, inputs, work, config)
+    source1, targets, _ = prepare(spark, inputs, work, config)
     prints = fingerprints(spark, inputs, config)
     found = candidate_batches(spark, source1, work, config, prints["candidates"]).read().drop("batch_id")
     ids = source1.select(F.col("entity_id").alias("source1_id")).distinct()
@@ -230,15 +242,15 @@ def quick_eval(spark: SparkSession, inputs: dict[str, str], work: str, limit: in
         ids = ids.orderBy(F.md5("source1_id"), "source1_id").limit(limit)
     ids = stored(ids, "evaluated")
     held = P.in_validation(F.col("source1_id"), config)
-    true, found = truth.join(ids, "source1_id", "left_semi"), found.join(ids, "source1_id", "left_semi")
+    true, found = _only(truth_classes(spark, work), ids), found.join(ids, "source1_id", "left_semi")
     labelled = P.enrich(P.label_pairs(found, true), source1, targets)
     rows = stored(with_hardness(labelled), "features")
     model = R.train(stored(P.training_sample(rows.filter(~held), config), "training"), config)
     asked = rows.filter(held)
     scored = stored(R.score(model, P.cheap_prefilter(asked, config) if prefilter else asked).select("source1_id", "target_id", "label", "probability"), "scored")
-    held_true = true.filter(held)
+    held_true = P.TruthClasses(true.sources.filter(held), true.targets)
     offered = scored.filter("label = 1").select("source1_id", "target_id").distinct()
-    missed = held_true.select("source1_id", "target_id").distinct().join(offered, ["source1_id", "target_id"], "left_anti").count()
+    missed = held_true.n_pairs().first().true_pairs - offered.count()  # what was offered is true and held
     sweep = E.threshold_sweep(scored.dropDuplicates(["source1_id", "target_id"]), [round(0.5 + i / 100, 2) for i in range(47)], missed)
     best = E.select_threshold(sweep, config, quick=True).first()
     report = {

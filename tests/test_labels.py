@@ -1,7 +1,12 @@
-"""Labels of pairs by classes of truth."""
+"""Truth by classes: labels, and classes from lists."""
+
+from pyspark.sql import functions as F
 
 from tarnwork.operators import blocking as B
+from tarnwork.operators import evaluate as E
 from tarnwork.operators import pairs as P
+from tarnwork.sources import fixtures as X
+from tests.conftest import SF
 
 
 def _truth(spark):
@@ -23,3 +28,21 @@ def test_labels_are_dealt_by_number(spark, monkeypatch):
     assert {(r.source1_id, r.target_id): r.label for r in got.collect()} == {(str(a), str(b)): int(a < 60 and b < 200 and _true(a, b)) for a in range(65) for b in range(0, 205, 3)}
     assert got.rdd.getNumPartitions() == 21  # 201 rows of targets by ten
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_are_taken_apart_once(spark):
+    """Sources with equal lists, however spelled and ordered, share a class: no pair is made; repeated sources have all their lists."""
+    raw = [("1", "[a, b]"), ("2", "b,a"), ("3", "['a','b']"), ("4", "c"), ("4", "a,b"), ("5", "[]"), ("6", None), ("7", "c,c")]
+    table = spark.createDataFrame(raw, "source1_entity_id string, matched_entity_ids string")
+    truth = E.truth_by_lists(table)
+    assert (truth.sources.count(), truth.targets.count(), truth.n_pairs().first()[0]) == (6, 3, 10)
+    assert sorted(map(tuple, truth.pairs().collect())) == sorted(map(tuple, E.parse_truth(table).distinct().collect()))
+
+
+def test_truth_lists(spark, tmp_path):
+    """The lists of the truth file are those of its pairs, also where a source has several classes."""
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    twice = part.filter("p_partkey % 40 = 0").withColumn("p_brand", F.lit("Brand#1"))
+    part.unionByName(twice).write.parquet(f"{tmp_path}/part.parquet")
+    pairs = X.truth_part(spark, str(tmp_path)).groupBy("source1_id").agg(F.array_sort(F.collect_set("target_id")).alias("ids"))
+    assert sorted(map(tuple, X.truth_lists(spark, str(tmp_path)).collect())) == sorted(map(tuple, pairs.collect()))
