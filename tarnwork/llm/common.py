@@ -195,16 +195,21 @@ def bitmap(keys: DataFrame, key: str, bits: int = MARK_BITS) -> np.ndarray:
     return table
 
 
-def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` may be among ``keys``; a false one costs time only, a join decides."""
+def marked(rows: DataFrame, keys: DataFrame, key: str, then=None, schema: str | None = None) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys``; a false one costs time only, a join decides.
+
+    ``then`` makes rows of ``schema`` of their batches in the same worker; as a step of its own
+    it would keep a second Python worker for every task.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(bitmap(keys, key))
     slot = F.pmod(F.xxhash64(key), F.lit(MARK_BITS)).alias("__slot")
 
-    def work(batches):
+    def kept(batches):
         bits = shared.value
         for batch in batches:
             slots = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).filter(pa.array(((bits[slots >> 5] >> (slots & 31)) & 1).astype(bool)))
 
-    return rows.select(slot, *rows.columns).mapInArrow(work, rows.schema)
+    work = kept if then is None else lambda batches: then(kept(batches))
+    return rows.select(slot, *rows.columns).mapInArrow(work, schema or rows.schema)

@@ -205,7 +205,7 @@ def _full_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
                 values = pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["rid", "d1", "s"])
 
-    found = marked(docs.select(F.col("doc_id").alias("rid"), "text"), need, "rid").mapInArrow(work, "rid long, d1 long, s array<long>")
+    found = marked(docs.select(F.col("doc_id").alias("rid"), "text"), need, "rid", work, "rid long, d1 long, s array<long>")
     return found.join(need, ["rid", "d1"]).select("node", "s").dropDuplicates(["node"])
 
 

@@ -756,3 +756,13 @@ def test_quality_and_benchmark_on_long_texts(spark):
     items = spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(30)))], "item_id long, text string")
     hit = spark.createDataFrame([(7, long + " ".join(f"item{i}" for i in range(30))), (8, long)], "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.remove(hit, items).collect()] == [8]
+
+
+def test_full_sets_take_one_worker_a_task(spark):
+    """The rows of classes are found and taken apart in one Python step: a second one would keep its own workers beside it."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (3, None)], "doc_id long, text string")
+    need = ngram_join.short_lists(docs, np.zeros(ngram_join.SKETCH, np.int64), 5, 80).filter("doc_id = 2").selectExpr("7L AS node", "doc_id AS rid", "d1")
+    rows = ngram_join._full_sets(docs, need.localCheckpoint(), 5)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    (row,) = rows.collect()
+    assert row.node == 7 and len(row.s) == 2
