@@ -14,9 +14,11 @@ from tarnwork.config import Config
 from tarnwork.functions.normalize import format_match_list
 from tarnwork.operators import boosting
 from tarnwork.operators.pairs import FEATURES
-from tarnwork.storage import exists, get_text, put_text, remove
+from tarnwork.storage import dropped, exists, get_text, put_text, remove, stored
 
 SIDECAR = "model.json"
+#: Training rows of one task.
+ROWS_A_TASK = 50_000
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -26,6 +28,23 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return sizes.crossJoin(F.broadcast(all_)).select("label", "n", (F.col("__all") / (F.col("__k") * F.col("n"))).alias("weight"))
 
 
+def counted(rows: DataFrame, columns=FEATURES) -> DataFrame:
+    """(label, columns, n): equal rows once, with their number."""
+    return rows.groupBy("label", *columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def copies(equal: DataFrame, least: int) -> DataFrame:
+    """Rows of :func:`counted` with a ``weight`` for each, ``least`` times at most, the weight of all their number shared among these.
+
+    Trees judge as those of all rows do: equal rows go the same way at every split, sums of
+    weights are those of all rows (but for rounding, so a split that gains nothing may be there
+    or not), and a node has ``least`` rows here exactly if it has them there. The values to split
+    at MLlib takes from a random sample of 10,000 rows, if there are more, of these rows as of all.
+    """
+    k = F.least(F.col("n"), F.lit(max(1, least)).cast("long"))
+    return equal.withColumn("weight", F.col("weight") * F.col("n") / k).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), k))).drop("__copy", "n")
+
+
 def train(rows: DataFrame, config: Config = Config(), columns=FEATURES) -> PipelineModel | boosting.Model:
     """Boosted trees on balanced class weights, by the learner of the config. ValueError if only one class is present."""
     if config.learner == "leaves":
@@ -38,7 +57,12 @@ def train(rows: DataFrame, config: Config = Config(), columns=FEATURES) -> Pipel
         labelCol="label", featuresCol="features", weightCol="weight", maxIter=config.trees, stepSize=config.learning_rate,
         maxDepth=config.tree_depth, minInstancesPerNode=config.min_leaf, seed=config.seed,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), trees]).fit(rows.withColumn("weight", weight))
+    equal = stored(counted(rows, columns), "equal")
+    n = equal.agg(F.sum(F.least("n", F.lit(max(1, config.min_leaf))))).first()[0]
+    few = copies(equal.repartition(-(-n // ROWS_A_TASK)).withColumn("weight", weight), config.min_leaf)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), trees]).fit(few)
+    dropped(equal)
+    return model
 
 
 def score(model: PipelineModel | boosting.Model, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tarnwork import Config
@@ -134,3 +137,19 @@ def test_equal_rows_are_one_row_with_their_number(spark, monkeypatch):
     assert held[0].count() == 77 and held[0].agg(F.sum("n")).first()[0] == 4000
     monkeypatch.setattr(boosting, "_collapsed", lambda df: df)
     assert boosting.train(rows, config, ["a", "b"]).to_json() == few.to_json()
+
+
+def test_depth_trees_on_equal_rows_once(spark):
+    """MLlib's trees are fitted to each distinct row ``min_leaf`` times at most, and judge as those of all rows do."""
+    config = Config(trees=4, min_leaf=6)
+    rows = spark.range(3000).selectExpr("CAST(hash(id) % 3 = 0 OR id % 7 = 1 AS INT) AS label", "id % 7 AS a", "pmod(hash(id, 1), 5) AS b", "CAST(id % 400 = 3 AS INT) AS c")
+    few = R.copies(R.counted(rows, ["a", "b", "c"]).withColumn("weight", F.lit(2.0)), config.min_leaf)
+    (distinct,), (n, weight) = rows.agg(F.countDistinct("label", "a", "b", "c")).first(), few.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    assert n <= config.min_leaf * distinct < 1000 and weight == pytest.approx(6000)
+    fitted = R.train(rows, config, ["a", "b", "c"])
+    weights = {r.label: r.weight for r in R.class_weights(rows).collect()}
+    plain = GBTClassifier(labelCol="label", weightCol="weight", maxIter=4, stepSize=config.learning_rate, maxDepth=config.tree_depth, minInstancesPerNode=6, seed=config.seed)
+    whole = rows.withColumn("weight", F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]))
+    want = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"), plain]).fit(whole)
+    got, all_ = ({(r.a, r.b, r.c): r.probability for r in R.score(m, rows).select("a", "b", "c", "probability").distinct().collect()} for m in (fitted, want))
+    assert got.keys() == all_.keys() and all(got[k] == pytest.approx(all_[k], abs=1e-9) for k in got)
