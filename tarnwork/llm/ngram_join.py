@@ -6,16 +6,23 @@ shingles. The steps:
 1. Count shingles in a sketch (all documents); its counts order each text's shingles, rare
    ones first. Any order gives right results, this one keeps the lists below short.
 2. Rows with equal shingle sets become one class.
-3. Who has to be searched together: a class's T - OCCUR most frequent shingles are left aside,
-   so a partner shares at least OCCUR (or T, if that is less) of those that remain. Pairs that
-   do so in lists of up to ``SHORT`` classes, and lists that are longer, tie classes into
-   families.
-4. A family is dealt to blocks of a bounded number of classes and shingles, and every pair of
-   its blocks is one group: an inverted index of the one block, and T-occurrence queries of the
-   other. Each query's lists are divided into the L longest and the short ones; the short ones
-   are merged with a heap and what occurs T - L times is probed in the long ones by binary
-   search. Pairs that are connected already are skipped, so only a spanning forest of verified
-   links comes out and a family of thousands never becomes all its pairs.
+3. Who has to be searched together. A class leaves its most frequent shingles aside, all but K
+   of those T that a partner may share, so partners share K of what remains (K a sixteenth of
+   T, OCCUR at least). Shingles of one class only go, then classes with less than K left. Lists
+   of up to ``SHORT`` classes give pairs, whose longer lists are counted one by one where a pair
+   lacks some. Longer lists tie only classes that have K of them, and there the K - 1 longest
+   are left aside again. So a passage that many texts hold
+   ties none of them, as long as it is not most of what they share with others.
+   Pairs and ties make families.
+4. A family is dealt to blocks of a bounded number of classes and shingles: an inverted index
+   of a block, and T-occurrence queries of it or of another one. Each query's lists are divided
+   into the L longest and the short ones; the short ones are merged with a heap and what occurs
+   T - L times is probed in the long ones by binary search. Pairs that are connected already
+   are skipped, so only a spanning forest of verified links comes out.
+5. First every block is searched by itself, in a family of several blocks under two ways to
+   deal. Copies of one text are one component then. Of such a family only classes that share
+   enough for a link with other components go on; those that are not in the largest component
+   meet all the blocks, the largest component's blocks don't meet again.
 
 A small family is one block, a large one many: the same search, and no group that grows with
 the family. A component is what links reach, so the operator returns components, not the
@@ -44,7 +51,7 @@ from tarnwork.storage import dropped, stored
 
 SKETCH = 1 << 20
 SHORT = 16
-OCCUR = 3
+OCCUR, PART = 3, 16
 BLOCK_SETS, BLOCK_SHINGLES = 64, 1 << 17
 MU = 0.01  # cost of a probe against a merge step, as in the published choice of L
 
@@ -61,6 +68,11 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
+def shared_at_least(need: int) -> int:
+    """K: how many of its T = ``need`` shared shingles a text keeps in its lists."""
+    return min(need, max(OCCUR, need // PART))
+
+
 def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> U(44)).astype(np.int64)
 
@@ -90,7 +102,7 @@ def short_lists(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> Dat
             for _, s in shingles_of(batch.column(1), n):
                 size = len(s)
                 need = least_overlap(size, percent)
-                keep = size - need + min(OCCUR, need)
+                keep = size - need + shared_at_least(need)
                 m = mix(s)
                 sizes.append(size)
                 d1.append(m.sum(dtype=np.uint64))
@@ -145,8 +157,11 @@ def occurrences(lists: list[np.ndarray], need: int, sizes: np.ndarray, open_: np
     return ids[keep], counts[keep]
 
 
-def search(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest (node, smallest node) of the links between the two sides, or within the one there is."""
+def search(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest (node, smallest node) of the links between the two sides, or within the one there is.
+
+    Nodes of one ``known`` component are connected already.
+    """
     order = np.lexsort((nodes, side))
     nodes, sets, side = nodes[order], [sets[i] for i in order], side[order]
     sizes = np.array([len(s) for s in sets])
@@ -157,6 +172,9 @@ def search(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
     starts = np.concatenate([[0], np.cumsum(df)])
     lists = np.repeat(np.arange(n_index), sizes[:n_index])[np.argsort(local, kind="stable")]  # by shingle, ids ascending
     parent = np.arange(m)
+    if known is not None:
+        _, at, which = np.unique(known[order], return_index=True, return_inverse=True)
+        parent = at[which]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -210,24 +228,105 @@ def _full_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
 
 
 def families(reps: DataFrame, percent: int) -> DataFrame:
-    """(node, f): the classes that have to be searched together; classes that share nothing are left out."""
-    postings = reps.select("node", "n", F.explode("lists").alias("s"))
-    met = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("first")).filter("c > 1")
-    shared = stored(postings.join(met, "s"), "postings")
+    """(node, f): the classes that have to be searched together; classes that have no partner are left out."""
+    need = lambda x: F.floor((x * percent + 99) / 100)
+    share = lambda x: F.least(need(x), F.greatest(F.lit(OCCUR), F.floor(need(x) / PART))).cast("long")
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    need = lambda x: F.floor((x * percent + 99) / 100).cast("long")
+    postings = reps.select("node", F.explode("lists").alias("s"))
+    met = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
+    shared = stored(postings.join(met, "s"), "postings")
+    # a partner has need(n) shingles at least, so a class that shares less than it asks for has none
+    asks = reps.select("node", "n", share(need(F.col("n"))).alias("k"))
+    enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(asks, "node").filter("m >= k").select("node", "n", "k")
+    some = stored(shared.join(enough, "node"), "postings")
+    dropped(shared)
+    met = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = stored(some.join(met, "s"), "postings")
+    dropped(some)
     lists = shared.filter(F.col("c") <= SHORT).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("l"))
     pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
         F.filter(F.slice("l", i + 2, F.lit(SHORT)), lambda y: close(x["n"], y["n"])),
-        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(F.lit(OCCUR).cast("long"), need(x["n"]), need(y["n"])).alias("k")),
+        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(share(x["n"]), share(y["n"])).alias("k")),
     )))
-    often = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "p.k").agg(F.count(F.lit(1)).alias("m")).filter("m >= k").select("a", "b")
-    tied = shared.filter(F.col("c") > SHORT).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    joined = components(stored(often.unionByName(tied), "ties"))
-    dropped(shared)
+    met = stored(lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "p.k").agg(F.count(F.lit(1)).alias("m")), "pairs")
+    # what a pair lacks in short lists must be in long ones: as many as each of the two has there, then as many as both have
+    hot = stored(shared.filter(F.col("c") > SHORT).groupBy("node", "k").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("l")).withColumn("long", F.size("l")), "long")
+    of = lambda x, *what: hot.select(F.col("node").alias(x), *[y.alias(f"{z}_{x}") for z, y in what])
+    long, ids = ("long", F.col("long")), ("ids", F.col("l.s"))
+    weak = met.filter("m < k").join(of("a", long), "a").join(of("b", long), "b").filter("m + least(long_a, long_b) >= k").select(*met.columns)
+    weak = weak.join(of("a", ids), "a").join(of("b", ids), "b").filter("m + size(array_intersect(ids_a, ids_b)) >= k").select(*met.columns)
+    often = met.filter("m >= k").unionByName(weak)
+    # a partner that no short list shows is in k long ones, so in one that is not among the k - 1 longest of either
+    some = hot.filter("long >= k").select("node", F.explode(F.expr("slice(l, 1, long - k + 1)")).alias("e")).select("node", F.col("e.s").alias("s"))
+    tied = some.join(some.groupBy("s").agg(F.min("node").alias("first")), "s").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    joined = components(stored(often.select("a", "b").unionByName(tied), "ties"))
+    dropped(shared, met, hot)
     return joined.select(F.col("a").alias("node"), F.col("b").alias("f")).unionByName(joined.select(F.col("b").alias("node"), F.col("b").alias("f")).distinct())
 
 
+def _blocks(which=None):
+    """The number of blocks that the rows of a group (those of ``which``) are dealt to."""
+    of = lambda x: x if which is None else F.when(which, x)
+    return F.ceil(F.greatest(F.count(of(F.lit(1))) / BLOCK_SETS, F.coalesce(F.sum(of(F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+
+def _apart(left: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``left`` (f, node, n, c, rest) that share as much with other components of their family as a link asks for."""
+    held = left.join(full, "node").select("f", "c", "node", F.explode("s").alias("s"))
+    others = held.groupBy("f", "s").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("f", "s")
+    most = held.join(others, ["f", "s"]).groupBy("node").agg(F.count(F.lit(1)).alias("most"))
+    # the smallest partner there is asks for the least
+    sizes = left.select("f", "n").distinct()
+    of = sizes.groupBy("f").agg(F.collect_list("n").alias("sizes"))
+    n = F.col("n")
+    least = sizes.join(of, "f").select("f", "n", F.array_min(F.filter("sizes", lambda x: 100 * x >= percent * n)).alias("least"))
+    asks = F.floor((percent * (n + F.col("least")) + 99 + percent) / (100 + percent))
+    return stored(left.join(least, ["f", "n"]).join(most, "node").filter(F.col("most") >= asks).select("f", "node", "n", "c", "rest"), "apart")
+
+
+def _linked(docs: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
+    """:func:`components` of the links in the families ``member`` (node, n, rid, d1, f)."""
+
+    def work(table: pa.Table) -> pa.Table:
+        s = table["s"].combine_chunks()
+        ends, values = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
+        side = table["h"].to_numpy()
+        alone = table["k1"][0] != table["k2"][0] and side.min() == side.max()  # two blocks, one of them empty
+        sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        links = search(table["node"].to_numpy(), sets, side, percent, table["c"].to_numpy()) if len(side) > 1 and not alone else []
+        cols = list(zip(*links)) or [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    found = lambda groups, full: groups.join(full, "node").select("f", "k1", "k2", "h", "node", "c", "s").groupBy("f", "k1", "k2").applyInArrow(work, "a long, b long")
+
+    # first every class meets those of its own block, in a family of several blocks twice, dealt in two ways
+    blocks = member.groupBy("f").agg(_blocks().alias("q"))
+    dealt = member.join(blocks, "f").select("node", "f", "q", F.explode(F.when(F.col("q") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("r"))
+    k = F.col("r") * F.col("q") + F.pmod(F.xxhash64("node", "r"), F.col("q")).cast("int")
+    groups = dealt.select("node", "f", k.alias("k1"), k.alias("k2"), F.lit(0).alias("h"), F.col("node").alias("c"))
+    linked = components(found(groups, _full_sets(docs, member.select("node", "rid", "d1"), n)))
+
+    # then those that this has not connected with their family's largest component meet all the others
+    several = member.join(blocks.filter("q > 1").select("f"), "f").join(linked, F.col("node") == F.col("a"), "left").select("f", "node", "n", "rid", "d1", F.coalesce("b", "node").alias("c"))
+    several = stored(several, "several")
+    sizes = several.groupBy("f", "c").agg(F.count(F.lit(1)).alias("m"))
+    top = sizes.groupBy("f").agg(F.count(F.lit(1)).alias("of"), F.max_by("c", F.struct("m", "c")).alias("top")).filter("of > 1").select("f", "top")
+    left = stored(several.join(top, "f").withColumn("rest", F.col("c") != F.col("top")).drop("top"), "left")
+    dropped(several)
+    if not left.isEmpty():
+        full = stored(_full_sets(docs, left.select("node", "rid", "d1"), n), "full")
+        left_over = _apart(left, full, percent)
+        blocks = left_over.groupBy("f").agg(_blocks(F.col("rest")).alias("q"), _blocks(~F.col("rest")).alias("p")).filter("q > 0")
+        at = F.xxhash64("node")
+        dealt = left_over.join(blocks, "f").withColumn("h", F.when(F.col("rest"), F.pmod(at, F.col("q"))).otherwise(F.col("q") + F.pmod(at, F.greatest("p", F.lit(1)))).cast("int"))
+        meets = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("q") + F.col("p")).otherwise(F.col("q")) - 1)
+        pairs = dealt.select("node", "f", "c", "h", F.explode(meets).alias("o")).select("node", "f", F.least("h", "o").alias("k1"), F.greatest("h", "o").alias("k2"), "h", "c")
+        linked = components(linked.unionByName(found(pairs, full)))
+        dropped(full, left_over)
+    dropped(left)
+    return linked
+
+
 def join_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -241,24 +340,7 @@ def join_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: st
     dropped(whole)
     member = stored(found.join(reps.select("node", "n", "rid", "d1"), "node"), "families")
 
-    blocks = member.groupBy("f").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("q"))
-    dealt = member.join(blocks, "f").withColumn("h", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
-    # a block meets every other block of its family, the lower number first; alone only in a family of one block
-    meets = F.when(F.col("q") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
-    spread = dealt.select("node", "f", "h", F.explode(meets).alias("o")).select("node", "f", F.least("h", "o").alias("k1"), F.greatest("h", "o").alias("k2"), "h")
-
-    def work(table: pa.Table) -> pa.Table:
-        s = table["s"].combine_chunks()
-        ends, values = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
-        side = table["h"].to_numpy()
-        alone = table["k1"][0] != table["k2"][0] and side.min() == side.max()  # two blocks, one of them empty
-        links = search(table["node"].to_numpy(), [values[a:b] for a, b in zip(ends[:-1], ends[1:])], side, percent) if len(side) > 1 and not alone else []
-        cols = list(zip(*links)) or [(), ()]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
-
-    full = _full_sets(docs, member.select("node", "rid", "d1"), n)
-    links = spread.join(full, "node").select("f", "k1", "k2", "h", "node", "s").groupBy("f", "k1", "k2").applyInArrow(work, "a long, b long")
-    linked = components(links)
+    linked = _linked(docs, member, n, percent)
 
     to = reps.select("d1", "d2", F.col("n").alias("rn"), "rid", "node").join(linked, F.col("node") == F.col("a"), "left").withColumn("c", F.coalesce("b", "node"))
     to = stored(to.select("d1", "d2", "rn", "rid", "c"), "roots")

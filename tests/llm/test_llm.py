@@ -85,6 +85,36 @@ def test_ngram_join_large_family(spark, n, percent):
     assert {tuple(r) for r in ngram_join.join_classes(docs, n, percent).collect()} == _classes(rows, n, percent)
 
 
+def test_ngram_join_passages_make_no_family(spark):
+    """A passage in many texts that are otherwise their own ties none of them; copies that share it are found."""
+    own = lambda i: [i * 1000 + k for k in range(140)]
+    passage = [-k for k in range(1, 16)]
+    rows = [(i, 1000, own(i) + passage) for i in range(60)] + [(100 + i, 1000, own(i)[:130] + own(200 + i)[:10] + passage) for i in range(3)]
+    reps = spark.createDataFrame(rows, "node long, n long, lists array<long>")
+    assert sorted((r.f, r.node) for r in ngram_join.families(reps, 90).collect()) == [(i, j) for i in range(3) for j in (i, 100 + i)]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join_short_and_long_lists(spark, monkeypatch, n, percent):
+    """Pairs whose shingles lie in short and in long lists, large families of several components that never link."""
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    rng = np.random.default_rng(11)
+    passages = [[f"p{j}_{k}" for k in range(25)] for j in range(4)]
+    rows = []
+    for g in range(25):
+        base = [f"g{g}_{k}" for k in range(int(rng.integers(10, 90)))]
+        for j in rng.choice(4, rng.integers(0, 3), replace=False):
+            base = base + passages[j]
+        for _ in range(int(rng.choice([1, 2, 3, 40]))):
+            w = list(base)
+            for k in rng.choice(len(w), int(rng.integers(0, 1 + len(w) // 15)), replace=False):
+                w[k] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in ngram_join.join_classes(docs, n, percent).collect()} == _classes(rows, n, percent)
+
+
 def test_ngram_join_ids_and_hashes(spark):
     """One id with two texts, in either order; long words that a polynomial hash takes for equal."""
     a, b = "a", "b"
