@@ -97,7 +97,7 @@ def short_lists(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> Dat
 
     def work(batches):
         rank = shared.value
-        for batch in batches:
+        for batch in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):  # the lists of a whole batch are large
             sizes, d1, d2, lists, lengths = [], [], [], [], [0]
             for _, s in shingles_of(batch.column(1), n):
                 size = len(s)
